@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import sharding
+from roadloom.llm import packing, sharding
 from roadloom.session import ship
 
 
@@ -18,5 +18,12 @@ def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
 
 
-QUERIES = {"op1_reshard": op1_reshard}
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ship(spark)
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+QUERIES = {"op1_reshard": op1_reshard, "op2_pack": op2_pack}
 SQL: dict[str, str] = {}
