@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import packing, sharding, simhash
+from roadloom.llm import licenses, packing, sharding, simhash
 from roadloom.session import cut, ship
 
 
@@ -25,11 +25,16 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = simhash.components(cut(simhash.fingerprints(_table(spark, sf_dir, "documents"))))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_reshard": op1_reshard, "op2_pack": op2_pack, "op8_simhash_dedup": op8_simhash_dedup}
+QUERIES = {"op1_reshard": op1_reshard, "op2_pack": op2_pack, "op4_license_scan": op4_license_scan, "op8_simhash_dedup": op8_simhash_dedup}
 SQL: dict[str, str] = {}
