@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import licenses, packing, sharding, simhash
+from roadloom.llm import decontaminate, licenses, packing, sharding, simhash
 from roadloom.session import cut, ship
 
 
@@ -36,5 +36,10 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_reshard": op1_reshard, "op2_pack": op2_pack, "op4_license_scan": op4_license_scan, "op8_simhash_dedup": op8_simhash_dedup}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_reshard": op1_reshard, "op2_pack": op2_pack, "op4_license_scan": op4_license_scan, "op8_simhash_dedup": op8_simhash_dedup, "op9_decontaminate": op9_decontaminate}
 SQL: dict[str, str] = {}
