@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontaminate, licenses, packing, sharding, simhash
+from roadloom.llm import decontaminate, licenses, packing, pii, sharding, simhash
 from roadloom.session import cut, ship
 
 
@@ -25,6 +25,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return licenses.scan(_table(spark, sf_dir, "documents"))
@@ -41,5 +45,5 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_reshard": op1_reshard, "op2_pack": op2_pack, "op4_license_scan": op4_license_scan, "op8_simhash_dedup": op8_simhash_dedup, "op9_decontaminate": op9_decontaminate}
+QUERIES = {"op1_reshard": op1_reshard, "op2_pack": op2_pack, "op3_pii": op3_pii, "op4_license_scan": op4_license_scan, "op8_simhash_dedup": op8_simhash_dedup, "op9_decontaminate": op9_decontaminate}
 SQL: dict[str, str] = {}
