@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontaminate, licenses, packing, pii, sharding, simhash
+from roadloom.llm import decontaminate, licenses, packing, pii, sharding, simhash, toxicity
 from roadloom.session import cut, ship
 
 
@@ -34,6 +34,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = simhash.components(cut(simhash.fingerprints(_table(spark, sf_dir, "documents"))))
@@ -45,5 +51,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_reshard": op1_reshard, "op2_pack": op2_pack, "op3_pii": op3_pii, "op4_license_scan": op4_license_scan, "op8_simhash_dedup": op8_simhash_dedup, "op9_decontaminate": op9_decontaminate}
+QUERIES = {
+    "op1_reshard": op1_reshard,
+    "op2_pack": op2_pack,
+    "op3_pii": op3_pii,
+    "op4_license_scan": op4_license_scan,
+    "op5_toxicity": op5_toxicity,
+    "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_decontaminate": op9_decontaminate,
+}
 SQL: dict[str, str] = {}
