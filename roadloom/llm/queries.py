@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontaminate, licenses, packing, pii, quality, sharding, simhash, toxicity
+from roadloom.llm import decontaminate, licenses, neighbours, packing, pii, quality, sharding, simhash, toxicity
 from roadloom.session import cut, ship
 
 
@@ -40,6 +40,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = _table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = _table(spark, sf_dir, "documents")
@@ -63,6 +69,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_license_scan": op4_license_scan,
     "op5_toxicity": op5_toxicity,
+    "op6_neighbours": op6_neighbours,
     "op7_quality": op7_quality,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_decontaminate": op9_decontaminate,
