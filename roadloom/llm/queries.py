@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontaminate, licenses, neighbours, packing, pii, quality, sharding, simhash, toxicity
+from roadloom.llm import decontaminate, language_model, licenses, neighbours, packing, pii, quality, sharding, simhash, toxicity
 from roadloom.session import cut, ship
 
 
@@ -63,6 +63,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_reshard": op1_reshard,
     "op2_pack": op2_pack,
@@ -73,5 +78,6 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_decontaminate": op9_decontaminate,
+    "op10_language_model": op10_language_model,
 }
 SQL: dict[str, str] = {}
