@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from roadloom.llm.columnar import ALNUM, Words, blocks
 
 WINDOW, STRIDE = 32, 24
-SAMPLE, SAMPLE_BYTES = 2500, 60_000
+SAMPLE, SAMPLE_BYTES = 2000, 20_000
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
 WORD_ROWS, CHAR_ROWS, GRAM, HEAD = 1 << 15, 1 << 16, 4, 14
-BLOCK, CHUNK = 2_000_000, 8192
+BLOCK, CHUNK = 2_000_000, 4096
 
 
 def gram_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -51,7 +51,7 @@ def gram_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     some = np.arange(HEAD)[None, :] <= np.maximum(length - GRAM + 2, 0)[:, None]
     with np.errstate(over="ignore"):
         hashed = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 16)
-    return np.where(some, 1 + (hashed % np.uint64(CHAR_ROWS - 1)).astype(np.int64), 0)
+    return np.where(some, 1 + (hashed % np.uint64(CHAR_ROWS - 1)).astype(np.int32), np.int32(0))
 
 
 class Block:
@@ -59,12 +59,24 @@ class Block:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         words = Words(data, offsets, ALNUM)
-        hashes, first, self.word = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        self.hashes, first, self.word = np.unique(words.hashes(), return_index=True, return_inverse=True)
         self.counts, self.bounds, self.n = words.counts, words.bounds, words.n
-        self.word_bucket = (hashes >> np.uint64(40)).astype(np.int64) % WORD_ROWS
+        self.word_bucket = (self.hashes >> np.uint64(40)).astype(np.int64) % WORD_ROWS
         self.char_bucket = gram_buckets(words.data, words.starts[first], words.ends[first])
         self.distinct = len(first)
 
+    @classmethod
+    def joined(cls, column: pa.Array) -> Block:
+        """All texts of a column as one."""
+        parts, out = [cls(data, offsets) for _, data, offsets in blocks(column, BLOCK)], cls.__new__(cls)
+        out.hashes, first, place = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
+        before = np.cumsum([0, *(p.distinct for p in parts)])
+        out.word = np.concatenate([place[b + p.word] for p, b in zip(parts, before)])
+        out.counts, out.n, out.distinct = np.concatenate([p.counts for p in parts]), len(column), len(first)
+        out.bounds = np.concatenate([[0], np.cumsum(out.counts)])
+        out.word_bucket, out.char_bucket = (np.concatenate([getattr(p, name) for p in parts])[first] for name in ("word_bucket", "char_bucket"))
+        return out
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of each window (``distinct`` where a short text ends), and the row of each window."""
         each = np.maximum(1, -(-np.maximum(self.counts - WINDOW, 0) // STRIDE) + 1)
@@ -101,8 +113,9 @@ class Network:
         self.p["char"][0] = 0
 
     def inputs(self, block: Block) -> np.ndarray:
-        pooled = self.p["char"][block.char_bucket].sum(axis=1) * np.float32(0.25)
-        return np.concatenate([self.p["word"][block.word_bucket], pooled], axis=1)
+        at = range(0, len(block.char_bucket), 1 << 16)
+        pooled = [np.zeros((0, CHAR_DIM), np.float32), *(self.p["char"][block.char_bucket[a : a + (1 << 16)]].sum(axis=1) * np.float32(0.25) for a in at)]
+        return np.concatenate([self.p["word"][block.word_bucket], np.concatenate(pooled)], axis=1)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """What the inputs add to the gates in either direction; one more row for the end of short texts."""
@@ -185,30 +198,27 @@ class Network:
         return np.concatenate([np.zeros(0, np.float32), *(self.forward(gates, windows[k : k + CHUNK])[0] for k in range(0, len(windows), CHUNK))])
 
 
-def _log_odds(block: Block, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _log_odds(block: Block, y: np.ndarray, some: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed log-odds of the texts of label 1 for each word row and each 4-gram row."""
-    doc = np.repeat(np.arange(block.n), block.counts)
-    pairs = np.unique(doc.astype(np.int64) * block.distinct + block.word)
-    doc, word = np.divmod(pairs, max(block.distinct, 1))
-
-    def of(doc: np.ndarray, bucket: np.ndarray, rows: int) -> np.ndarray:
-        doc, bucket = np.divmod(np.unique(doc * rows + bucket), rows)
-        one = np.bincount(bucket[y[doc] == 1], minlength=rows)
-        none = np.bincount(bucket[y[doc] == 0], minlength=rows)
-        ones = max(int((y == 1).sum()), 1)
-        zeros = max(int((y == 0).sum()), 1)
-        return np.clip(np.log((one + 2) / (ones + 4)) - np.log((none + 2) / (zeros + 4)) - np.log((2 / (ones + 4)) / (2 / (zeros + 4))), -4, 4)
-
-    return of(doc, block.word_bucket[word], WORD_ROWS), of(np.repeat(doc, HEAD), block.char_bucket[word].ravel(), CHAR_ROWS)
+    held = {"word": np.zeros((2, WORD_ROWS)), "char": np.zeros((2, CHAR_ROWS))}
+    for a in range(0, block.n, some):
+        b = min(a + some, block.n)
+        doc, word = np.repeat(np.arange(a, b), block.counts[a:b]), block.word[block.bounds[a] : block.bounds[b]]
+        doc, word = np.divmod(np.unique(doc * block.distinct + word), max(block.distinct, 1))
+        for name, of, bucket in (("word", doc, block.word_bucket[word]), ("char", np.repeat(doc, HEAD), block.char_bucket[word].ravel())):
+            rows = held[name].shape[1]
+            of, bucket = np.divmod(np.unique(of * rows + bucket), rows)
+            for label in (0, 1):
+                held[name][label] += np.bincount(bucket[y[of] == label], minlength=rows)
+    zeros, ones = (max(int((y == label).sum()), 1) for label in (0, 1))
+    odds = lambda n: np.clip(np.log((n[1] + 2) / 2) - np.log((n[0] + 2) / 2) - np.log((ones + 4) / (zeros + 4)) * (n.sum(axis=0) > 0), -4, 4)
+    return odds(held["word"]), odds(held["char"])
 
 
 def train(texts: list[str], y: np.ndarray, epochs: int = 6, least_steps: int = 240, batch: int = 128, rate: float = 0.01, seed: int = 7) -> tuple[Network, float, float, float]:
     """A network, slope and intercept that turn its highest logit into a probability in the sample, and its lowest logit."""
     rng, net = np.random.default_rng(seed), Network(seed)
-    column = pa.array(texts, pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[: len(texts) + 1]
-    held = column.buffers()[2]
-    block = Block(np.frombuffer(held, np.uint8)[: offsets[-1]] if held else np.zeros(0, np.uint8), offsets)
+    block = Block.joined(pa.array(texts, pa.large_string()))
     windows, row = block.windows()
     word, char = _log_odds(block, y)
     net.p["word"][:, 0], net.p["char"][:, 0] = word / 2, char / 4
