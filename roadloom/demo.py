@@ -17,18 +17,15 @@ def points(spark: SparkSession, sf_dir: str, snap: int = 1) -> DataFrame:
     return rows.select(key.alias("point_idx"), (x - x % snap).cast("double").alias("x"), (y - y % snap).cast("double").alias("y"))
 
 
-def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``road_uid, parts`` from ``supplier``: even keys run east, odd keys north, 400 long."""
+def roads(spark: SparkSession, sf_dir: str, bend: int = 0) -> DataFrame:
+    """``road_uid, parts`` from ``supplier``: even keys run east, odd keys north, 400 long; with ``bend`` one more edge."""
     key = F.col("s_suppkey").cast("long")
     even = key % 2 == 0
     x1 = F.when(even, (key * 389) % 1600).otherwise((key * 577) % SIDE)
     y1 = F.when(even, (key * 241) % SIDE).otherwise((key * 613) % 1600)
     vertex = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    end = vertex(x1 + F.when(even, 400).otherwise(0), y1 + F.when(even, 0).otherwise(400))
+    x2, y2 = x1 + F.when(even, 400).otherwise(0), y1 + F.when(even, 0).otherwise(400)
+    line = [vertex(x1, y1), vertex(x2, y2), *([vertex(x2 + bend, y2 + bend)] if bend else [])]
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
-    return rows.select(key.alias("road_uid"), F.array(F.array(vertex(x1, y1), end)).alias("parts"))
+    return rows.select(key.alias("road_uid"), F.array(F.array(*line)).alias("parts"))
 
-
-def eps_for(sf_dir: str) -> float:
-    """A distance at which the points of this size form clusters: they are denser in larger tables."""
-    return {"sf0.001": 150.0, "sf0.01": 60.0, "sf0.1": 15.0}.get(sf_dir.rstrip("/").rsplit("/", 1)[-1], 60.0)

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadloom.session import ship
+
 PARTS = "array<array<struct<x:double,y:double>>>"
 
 
@@ -155,6 +157,7 @@ def parse_wkb(data: bytes) -> tuple[str, list]:
 
 def with_wkb(df: DataFrame, column: str = "wkb") -> DataFrame:
     """Add the geometry of points (``x``, ``y``), lines (``parts``) or polygons (``ring``) as well-known binary; null for null geometry."""
+    ship(df.sparkSession)
     kind = "parts" if "parts" in df.columns else "ring" if "ring" in df.columns else "x"
     pairs = lambda vertices: [(v["x"], v["y"]) for v in vertices]
 
@@ -170,12 +173,12 @@ def with_wkb(df: DataFrame, column: str = "wkb") -> DataFrame:
             held = batch.select(["x", "y"] if kind == "x" else [kind]).to_pylist()
             yield pa.record_batch([*batch.columns, pa.array([of(r) for r in held], pa.binary())], [*batch.schema.names, column])
 
-    schema = df.schema.add(column, "binary")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, T.BinaryType())]))
 
 
 def from_wkb(df: DataFrame, column: str = "wkb") -> DataFrame:
     """Replace a column of well-known binary by ``kind`` and ``parts``."""
+    ship(df.sparkSession)
     names = [c for c in df.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -148,8 +148,8 @@ def cluster(points: DataFrame, adjacent: DataFrame | None, eps: float, min_pts:
 def cluster_plain(points: DataFrame, eps: float, min_pts: int) -> DataFrame:
     """Clustering by distance alone: what the network constraint changes."""
     check_arguments(eps, min_pts)
-    kept = points.withColumn("_uid", F.col("road_uid")).withColumn("road_uid", F.lit(0).cast("bigint"))
-    return _labelled(kept, None, eps, min_pts).withColumn("road_uid", F.col("_uid")).drop("_uid")
+    kept = points.withColumnRenamed("road_uid", "_own_uid").withColumn("road_uid", F.lit(0).cast("bigint"))
+    return _labelled(kept, None, eps, min_pts).drop("road_uid").withColumnRenamed("_own_uid", "road_uid")
 
 
 def _labelled(points: DataFrame, adjacent: DataFrame | None, eps: float, min_pts: int) -> DataFrame:

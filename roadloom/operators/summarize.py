@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions import geometry as g
+from roadloom.session import ship
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -69,6 +70,7 @@ def hulls(labelled: DataFrame) -> DataFrame:
         kept = [[{"x": x, "y": y} for x, y in [*ring, ring[0]]]] if len(ring) > 2 else []
         return pa.table({"cluster": pa.array([key[0].as_py()] * len(kept), pa.int64()), "ring": pa.array(kept, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))})
 
+    ship(labelled.sparkSession)
     rows = real(labelled).select(F.col("cluster").cast("bigint"), "x", "y")
     rings = rows.mapInArrow(corners, "cluster bigint, x double, y double").groupBy("cluster").applyInArrow(one, f"cluster bigint, ring {RING}")
     return rings.withColumn("area", g.shoelace(F.col("ring"))).where(F.col("area") > 0)
