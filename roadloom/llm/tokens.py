@@ -1,9 +1,9 @@
 """Token ids of whole texts, from a public tokenizer file, with a cache of word ids in each Python worker.
 
-The vocabulary lower-cases, drops white space and never merges across it, so the ids of a text are those of
-its space-separated chunks in turn. In a text of Latin-1 characters a chunk splits further into the letters,
-single digits and signs that the vocabulary's own splitting makes; other chunks go to the tokenizer whole.
-Texts that spell a special token are given to the tokenizer as they are.
+The vocabulary lower-cases, drops white space and never merges across it. A text of Latin-1 characters splits into
+the letters, single digits and signs that the vocabulary's own splitting makes, so its ids are those of these words in
+turn; of other texts the space-separated chunks go to the tokenizer. Texts that spell a special token are given to
+the tokenizer as they are.
 """
 
 from __future__ import annotations
@@ -39,45 +39,48 @@ class Encoder:
             return self._each(words)
         return [ids[a:b] for a, b in zip([0, *cuts], [*cuts, len(ids)])]
 
-    def _learn(self, fresh: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that the cache lacks."""
-        plain, other = [], []
-        for c in fresh:
-            try:
-                c.encode("latin-1")
-                plain.append(c)
-            except UnicodeEncodeError:
-                other.append(c)
-        split = [_WORDS.findall(c.lower()) for c in plain]
-        new = list(set().union(*split).difference(self.words)) if split else []
-        words = dict(zip(new, self._joined(new))) if new else {}
-        if len(self.words) + len(words) > CACHE:
-            self.words = {w: self.words[w] for ws in split for w in ws if w in self.words}
-        self.words.update(words)
-        get = self.words.__getitem__
-        got = dict(zip(plain, (b"".join(map(get, ws)) for ws in split)))
-        if other:
-            got.update(zip(other, self._each(other)))
-        for w in [w for w in words if len(w) > LONGEST]:
-            del self.words[w]
-        return got
+    def _encoded(self, split: list[list[str]], known: dict[str, bytes], learn) -> tuple[list[bytes], dict[str, bytes]]:
+        """Ids of each list of pieces, and the cache for the next call: no more than ``CACHE`` pieces, none of them long."""
+        held = set().union(*split)
+        new = list(held.difference(known))
+        fresh = dict(zip(new, learn(new))) if new else {}
+        if len(known) + len(fresh) > CACHE:
+            known = {w: known[w] for w in held if w in known}
+        known.update(fresh)
+        get = known.__getitem__
+        out = [b"".join(map(get, ws)) for ws in split]
+        for w in [w for w in fresh if len(w) > LONGEST]:
+            del known[w]
+        return out, known if len(known) <= CACHE else {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        whole = {k: self._each([t])[0] for k, t in enumerate(texts) if "<|" in t}
-        split = [() if k in whole else t.split(" ") for k, t in enumerate(texts)]
-        fresh = list(set().union(*split).difference(self.chunks)) if split else []
-        got = self._learn(fresh) if fresh else {}
-        if len(self.chunks) + len(got) > CACHE:
-            self.chunks = {c: self.chunks[c] for cs in split for c in cs if c in self.chunks}
-        self.chunks.update(got)
-        get = self.chunks.__getitem__
-        out = [whole[k] if k in whole else b"".join(map(get, cs)) for k, cs in enumerate(split)]
-        for c in [c for c in got if len(c) > LONGEST]:
-            del self.chunks[c]
+        out = [b""] * len(texts)
+        plain, other = [], []
+        for k, t in enumerate(texts):
+            if "<|" in t:
+                out[k] = self._each([t])[0]
+            else:
+                (plain if _latin(t) else other).append(k)
+        coded, self.words = self._encoded([_WORDS.findall(texts[k].lower()) for k in plain], self.words, self._joined)
+        for k, ids in zip(plain, coded):
+            out[k] = ids
+        coded, self.chunks = self._encoded([texts[k].split(" ") for k in other], self.chunks, self._each)
+        for k, ids in zip(other, coded):
+            out[k] = ids
         return out
 
 
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
