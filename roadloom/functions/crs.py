@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,52 +122,107 @@ def _constants(crs: Crs) -> tuple[float, float, float, list[float], list[float]]
     return math.sqrt(f * (2 - f)), crs.scale * radius, n, series(FORWARD), series(INVERSE)
 
 
-def project(lon: Column, lat: Column, crs: Crs) -> tuple[Column, Column]:
-    """Easting and northing of degrees."""
+Step = Callable[[Column, Column], tuple[Column, Column]]
+
+
+def _forward_steps(crs: Crs) -> list[Step]:
     e, radius, _, alpha, _ = _constants(crs)
-    sine = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(sine) - e * F.atanh(e * sine))
-    turn = F.radians(lon - crs.central_meridian)
-    xi = F.atan2(t, F.cos(turn))
-    eta = F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
-    north, east = xi, eta
-    for j, a in enumerate(alpha, 1):
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    return crs.false_easting + radius * east, crs.false_northing + radius * north
 
+    def to_sphere(lon: Column, lat: Column) -> tuple[Column, Column]:
+        sine, turn = F.sin(F.radians(lat)), F.radians(lon - crs.central_meridian)
+        return F.atanh(sine) - e * F.atanh(e * sine), turn
 
-def unproject(x: Column, y: Column, crs: Crs) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees."""
+    def to_plane(level: Column, turn: Column) -> tuple[Column, Column]:
+        t = F.sinh(level)
+        return F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+
+    def with_series(xi: Column, eta: Column) -> tuple[Column, Column]:
+        north, east = xi, eta
+        for j, a in enumerate(alpha, 1):
+            north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+            east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        return crs.false_easting + radius * east, crs.false_northing + radius * north
+
+    return [to_sphere, to_plane, with_series]
+
+
+def _backward_steps(crs: Crs) -> list[Step]:
     e, radius, _, _, beta = _constants(crs)
-    xi, eta = (y - crs.false_northing) / radius, (x - crs.false_easting) / radius
-    xi0, eta0 = xi, eta
-    for j, b in enumerate(beta, 1):
-        xi0 = xi0 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta0 = eta0 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    level = F.asinh(F.sin(xi0) / F.sqrt(F.sinh(eta0) * F.sinh(eta0) + F.cos(xi0) * F.cos(xi0)))
-    sine = F.tanh(level)
-    for _ in range(7):  # each turn gains over two digits
-        sine = F.tanh(level + e * F.atanh(e * sine))
-    lat = F.degrees(F.atan(F.sinh(level + e * F.atanh(e * sine))))
-    return crs.central_meridian + F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0))), lat
 
+    def without_series(x: Column, y: Column) -> tuple[Column, Column]:
+        xi, eta = (y - crs.false_northing) / radius, (x - crs.false_easting) / radius
+        xi0, eta0 = xi, eta
+        for j, b in enumerate(beta, 1):
+            xi0 = xi0 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+            eta0 = eta0 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        return xi0, eta0
 
-def transform(x: Column, y: Column, source: Crs, target: Crs) -> tuple[Column, Column]:
-    """Coordinates of ``source`` in ``target``; unchanged where they are equal."""
+    def to_sphere(xi: Column, eta: Column) -> tuple[Column, Column]:
+        tangent = F.sinh(eta)
+        return F.atan2(tangent, F.cos(xi)), F.asinh(F.sin(xi) / F.sqrt(tangent * tangent + F.cos(xi) * F.cos(xi)))
+
+    def to_degrees(turn: Column, level: Column) -> tuple[Column, Column]:
+        sine = F.tanh(level)
+        for _ in range(7):  # each turn gains over two digits
+            sine = F.tanh(level + e * F.atanh(e * sine))
+        return crs.central_meridian + F.degrees(turn), F.degrees(F.atan(F.sinh(level + e * F.atanh(e * sine))))
+
+    return [without_series, to_sphere, to_degrees]
+
+
+def _steps(source: Crs, target: Crs) -> list[Step]:
     if source == target:
-        return x, y
+        return []
     if (source.semi_major, source.inverse_flattening) != (target.semi_major, target.inverse_flattening):
         raise ValueError("datum shifts are not supported")
-    if source.projected:
-        x, y = unproject(x, y, source)
-    return project(x, y, target) if target.projected else (x, y)
+    return (_backward_steps(source) if source.projected else []) + (_forward_steps(target) if target.projected else [])
+
+
+def transform(x: Column, y: Column, source: Crs, target: Crs) -> tuple[Column, Column]:
+    """Coordinates of ``source`` in ``target``; unchanged where they are equal."""
+    for step in _steps(source, target):
+        x, y = step(x, y)
+    return x, y
+
+
+def project(lon: Column, lat: Column, crs: Crs) -> tuple[Column, Column]:
+    """Easting and northing of degrees."""
+    return transform(lon, lat, replace(crs, projected=False), crs)
+
+
+def unproject(x: Column, y: Column, crs: Crs) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees."""
+    return transform(x, y, crs, replace(crs, projected=False))
+
+
+def transform_vertices(vertices: Column, source: Crs, target: Crs) -> Column:
+    """An array of vertices moved to ``target``. Every step is a pass of its own, so no expression is repeated."""
+
+    def applied(step: Step) -> Callable[[Column], Column]:
+        def one(v: Column) -> Column:
+            x, y = step(v["x"], v["y"])
+            return F.struct(x.alias("x"), y.alias("y"))
+
+        return one
+
+    for step in _steps(source, target):
+        vertices = F.transform(vertices, applied(step))
+    return vertices
+
+
+def with_transformed(df: DataFrame, source: Crs, target: Crs, out_x: str, out_y: str, x: str = "x", y: str = "y") -> DataFrame:
+    """Add ``out_x`` and ``out_y``, the point moved to ``target``. Every step is a projection of its own, which stays small."""
+    if out_x not in (x, y) or out_y not in (x, y):
+        df = df.withColumns({out_x: F.col(x), out_y: F.col(y)})
+    for step in _steps(source, target):
+        moved = step(F.col(out_x), F.col(out_y))
+        df = df.withColumns({out_x: moved[0], out_y: moved[1]})
+    return df
 
 
 def reproject_points(df: DataFrame, source: Crs, target: Crs, x: str = "x", y: str = "y") -> DataFrame:
     """Points with ``x`` and ``y`` moved to ``target``; other columns are kept."""
-    new_x, new_y = transform(F.col(x), F.col(y), source, target)
-    return df if source == target else df.withColumns({x: new_x, y: new_y})
+    return with_transformed(df, source, target, x, y, x, y)
 
 
 def reproject_lines(df: DataFrame, source: Crs, target: Crs, parts: str = "parts") -> DataFrame:
@@ -174,8 +230,4 @@ def reproject_lines(df: DataFrame, source: Crs, target: Crs, parts: str = "parts
     if source == target:
         return df
 
-    def moved(v: Column) -> Column:
-        x, y = transform(v["x"], v["y"], source, target)
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    return df.withColumn(parts, F.transform(parts, lambda part: F.transform(part, moved)))
+    return df.withColumn(parts, F.transform(parts, lambda part: transform_vertices(part, source, target)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadloom.functions.crs import WGS84, Crs, transform
+from roadloom.functions.crs import WGS84, Crs, transform_vertices, with_transformed
 from roadloom.operators.keys import dense_index
 from roadloom.operators.summarize import sizes
 
@@ -24,8 +24,7 @@ NOISE_COLOUR, FALLBACK_COLOUR = "grey", "black"
 
 def geographic(points: DataFrame, crs: Crs) -> DataFrame:
     """``points`` with ``lon`` and ``lat``."""
-    lon, lat = transform(F.col("x"), F.col("y"), crs, WGS84)
-    return points.withColumns({"lon": lon, "lat": lat})
+    return with_transformed(points, crs, WGS84, "lon", "lat")
 
 
 def map_center(points: DataFrame) -> DataFrame:
@@ -114,12 +113,8 @@ def tooltip_fields(df: DataFrame) -> list[str]:
 
 def road_layer(roads: DataFrame, crs: Crs) -> DataFrame:
     """``geojson, tooltip`` of each road, in degrees."""
-
-    def coordinate(v: Column) -> Column:
-        lon, lat = transform(v["x"], v["y"], crs, WGS84)
-        return F.array(lon, lat)
-
-    shape = F.struct(F.lit("MultiLineString").alias("type"), F.transform("parts", lambda p: F.transform(p, coordinate)).alias("coordinates"))
+    coordinates = F.transform("parts", lambda p: F.transform(transform_vertices(p, crs, WGS84), lambda v: F.array(v["x"], v["y"])))
+    shape = F.struct(F.lit("MultiLineString").alias("type"), coordinates.alias("coordinates"))
     lines = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in tooltip_fields(roads)]
     return roads.select("road_uid", F.to_json(shape).alias("geojson"), (F.concat_ws("<br>", *lines) if lines else F.lit("")).alias("tooltip"))
 
