@@ -38,20 +38,45 @@ BROADCAST_ROWS = 20_000
 _SPAN = "array<struct<start:bigint,end:bigint,hit:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once; expressions inside functions on arrays are computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _chunks(items: Column) -> Column:
+    """An array cut into about as many runs as each is long, so that growing arrays stay short."""
+    size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int"))
+    runs = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int"))
+    return F.when(F.size(items) > 0, F.transform(runs, lambda k: F.slice(items, k * size + 1, size))).otherwise(F.array())
+
+
+def _before(values: Column, least: Column, join) -> Column:
+    """For each number of an array what ``join`` makes of all before it, starting with ``least``."""
+    start = F.struct(least.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(values, start, lambda acc, v: F.struct(join(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """All matches with code point offsets."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast(_SPAN).alias("out"))
+    zero = F.lit(0).cast("long")
+
+    def paired(hits: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        return F.zip_with(between, hits, lambda g, h: F.struct(F.length(g).cast("long").alias("gap"), F.length(h).cast("long").alias("long"), h.alias("hit")))
 
     def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.length(x["hit"])
-        one = F.array(F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), x["hit"].alias("hit")))
-        return F.struct(b.cast("long").alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast(_SPAN)), one).alias("out"))
+        a = acc["at"] + x["gap"]
+        one = F.array(F.struct(a.alias("start"), (a + x["long"]).alias("end"), x["hit"].alias("hit")))
+        return F.struct((a + x["long"]).alias("at"), F.concat(acc["out"], one).alias("out"))
 
-    pairs = F.zip_with(between, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.coalesce(F.aggregate(pairs, start, step, lambda acc: acc["out"]), F.array().cast(_SPAN))
+    def placed(run: Column, at: Column) -> Column:
+        return F.aggregate(run, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
+
+    def located(runs: Column) -> Column:
+        lengths = F.transform(runs, lambda run: F.aggregate(run, zero, lambda n, x: n + x["gap"] + x["long"]))
+        return F.flatten(F.zip_with(runs, _before(lengths, zero, lambda a, b: a + b), placed))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: _let(paired(hits), lambda pairs: _let(_chunks(pairs), located)))
 
 
 def _digits(hit: Column) -> Column:
@@ -103,11 +128,10 @@ def _candidates(text: str = "body") -> Column:
     """Tokens with digits, their offsets and the words around them."""
     body = F.col(text)
     spans = _spans(body, TOKEN)
-    gaps = F.split(body, TOKEN, -1)
     word = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
-    def context(s: Column, k: Column) -> Column:
-        before, after = F.substring(F.element_at(gaps, k + 1), -NEAR, NEAR), F.substring(F.element_at(gaps, k + 2), 1, NEAR)
+    def context(s: Column, around: Column) -> Column:
+        before, after = around["before"], around["after"]
         lead, tail = F.length(F.regexp_extract(s["hit"], r"^[^\p{L}\p{N}+]*+", 0)), F.length(F.regexp_extract(F.substring(s["hit"], -NEAR, NEAR), r"[^\p{L}\p{N}]*$", 0))
         return F.struct(
             (s["start"] + lead).alias("start"),
@@ -118,8 +142,25 @@ def _candidates(text: str = "body") -> Column:
             word(F.regexp_extract(after, r"^\s*(\S+)", 1)).alias("right1"),
         )
 
+    def around(gaps: Column) -> Column:
+        n = F.size(gaps) - 1
+        ends = lambda a, b: F.struct(F.substring(a, -NEAR, NEAR).alias("before"), F.substring(b, 1, NEAR).alias("after"))
+        return F.when(n > 0, F.zip_with(F.slice(gaps, F.lit(1), n), F.slice(gaps, F.lit(2), n), ends)).otherwise(F.array().cast("array<struct<before:string,after:string>>"))
+
     kind = "array<struct<start:bigint,end:bigint,token:string,left2:string,left1:string,right1:string>>"
-    return F.when(body.rlike("[0-9]"), F.transform(spans, context)).otherwise(F.array().cast(kind)).cast(kind)
+    found = F.zip_with(spans, _let(F.split(body, TOKEN, -1), around), context)
+    return F.when(body.rlike("[0-9]"), found).otherwise(F.array().cast(kind)).cast(kind)
+
+
+def _with_seed(cands: Column, base: Column) -> Column:
+    """Candidates with ``seed``: whether a base span touches them. Each run of candidates meets the spans around it only."""
+
+    def of_run(run: Column) -> Column:
+        low, high = F.element_at(run, 1)["start"], F.array_max(F.transform(run, lambda c: c["end"]))
+        near = F.filter(base, lambda b: (b["start"] < high) & (b["end"] > low))
+        return _let(near, lambda spans: F.transform(run, lambda c: c.withField("seed", F.exists(spans, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))))
+
+    return F.flatten(F.transform(_chunks(cands), of_run))
 
 
 def _base_list() -> Column:
@@ -132,8 +173,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     rows = with_base(rows).withColumn("cands", _candidates())
     rows = rows.withColumn("cands", F.filter("cands", lambda c: (F.length(c["token"]) >= 6) & (F.length(_digits(c["token"])) >= 3) & (c["left1"] != "")))
     rows = rows.select("doc_id", F.xxhash64("body").alias("text_hash"), _base_list().alias("base"), "cands")
-    touched = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
-    return cut(rows.withColumn("cands", F.transform("cands", lambda c: c.withField("seed", touched(c)))).withColumn("row", F.monotonically_increasing_id()))
+    return cut(rows.withColumn("cands", _with_seed(F.col("cands"), F.col("base"))).withColumn("row", F.monotonically_increasing_id()))
 
 
 def discover(rows: DataFrame) -> DataFrame:
@@ -167,32 +207,52 @@ def find(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.concat_ws(",", F.when(base != "", base), F.when(more != "", more)).alias("spans"))
 
 
+def _masked(body: Column, spans: Column) -> Column:
+    """``body`` with sorted ``spans`` replaced by their kinds; of overlapping ones the first is replaced."""
+    zero = F.lit(0).cast("long")
+
+    def of_run(run: Column, first: Column) -> Column:
+        last = F.greatest(first, F.array_max(F.transform(run, lambda s: s["end"])))
+
+        def within(text: Column) -> Column:
+            part = lambda a, b: text.substr((a - first + 1).cast("int"), (b - a).cast("int"))
+
+            def step(acc: Column, s: Column) -> Column:
+                more = F.concat(acc["out"], part(acc["at"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+
+            return F.aggregate(run, F.struct(first.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+        return _let(body.substr((first + 1).cast("int"), (last - first).cast("int")), within)
+
+    def joined(runs: Column) -> Column:
+        ends = F.transform(runs, lambda run: F.array_max(F.transform(run, lambda s: s["end"])))
+        return F.array_join(F.zip_with(runs, _before(ends, zero, F.greatest), of_run), "")
+
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.concat(_let(_chunks(spans), joined), body.substr((last + 1).cast("int"), F.length(body)))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """Replace every span by ``[KIND]``; other columns are kept, and ``n_chars``, if there, is counted anew."""
     extra = discover(_scan(docs)).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(F.lit("identifier").alias("kind"), "start", "end")).alias("_extra"))
     extra = cut(extra.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_extra"))
     columns, kind = docs.columns, "array<struct<kind:string,start:bigint,end:bigint>>"
-    rows = docs.withColumn("_body", F.coalesce(F.col("text"), F.lit("")))
+    own = [f"_own_{k}" for k in range(len(columns))]  # so that no name can clash with those used here
+    rows = docs.toDF(*own)
+    doc_id, text = own[columns.index("doc_id")], own[columns.index("text")]
+    rows = rows.withColumn("_body", F.coalesce(F.col(text), F.lit("")))
     found = extra.limit(BROADCAST_ROWS + 1).count()
     if found == 0:
         rows = rows.withColumn("_extra", F.array().cast(kind))
     else:
-        same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("_body") == F.col("_hash"))
-        rows = rows.join(F.broadcast(extra) if found <= BROADCAST_ROWS else extra, same, "left")
-    held = rows.select(*columns, "_body", "_extra")
-    based = with_base(held.select(*[F.col(c).alias(f"_own_{c}") for c in columns], "_body", "_extra"), "_body")
+        same = F.col(doc_id).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("_body") == F.col("_hash"))
+        rows = rows.join(F.broadcast(extra) if found <= BROADCAST_ROWS else extra, same, "left").drop("_doc", "_hash")
+    rows = with_base(rows, "_body")
     spans = F.array_sort(F.concat(_base_list(), F.coalesce("_extra", F.array().cast(kind))), lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(b["end"] - a["end"]).cast("int")))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.col("_body").substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
-
-    end = lambda acc: F.concat(acc["out"], F.col("_body").substr((acc["at"] + 1).cast("int"), F.length("_body")))
-    fresh = F.when(F.size("_spans") > 0, F.aggregate("_spans", begin, step, end)).otherwise(F.col("_own_text"))
-    out = based.withColumn("_spans", spans).withColumn("_fresh", fresh)
-    own = {c: F.col(f"_own_{c}").alias(c) for c in columns} | {"text": F.col("_fresh").alias("text")}
+    rows = rows.withColumn("_spans", spans).withColumn("_fresh", F.when(F.size("_spans") > 0, _masked(F.col("_body"), F.col("_spans"))).otherwise(F.col(text)))
+    out = {o: F.col(o) for o in own} | {text: F.col("_fresh")}
     if "n_chars" in columns:
-        kept = docs.schema["n_chars"].dataType
-        own["n_chars"] = F.when(F.size("_spans") > 0, F.length("_fresh").cast(kept)).otherwise(F.col("_own_n_chars")).alias("n_chars")
-    return out.select(*(own[c] for c in columns))
+        n_chars = own[columns.index("n_chars")]
+        out[n_chars] = F.when(F.size("_spans") > 0, F.length("_fresh").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n_chars))
+    return rows.select(*(c.alias(name) for name, c in zip(columns, out.values())))
