@@ -23,6 +23,8 @@ from roadloom.llm import tokens
 from roadloom.session import cut
 
 PIECES_PER_BIN = 8_000
+#: Texts that a task tokenizes at a time.
+TEXTS = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -86,9 +88,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int =
         enc, end, step = tokens.encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * size
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 512):
+            for at in range(0, batch.num_rows, TEXTS):
                 out = [[], [], [], [], []]
-                block = [t or "" for t in texts.slice(at, 512).to_pylist()]
+                block = [t or "" for t in texts.slice(at, TEXTS).to_pylist()]
                 for k, coded in enumerate(enc.encode(block)):
                     coded += end
                     for a in range(0, len(coded), step):

@@ -24,8 +24,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -39,19 +39,24 @@ class Encoder:
             return self._each(words)
         return [ids[a:b] for a, b in zip([0, *cuts], [*cuts, len(ids)])]
 
-    def _encoded(self, split: list[list[str]], known: dict[str, bytes], learn) -> tuple[list[bytes], dict[str, bytes]]:
-        """Ids of each list of pieces, and the cache for the next call: no more than ``CACHE`` pieces, none of them long."""
-        held = set().union(*split)
-        new = list(held.difference(known))
-        fresh = dict(zip(new, learn(new))) if new else {}
-        if len(known) + len(fresh) > CACHE:
-            known = {w: known[w] for w in held if w in known}
-        known.update(fresh)
-        get = known.__getitem__
+    def _encoded(self, split: list[list[str]], cache: tuple, learn) -> tuple[list[bytes], tuple]:
+        """Ids of each list of pieces, and the cache for the next call.
+
+        The cache has a young and an old half. What is used moves to the young one; when that is full it becomes the old
+        one, so frequent pieces stay. Neither half keeps long pieces.
+        """
+        young, old = cache
+        new = set().union(*split).difference(young)
+        again = [w for w in new if w in old]
+        fresh = list(new.difference(again))
+        young.update((w, old[w]) for w in again)
+        if fresh:
+            young.update(zip(fresh, learn(fresh)))
+        get = young.__getitem__
         out = [b"".join(map(get, ws)) for ws in split]
         for w in [w for w in fresh if len(w) > LONGEST]:
-            del known[w]
-        return out, known if len(known) <= CACHE else {}
+            del young[w]
+        return out, (young, old) if len(young) <= CACHE // 2 else ({}, young)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
