@@ -144,26 +144,27 @@ def reshard(docs: DataFrame, shards_old: int = 32, shards_new: int = 40, old: Co
     """
     held = F.pmod(F.xxhash64("doc_id"), F.lit(shards_old)) if old is None else old
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = cut(docs.select("doc_id", row_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), held.cast("int").alias("old"), *(carry or [])))
+    rows = cut(docs.select("doc_id", row_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), held.cast("int").alias("old"), F.struct(*carry).alias("carried") if carry else F.lit(None).alias("carried")))
     flow = plan_transfers(rows, shards_old, shards_new)
-    return assign(rows, flow, shards_old, ["doc_id", "text_crc32"])
+    placed = assign(rows, flow, shards_old, ["doc_id", "text_crc32"])
+    return placed.select("*", "carried.*").drop("carried") if carry else placed.drop("carried")
 
 
 def rewrite(spark: SparkSession, old_path: str, new_path: str, shards_new: int) -> DataFrame:
     """Reshard a table in folders ``shard=<n>`` and rewrite the affected shards only.
 
-    A shard is affected if it sends or gets bytes. The affected ones are written below ``new_path``; the
-    returned manifest (``shard, path``) names for each shard the folder that now holds its rows, which for an
-    unaffected one is the old folder.
+    A shard is affected if it sends or gets bytes. The affected ones are written below ``new_path``, their rows in
+    the order of their slots. The returned manifest (``shard, path``) names for each shard the folder that now
+    holds its rows, which for an unaffected one is the old folder.
     """
     docs = spark.read.parquet(old_path)
     shards_old = int(docs.agg(F.max("shard")).first()[0] or 0) + 1
     payload = [c for c in docs.columns if c not in ("doc_id", "shard")]
-    rows = docs.select("doc_id", *payload, row_size(F.col("text")).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), F.col("shard").cast("int").alias("old"))
+    rows = docs.select("doc_id", F.struct(*payload).alias("payload"), row_size(F.col("text")).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), F.col("shard").cast("int").alias("old"))
     flow = plan_transfers(rows, shards_old, shards_new)
     touched = sorted({k for (i, j) in flow if i != j for k in (i, j)})
     if touched:
         part = {ij: a for ij, a in flow.items() if ij[0] in touched}
-        assign(rows.where(F.col("old").isin(touched)), part, shards_old, ["doc_id", "text_crc32"]).select("doc_id", *payload, "slot", "shard").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(new_path)
+        assign(rows.where(F.col("old").isin(touched)), part, shards_old, ["doc_id", "text_crc32"]).repartition("shard").sortWithinPartitions("shard", "slot").select("doc_id", "payload.*", "shard").write.partitionBy("shard").parquet(new_path)
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("path", T.StringType())])
     return spark.createDataFrame([(k, f"{new_path if k in touched else old_path}/shard={k}") for k in range(max(shards_new, shards_old)) if k in touched or any(k in ij for ij in flow)], schema)

@@ -235,7 +235,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("text_hash"))
     best = rows.groupBy("component").agg(F.min(rank).alias("best")).select("best.doc_id", "best.text_hash")
     stays = cut(best.select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("stay_id")) & (text_hash == F.col("stay_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(stays["stay_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == stays["stay_hash"])
     kept = docs.join(stays, same, "left_semi")
     if kept.select("doc_id").count() > stays.count():  # repeated rows of one id and text: one of them stays
         kept = kept.dropDuplicates(["doc_id", "text"])
