@@ -1,9 +1,5 @@
 import pytest
-from pyspark.sql import functions as F
-
-SF = "/root/testdata/sf0.001"
-#: Names that operators use themselves.
-CLASHING = ["row", "score", "shard", "fp", "component", "size", "old", "pattern", "bin", "key", "word", "class", "n", "trains", "body", "base", "email", "base_", "cands", "_extra", "id", "y", "stay_id"]
+from corpus_tables import SF, table
 
 
 @pytest.fixture(scope="session")
@@ -19,13 +15,6 @@ def docs(shipped):
     return shipped.read.parquet(f"{SF}/documents.parquet")
 
 
-def table(spark, rows):
-    """Documents with all columns of the real table and some with clashing names."""
-    held = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    held = held.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
-    return held.withColumns({c: F.lit(7) for c in CLASHING})
-
-
 @pytest.fixture(scope="session")
 def edge(shipped):
     long = " ".join(f"word{k % 977} alpha{k % 31}," for k in range(15_000))

@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from conftest import SF, table
+from corpus_tables import SF, table
 
 from roadloom.llm import decontaminate
 

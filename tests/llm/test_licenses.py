@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from conftest import table
+from corpus_tables import table
 from roadloom.llm import licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

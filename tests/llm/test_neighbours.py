@@ -1,7 +1,7 @@
 import math
 
 import numpy as np
-from conftest import SF
+from corpus_tables import SF
 from pyspark.sql import functions as F
 
 from roadloom.llm import neighbours

@@ -2,7 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
-from conftest import table  # noqa: F401  (tests/llm/conftest.py)
+from corpus_tables import table
 from roadloom.llm import pii
 
 PATTERNS = {

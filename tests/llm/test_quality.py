@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import SF
+from corpus_tables import SF
 
 from roadloom.llm import quality
 

@@ -1,7 +1,7 @@
 import re
 
 import numpy as np
-from conftest import table
+from corpus_tables import table
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from xxhash import xxh64_intdigest

@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SF
+from corpus_tables import SF
 
 from roadloom.llm import toxicity
 
