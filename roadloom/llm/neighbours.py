@@ -30,9 +30,9 @@ from pyspark.sql.window import Window
 from roadloom.session import cut
 
 SAMPLE, CELLS_PER_ROOT, MOST_CELLS = 65_536, 1.0, 4096
-TARGET, AIM, TRIALS, COVER, RERANK = 0.96, 10, 256, 2_000, 128
+TARGET, AIM, TRIALS, COVER, RERANK = 0.96, 10, 256, 2_000, 48
 SUB, WORDS = 4, 256
-PART_ROWS, PART_QUERIES = 4096, 512
+PART_ROWS, PART_QUERIES, PAIRS = 4096, 512, 1_000_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -103,16 +103,15 @@ class Index:
             out.append(order[: max(share, int(np.searchsorted(held, COVER)) + 1)])
         return out
 
-    def best(self, query: np.ndarray, cell: int, codes: np.ndarray, n: int) -> np.ndarray:
-        """Positions of the ``n`` least asymmetric distances in a cell, the first of equals."""
-        rest = self.split((query - self.centres[cell])[None])[0]
-        far = np.zeros(len(codes), np.float32)
+    def best(self, queries: np.ndarray, cell: int, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, row) of a cell: for each query its ``n`` least asymmetric distances, and all that equal the last."""
+        rest = self.split(queries - self.centres[cell])
+        far = np.zeros((len(codes), len(queries)), np.float32)
         for k, book in enumerate(self.books):
-            far += ((book - rest[k]) ** 2).sum(axis=1)[codes[:, k]]
-        if len(far) <= n:
-            return np.arange(len(far))
-        some = np.flatnonzero(far <= np.partition(far, n - 1)[n - 1])
-        return some[np.argsort(far[some], kind="stable")[:n]]
+            far += squared(book, np.ascontiguousarray(rest[:, k]))[codes[:, k]]
+        far = np.ascontiguousarray(far.T)
+        last = np.partition(far, n - 1, axis=1)[:, n - 1 : n] if far.shape[1] > n else np.inf
+        return np.nonzero(far <= last)
 
 
 def _matrix(column: pa.Array, dim: int, kind=np.float32) -> np.ndarray:
@@ -140,6 +139,21 @@ def fit(rows: DataFrame) -> tuple[Index, DataFrame] | None:
     return Index(_matrix(sample.column(0), dims["d"]), cells), rows
 
 
+def nearest_of(query: np.ndarray, found: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest of each query's candidates, each id once and never its own; of equals the smaller ids."""
+    order = np.lexsort((score, found, query))
+    query, found, score = query[order], found[order], score[order]
+    fresh = np.ones(len(query), bool)
+    fresh[1:] = (query[1:] != query[:-1]) | (found[1:] != found[:-1])
+    fresh &= query != found
+    query, found, score = query[fresh], found[fresh], score[fresh]
+    order = np.lexsort((found, score, query))
+    query, found, score = query[order], found[order], score[order]
+    begin = np.searchsorted(query, query)
+    some = np.arange(len(query)) - begin < k
+    return query[some], found[some], score[some]
+
+
 def search(table: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest rows of ``table`` found for each row of ``queries``."""
     spark = table.sparkSession
@@ -181,19 +195,17 @@ def search(table: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec
     def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if rows.num_rows and queries.num_rows:
-            rows = rows.sort_by("vec_id")
             ids, vectors = rows.column("vec_id").to_numpy(), _matrix(rows.column("vector"), dim, np.float64)
             codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-            cell = queries.column("cell")[0].as_py()
-            for q, v in zip(queries.column("query_id").to_pylist(), _matrix(queries.column("query"), dim, np.float64)):
-                some = sent.value.best(v.astype(np.float32), cell, codes, RERANK)
-                some = some[ids[some] != q]
-                far = np.sqrt(((vectors[some] - v) ** 2).sum(axis=1))
-                order = np.lexsort((ids[some], far))
-                fresh = np.sort(np.unique(ids[some][order], return_index=True)[1])[:k]  # an id counts once
-                out[0].append(np.full(len(fresh), q))
-                out[1].append(ids[some][order][fresh])
-                out[2].append(far[order][fresh])
+            cell, asking = queries.column("cell")[0].as_py(), queries.column("query_id").to_numpy()
+            wanted = _matrix(queries.column("query"), dim, np.float64)
+            step = max(1, PAIRS // len(ids))
+            for a in range(0, len(asking), step):
+                q, r = sent.value.best(wanted[a : a + step].astype(np.float32), cell, codes, RERANK)
+                q, near = asking[q + a], [q + a, r]
+                score = np.sqrt(((vectors[near[1]] - wanted[near[0]]) ** 2).sum(axis=1))
+                for column, value in zip(out, nearest_of(q, ids[r], score, k)):
+                    column.append(value)
         joined = [np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, np.float64), out)]
         return pa.table(joined, ["query_id", "vec_id", "score"])
 
