@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 from corpus_tables import table
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,7 +53,10 @@ def test_edges(shipped, edge, nothing):
     assert len(rows) == len(set(rows)) and {1, 4, 5, 6, 8} <= set(rows) and not {2, 3, 7, 9} & set(rows)
 
 
-def test_one_of_each_group_stays(docs):
+@pytest.mark.parametrize("rows", [0, 100_000])
+def test_one_of_each_group_stays(docs, edge, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", rows)
+    assert sorted(map(str, (r["doc_id"] for r in simhash.deduplicate(edge).collect()))) == sorted(map(str, [1, 4, 5, 6, 8, 10, 11, 12, 13, None]))
     components = {r["component_id"] for r in simhash.components(simhash.fingerprints(docs)).collect()}
     assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == sorted(components)
 
