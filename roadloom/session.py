@@ -35,8 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch: rows may be large, and a task holds several batches at a time.
+ARROW_BATCH, ARROW_KEY = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, as ``--py-files`` would."""
+    """Send this package to the executors once per application, as ``--py-files`` would, and keep Arrow batches small.
+
+    A session that sets its own size of batches keeps it.
+    """
+    if spark.conf.get(ARROW_KEY) in ("67108864b", "64m"):  # Spark's default
+        spark.conf.set(ARROW_KEY, ARROW_BATCH)
     sc = spark.sparkContext
     if getattr(sc, "_roadloom_shipped", False):
         return
