@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from roadloom.llm.columnar import Words, blocks
 from roadloom.operators.components import connected_components
@@ -31,6 +30,10 @@ from roadloom.session import cut
 RADIUS, SHINGLE = 3, 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit, width
 TILE = 4096
+#: Bytes of text that are hashed at a time.
+BLOCK = 1_000_000
+#: Up to this many keys of documents that go are sent to all tasks; beyond that, keys of those that stay are joined.
+BROADCAST_ROWS = 100_000
 SMALL = 64
 
 
@@ -69,7 +72,7 @@ def fingerprints(docs: DataFrame, keep: dict | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.zeros(0, np.uint64)]
-            for _, data, offsets in blocks(batch.column(batch.num_columns - 1)):
+            for _, data, offsets in blocks(batch.column(batch.num_columns - 1), BLOCK):
                 out.append(bit_majority(*shingle_hashes(Words(data, offsets))))
             rest = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.record_batch([*rest, pa.array(np.concatenate(out).view(np.int64))], [*batch.schema.names[:-1], "fp"])
@@ -208,7 +211,8 @@ def links(nodes: DataFrame) -> DataFrame:
     part = lambda b: F.shiftright(F.col("fp"), b[0]).bitwiseAND((1 << b[1]) - 1)
     tables = [(F.shiftleft(F.lit(t).cast("long"), 32) + F.shiftleft(part(x), 13) + part(y)).alias("key") for t, (x, y) in enumerate(combinations(BLOCKS, 2))]
     rows = nodes.select("fp", F.explode(F.array(*tables)).alias("key"))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    # counted with map-side combine and joined back, so that one large bucket may be read by many tasks
+    rows = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     rows = rows.withColumns({"tiles": tiles, "own": F.pmod(F.xxhash64("fp"), tiles).cast("int")})
     # a bucket of one tile stays whole; of a larger one, each row goes to every pair of tiles that has its own
@@ -234,9 +238,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = components(prints)
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("text_hash"))
     best = rows.groupBy("component").agg(F.min(rank).alias("best")).select("best.doc_id", "best.text_hash")
-    stays = cut(best.select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash")))
-    same = docs["doc_id"].cast("long").eqNullSafe(stays["stay_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == stays["stay_hash"])
-    kept = docs.join(stays, same, "left_semi")
-    if kept.select("doc_id").count() > stays.count():  # repeated rows of one id and text: one of them stays
+    key = {"key_id": F.col("doc_id"), "key_hash": F.col("text_hash")}
+    same = lambda of: docs["doc_id"].cast("long").eqNullSafe(of["key_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == of["key_hash"])
+    stays = cut(best.select(*(c.alias(k) for k, c in key.items())))
+    keys = prints.select(*(c.alias(k) for k, c in key.items())).distinct()
+    goes = cut(keys.join(stays, keys["key_id"].eqNullSafe(stays["key_id"]) & (keys["key_hash"] == stays["key_hash"]), "left_anti"))
+    if goes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        kept = docs.join(F.broadcast(goes), same(goes), "left_anti")
+    else:
+        kept = docs.join(stays, same(stays), "left_semi")
+    if prints.count() > keys.count():  # repeated rows of one id and text: one of them stays
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
