@@ -35,6 +35,8 @@ from roadloom.llm.columnar import ALNUM, Words, blocks
 
 SHINGLE, SIMILAR, RADIUS = 5, 0.8, 24
 CHUNK_BYTES = 8_000_000
+#: Shingles of windows that are fingerprinted at a time.
+WINDOW_SHINGLES = 400_000
 _EDGES = np.linspace(0, 64, RADIUS + 2).round().astype(int)
 
 
@@ -110,8 +112,9 @@ def leaks(items: Items, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int
             total = np.concatenate([[0], np.cumsum(own)])
             need = np.ceil(2 * SIMILAR / (1 + SIMILAR) * m - 1e-9)
             start = np.flatnonzero((total[m:] - total[:-m] >= need) & (doc[: len(doc) - m + 1] == doc[m - 1 :]))
-            for s in range(0, len(start), 2000):
-                window = start[s : s + 2000]
+            step = max(1, WINDOW_SHINGLES // m)
+            for s in range(0, len(start), step):
+                window = start[s : s + step]
                 shingles = value[window[:, None] + np.arange(m)[None, :]]
                 for w, i in zip(*(x.tolist() for x in items.near(n, simhash(shingles)))):
                     have, want = Counter(shingles[w].tolist()), items.weights[n][i]
