@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom.functions import geometry
 from roadloom.functions.crs import Crs, parse, reproject_lines, reproject_points, to_wkt
 from roadloom.operators import associate, clean, dbscan, roads, summarize
 from roadloom.render import html, static
@@ -72,7 +73,7 @@ def prepare(points: DataFrame, points_crs: Crs, lines: DataFrame, lines_crs: Crs
     if clean_points.isEmpty():
         raise AnalysisError("no valid points")
     moved = reproject_lines(clean.clean_roads(lines, on_invalid=on_invalid), lines_crs, points_crs)
-    kept = cut(moved.where(clean.g.valid_line(F.col("parts"))))
+    kept = cut(moved.where(geometry.valid_line(F.col("parts"))))
     if kept.isEmpty():
         raise AnalysisError("no valid roads")
     return clean_points, kept
@@ -108,7 +109,7 @@ def analyze(
     found = cut(associate.associate(points, lines))
     LOG.info("associated %s", associate.association_counts(found).first())
     attributes = [c for c in raw_points.columns if c not in ("record_no", "kind", "x", "y")]
-    saved = found.where(clean.g.valid_point(F.col("x"), F.col("y"))).select("x", "y", *attributes, "road_uid", "dist_to_road")
+    saved = found.where(geometry.valid_point(F.col("x"), F.col("y"))).select("x", "y", *attributes, "road_uid", "dist_to_road")
     saved.write.format("geopackage").options(**srid).mode("overwrite").save(files["points"])
     labelled = cut(dbscan.cluster(found, adjacent, eps, min_pts))
     counts = summarize.run_counts(labelled).first().asDict()
