@@ -11,7 +11,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import decontaminate, packing, pii, simhash, toxicity
+from roadloom.llm import decontaminate, packing, pii, similar, toxicity
 from roadloom.session import ensure_checkpoint_dir, ship
 
 #: Vocabulary for the packing stage.
@@ -25,9 +25,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies (five-word similarity of 0.8 or more) stays."""
     ship(spark)
-    return simhash.deduplicate(docs)
+    return similar.deduplicate(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

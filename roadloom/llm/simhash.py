@@ -235,7 +235,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component stays: the one with the smallest id. All columns of ``docs`` are kept."""
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     prints = cut(fingerprints(docs, {"text_hash": text_hash}))
-    rows = components(prints)
+    return one_of_each(docs, prints, components(prints))
+
+
+def one_of_each(docs: DataFrame, prints: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without those that aren't the first of their ``component``; ``prints`` and ``rows`` have ``doc_id`` and ``text_hash``."""
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("text_hash"))
     best = rows.groupBy("component").agg(F.min(rank).alias("best")).select("best.doc_id", "best.text_hash")
     key = {"key_id": F.col("doc_id"), "key_hash": F.col("text_hash")}
