@@ -171,7 +171,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     """One narrow row per document: base spans and candidate tokens, no text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("body"))
     rows = with_base(rows).withColumn("cands", _candidates())
-    rows = rows.withColumn("cands", F.filter("cands", lambda c: (F.length(c["token"]) >= 6) & (F.length(_digits(c["token"])) >= 3) & (c["left1"] != "")))
+    rows = rows.withColumn("cands", F.filter("cands", lambda c: (F.length(c["token"]) >= 6) & (F.length(_digits(c["token"])) >= 3)))
     rows = rows.select("doc_id", F.xxhash64("body").alias("text_hash"), _base_list().alias("base"), "cands")
     return cut(rows.withColumn("cands", _with_seed(F.col("cands"), F.col("base"))).withColumn("row", F.monotonically_increasing_id()))
 
@@ -181,7 +181,8 @@ def discover(rows: DataFrame) -> DataFrame:
     each = rows.select("row", "doc_id", "text_hash", F.explode("cands").alias("c")).select("row", "doc_id", "text_hash", "c.*")
     instance = F.xxhash64("token")
     shapes = F.array(F.xxhash64(F.lit(1), "left2", "left1"), F.xxhash64(F.lit(2), "left1", "right1"))
-    uses = each.withColumn("instance", instance).withColumn("pattern", F.explode(shapes))
+    # contexts need a word before the token; accepted instances are found wherever they stand
+    uses = each.where("left1 <> ''").withColumn("instance", instance).withColumn("pattern", F.explode(shapes))
     # the graph: distinct edges, so a copied page or one frequent line counts once
     edges = cut(uses.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     score = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed"))

@@ -92,3 +92,14 @@ def test_redaction_keeps_columns_and_hides_spans(shipped, edge, nothing):
     assert held == Counter({(1, text, len(text)): 1, (2, None, None): 1, (3, "clean", 5): 2})
     assert pii.redact(edge).count() == edge.count()
     assert pii.redact(nothing).collect() == []
+
+
+def test_accepted_identifiers_are_found_wherever_they_stand(shipped):
+    token = "AB-77-1234-X"
+    rows = [(k, f"please write to customer contact user{k}@mail{k}.example about it") for k in range(30)]
+    rows += [(100, f"please write to customer contact {token} about it"), (101, f"{token} comes first"), (102, f"ids 12-345-67 {token} here"), (103, f"no. # {token}")]
+    docs = table(shipped, rows)
+    found = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    for k, text in rows[30:]:
+        assert found[k] == f"identifier:{text.index(token)}:{text.index(token) + len(token)}"
+    assert not any(token in r["text"] for r in pii.redact(docs).collect())
