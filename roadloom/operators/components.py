@@ -8,10 +8,17 @@ adaptive execution may split. Edges are de-duplicated each round and only shrink
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.session import cut
+from roadloom.session import cut, ship
+
+#: Up to this many distinct edges are joined up in one task (under 10 MB of arrays).
+FEW = 100_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,17 +34,39 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b) of a whole graph: each node and the smallest node it reaches."""
+    held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    if not held:
+        return
+    node, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    label = np.arange(len(node))
+    while True:
+        before, low = label.copy(), np.minimum(label[a], label[b])
+        for end in (a, b):
+            np.minimum.at(label, label[end], low)
+            np.minimum.at(label, end, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    yield pa.record_batch([pa.array(node), pa.array(node[label])], ["node", "component"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Return ``(node, component)`` for every node that has an edge; ``component`` is the smallest node reachable.
 
     Nulls and self-loops are ignored; repeated and reversed edges change nothing; no edges give an empty
-    table. ``max_rounds`` is a guard: the method takes O(log^2 n) rounds, and the guard raises rather than
+    table. Up to ``FEW`` distinct edges are joined up in one task; of more, each round is a few joins. ``max_rounds`` is a guard: the method takes O(log^2 n) rounds, and the guard raises rather than
     return labels that are not final.
     """
     pairs = edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).where("x <> y")
     now = cut(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    ship(edges.sparkSession)
+    if now.limit(FEW + 1).count() <= FEW:
+        return now.repartition(1).mapInArrow(_one_pass, "node long, component long")
     seen = None
     for _ in range(max_rounds):
         now = cut(_small_star(_large_star(now)))

@@ -165,7 +165,9 @@ def test_dense_index(spark):
     assert [r["i"] for r in keys.dense_index(table, ["k"], "i", 1).orderBy("k").collect()] == list(range(1, 1001))
 
 
-def test_components_of_a_path_and_a_hub(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_of_a_path_and_a_hub(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5, 5), (7, None), (3000, 2000)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[k] == 0 for k in range(201)) and all(got[1000 + k] == 1000 for k in range(300)) and got[3000] == got[2000] == 2000
