@@ -1,4 +1,9 @@
-"""Texts as numpy arrays: the bytes of a block of texts, their words, word hashes and rolling hashes of word runs."""
+"""Texts as numpy arrays: the bytes of a block of texts, their words, word hashes and rolling hashes of word runs.
+
+Blocks hold about ``BLOCK_BYTES``; one text is never split, so a text beyond that is a block of its own. Arrays of
+eight bytes a text byte are made for ``SLICE`` bytes at a time only, whatever the text: a block takes some ten bytes
+a byte of text.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time, so that a task's memory doesn't follow its batch.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
+#: Bytes whose polynomials are computed at a time.
+SLICE = 1 << 18
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -47,7 +54,7 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED, lower: bool = True):
         self.data = LOWER[data] if lower else data
         self.n = len(offsets) - 1
-        flag = table[self.data]
+        self.flag = flag = table[self.data]
         begin = flag.copy()
         begin[1:] &= ~flag[:-1]
         first = offsets[:-1][np.diff(offsets) > 0]
@@ -61,15 +68,36 @@ class Words:
         self.counts = np.diff(self.bounds)
         self.doc = np.repeat(np.arange(self.n), self.counts)
 
+    def cut_long(self, longest: int, overlap: int) -> None:
+        """Cut words of over ``longest`` bytes into pieces of that size that share ``overlap`` bytes, words of their own."""
+        size = self.ends - self.starts
+        if not (size > longest).any():
+            return
+        each = np.where(size > longest, -(-(size - overlap) // (longest - overlap)), 1)
+        word = np.repeat(np.arange(len(size)), each)
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(each) - each, each)
+        self.starts = self.starts[word] + nth * (longest - overlap)
+        self.ends, self.doc = np.minimum(self.starts + longest, self.ends[word]), self.doc[word]
+        self.counts = np.bincount(self.doc, minlength=self.n)
+        self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes: a polynomial from prefix sums, then mixed."""
-        n = len(self.data)
-        powers = _powers(n + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=total[1:])
-            # powers are counted from the end of a fixed span, so a word's value doesn't depend on its place
-            value = (total[self.ends] - total[self.starts]) * _inverse_powers(n + 1)[self.starts]
+        value = np.zeros(len(self.starts), np.uint64)
+        at = 0
+        while at < len(value):
+            low = int(self.starts[at])
+            to = int(np.searchsorted(self.ends, low + SLICE, "right"))
+            if to > at:
+                value[at:to] = _polynomials(self.data[low : int(self.ends[to - 1])], self.starts[at:to] - low, self.ends[at:to] - low)
+            else:  # one word longer than a slice
+                to, width = at + 1, np.array([SLICE])
+                with np.errstate(over="ignore"):
+                    for k, a in enumerate(range(low, int(self.ends[at]), SLICE)):
+                        part = self.data[a : min(a + SLICE, int(self.ends[at]))]
+                        shift = np.uint64(pow(int(_BASE), k * SLICE, 1 << 64))
+                        value[at] += _polynomials(part, width - SLICE, np.array([len(part)]))[0] * shift
+            at = to
         return mix(value)
 
     def runs(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,24 +113,22 @@ class Words:
         return mix(out[at]), at
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> np.ndarray:
-    return _grown("up", n, _BASE)
+def _powers(base: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        factors = np.full(SLICE + 1, base, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors)
 
 
-def _inverse_powers(n: int) -> np.ndarray:
-    return _grown("down", n, np.uint64(pow(int(_BASE), -1, 1 << 64)))
+_UP, _DOWN = _powers(int(_BASE)), _powers(pow(int(_BASE), -1, 1 << 64))
 
 
-def _grown(name: str, n: int, base: np.uint64) -> np.ndarray:
-    if name not in _POWERS or len(_POWERS[name]) < n:
-        with np.errstate(over="ignore"):
-            factors = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
-            factors[0] = 1
-            _POWERS[name] = np.cumprod(factors)
-    return _POWERS[name]
+def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomial of each of some words in at most ``SLICE`` bytes; it doesn't depend on where a word stands."""
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _UP[: len(data)], out=total[1:])
+        return (total[ends] - total[starts]) * _DOWN[starts]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -6,11 +6,12 @@ feature's bins to what the model still misses and adds a small share of it to th
 pairs of features whose joint bins explain most of the rest get tables of their own in the same way. A score is the
 logistic of an intercept plus one table entry for each feature and pair, so scoring is binning and additions on arrays.
 
-The fit takes a bounded sample of labelled rows, ``SAMPLE`` of each label, texts of at most ``SAMPLE_BYTES``; scoring
-covers all rows and whole texts.
+The fit takes a bounded sample of labelled rows, ``SAMPLE`` of each label; their features are made in the tasks and only
+these numbers go to the driver. Scoring covers all rows and whole texts.
 
 Defined cases: null and blank texts have all counts 0 and are scored like any text; repeated rows are scored each; a
-null id is not held out and never learned from; labels that are null, or join no document, are left out; without rows
+null id is not held out and never learned from; texts of any length are read whole, in a block of their own (some
+twenty bytes a byte of text); equal values fall into one bin; labels that are null, or join no document, are left out; without rows
 of both labels every text gets the share of label 1 (0.5 without any labels); an empty table gives an empty result;
 other columns are ignored by ``score`` and kept by ``keep``.
 """
@@ -32,13 +33,13 @@ FEATURES = [
     "log_words", "bytes_per_word", "upper_share", "marks_per_word", "symbol_share", "pipes_per_word", "adjacent_repeats", "distinct_words",
     "digit_share", "stops_per_word", "lines_per_word", "foreign_share", "short_words", "longest_word", "repeated_lines", "capitals",
 ]
-SAMPLE, SAMPLE_BYTES = 4000, 100_000
+SAMPLE = 4000
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 BINS, COARSE, LEAVES, PAIRS = 48, 12, 4, 8
 ROUNDS, RATE, LEAST = 120, 0.15, 5.0
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
-_CLASS = np.zeros(256, np.int64)  # of bytes: 0 other, then as named
+_CLASS = np.zeros(256, np.uint8)  # of bytes: 0 other, then as named
 _LOWER, _UPPER, _MARK, _SYMBOL, _PIPE, _DIGIT, _STOP, _LINE, _FOREIGN = range(1, 10)
 for _k, _chars in ((_LOWER, "abcdefghijklmnopqrstuvwxyz"), (_UPPER, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (_MARK, "!?"), (_SYMBOL, "*$%&#@^~=_<>\\/{}[]+"), (_PIPE, "|"), (_DIGIT, "0123456789"), (_STOP, ".,;:"), (_LINE, "\n")):
     _CLASS[[ord(c) for c in _chars]] = _k
@@ -58,8 +59,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of ``FEATURES`` for each text of a block."""
     words = Words(data, offsets, SPACED, lower=False)
     n, length, count = words.n, np.diff(offsets), words.counts
-    doc = np.repeat(np.arange(n) * 10, length)
-    byte = np.bincount(doc + _CLASS[data], minlength=10 * n).reshape(n, 10)
+    byte = np.zeros((n, 10), np.int64)
+    if len(data):
+        some = np.flatnonzero(length)
+        for k in range(1, 10):
+            byte[some, k] = np.add.reduceat(_CLASS[data] == k, offsets[some], dtype=np.int64)
     hashes, width = words.hashes(), words.ends - words.starts
     same = np.flatnonzero((hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1]))
     lines = Words(data, offsets, _IN_LINE, lower=False)
@@ -185,11 +189,20 @@ class Model:
         return 1 / (1 + np.exp(-logit))
 
 
+def _of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, y): their features and labels."""
+    for batch in batches:
+        values = list(text_features(batch.column(0)))
+        yield pa.record_batch([pa.array(values, pa.list_(pa.float64())), batch.column(1)], ["features", "y"])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    texts, y, share = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, SAMPLE, SAMPLE_BYTES)
+    sample, share = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, SAMPLE)
+    held = sample.mapInArrow(_of_texts, "features array<double>, y int").toArrow()  # 2 * SAMPLE rows of numbers
+    x, y = held.column("features").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)), held.column("y").to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return Model(share if len(y) else 0.5)
-    model = Model(share).train(text_features(pa.array(texts, pa.large_string())), y)
+    model = Model(share).train(x, y)
     model.intercept += prior_shift(share, y)
     return model
 

@@ -10,7 +10,9 @@ groups, and a group returns links to the representative of what it connects, nev
 
 Defined cases: null and blank texts have no shingles and the fingerprint zero, linked like any other; texts with
 fewer words than a shingle have one shingle; repeated rows are copies; a null id never names a component unless
-the whole component has none; an empty table gives an empty result; other columns are ignored.
+the whole component has none; an empty table gives an empty result; other columns are ignored. A text of any length is
+hashed whole, in a block of its own (some forty bytes a byte of its words while its shingles are hashed).
+For ``deduplicate`` a null text is a copy of the empty one: of such rows of one id one stays.
 """
 
 from __future__ import annotations
@@ -48,21 +50,72 @@ def bit_majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_hashes(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 (seed 42) of each text's ``k``-word shingles, space-joined, repeats included, and their counts."""
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of some byte ranges. Ranges of one length are hashed together; rare lengths go to the library one by one."""
     from xxhash import xxh64_intdigest
 
-    raw, n = words.data.tobytes(), len(words.starts)
-    spaced = " ".encode()
-    joined = spaced.join([raw[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())])
-    ends = np.cumsum(words.ends - words.starts + 1) - 1
-    starts = ends - (words.ends - words.starts)
+    out, length = np.zeros(len(starts), np.uint64), ends - starts
+    held = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", held, strides=(1,))  # the eight bytes from every place
+    order = np.argsort(length, kind="stable")
+    cuts = np.flatnonzero(np.diff(length[order], prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        rows, n = order[a:b], int(length[order[a]])
+        if b - a < 4 or n > 512:
+            out[rows] = [xxh64_intdigest(held[x : x + n].tobytes(), seed) for x in starts[rows].tolist()]
+            continue
+        at, done = starts[rows], 0
+        with np.errstate(over="ignore"):
+            step = lambda acc, x: _turned(acc + x * _P2, 31) * _P1
+            zero, s = np.zeros(len(rows), np.uint64), np.uint64(seed)
+            if n >= 32:
+                four = [zero + s + _P1 + _P2, zero + s + _P2, zero + s, zero + s - _P1]
+                for done in range(0, n - 31, 32):
+                    four = [step(v, eights[at + done + 8 * k]) for k, v in enumerate(four)]
+                done += 32
+                h = _turned(four[0], 1) + _turned(four[1], 7) + _turned(four[2], 12) + _turned(four[3], 18)
+                for v in four:
+                    h = (h ^ step(zero, v)) * _P1 + _P4
+            else:
+                h = zero + s + _P5
+            h = h + np.uint64(n)
+            while n - done >= 8:
+                h = _turned(h ^ step(zero, eights[at + done]), 27) * _P1 + _P4
+                done += 8
+            if n - done >= 4:
+                h = _turned(h ^ (eights[at + done] & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
+                done += 4
+            for k in range(done, n):
+                h = _turned(h ^ held[at + k].astype(np.uint64) * _P5, 11) * _P1
+            h = (h ^ (h >> np.uint64(33))) * _P2
+            h = (h ^ (h >> np.uint64(29))) * _P3
+            out[rows] = h ^ (h >> np.uint64(32))
+    return out
+
+
+def shingle_hashes(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 (seed 42) of each text's ``k``-word shingles, space-joined, repeats included, and their counts."""
+    size = words.ends - words.starts
+    ends = np.cumsum(size + 1) - 1
+    starts = ends - size
+    joined = np.full(int(size.sum()) + len(size), ord(" "), np.uint8)
+    inside = np.ones(len(joined), bool)
+    inside[ends] = False
+    joined[inside] = words.data[words.flag]
     width = np.minimum(words.counts, k)  # short texts: the whole sequence
     counts = np.where(words.counts > 0, words.counts - width + 1, 0)
     doc = np.repeat(np.arange(words.n), counts)
     first = words.bounds[doc] + np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]
-    begin, end = starts[first], ends[first + width[doc] - 1] if n else first
-    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(begin.tolist(), end.tolist())], np.uint64), counts
+    begin, end = starts[first], ends[first + width[doc] - 1] if len(size) else first
+    return xxh64(joined, begin, end), counts
 
 
 def fingerprints(docs: DataFrame, keep: dict | None = None) -> DataFrame:
@@ -92,40 +145,36 @@ def planes(values: np.ndarray) -> np.ndarray:
 def within(queries: np.ndarray, sliced: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Packed masks (query by word of 64 members): who differs from each query in ``radius`` or fewer bits.
 
-    Three planes at a time go through a full adder; its sum and carry enter two-bit counters, and what
-    overflows them is over the radius for good. Once all members are, the rest of the planes is left out.
+    Three planes at a time go through a full adder; its sum and carry enter counters of a few bits, which start so
+    high that they overflow at ``radius + 1``. What overflows is over the radius for good. Once all members are, the
+    rest of the planes is left out.
     """
     full = ~np.uint64(0)
-    shape = (len(queries), sliced.shape[1])
-    over, ones, twos = (np.zeros(shape, np.uint64) for _ in range(3))
+    shape, width = (len(queries), sliced.shape[1]), max(radius.bit_length(), 2)
+    over = np.zeros(shape, np.uint64)
+    counters = [np.full(shape, full if ((1 << width) - 1 - radius) >> k & 1 else 0, np.uint64) for k in range(width)]
 
     def differing(b: int) -> np.ndarray:
         flip = np.where((queries >> np.uint64(b)) & np.uint64(1), full, np.uint64(0))
         return sliced[b][None, :] ^ flip[:, None]
 
+    def add(x: np.ndarray, level: int) -> None:
+        for k in range(level, width):
+            up = counters[k] & x
+            counters[k] ^= x
+            x = up
+        np.bitwise_or(over, x, out=over)
+
     for b in range(0, 63, 3):
         x, y, z = differing(b), differing(b + 1), differing(b + 2)
         half = x ^ y
-        low, carry = half ^ z, (x & y) | (half & z)
-        up = ones & low  # ones + low
-        ones = ones ^ low
-        both = twos & up
-        twos = twos ^ up
-        over |= both | (twos & carry)
-        twos = twos ^ carry
+        add(half ^ z, 0)
+        add((x & y) | (half & z), 1)
         if b % 12 == 9 and (over == full).all():
             break
     else:
-        low = differing(63)
-        up = ones & low
-        ones = ones ^ low
-        over |= twos & up
-        twos = twos ^ up
-    near = ~over
-    if radius < 3:
-        near &= ~twos if radius < 2 else ~(twos & ones)
-        near &= ~ones if radius < 1 else full
-    return near
+        add(differing(63), 0)
+    return ~over
 
 
 def connect(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -252,5 +301,8 @@ def one_of_each(docs: DataFrame, prints: DataFrame, rows: DataFrame) -> DataFram
     else:
         kept = docs.join(stays, same(stays), "left_semi")
     if prints.count() > keys.count():  # repeated rows of one id and text: one of them stays
-        kept = kept.dropDuplicates(["doc_id", "text"])
+        whole = "_text"
+        while whole in kept.columns:
+            whole += "_"
+        kept = kept.withColumn(whole, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", whole]).drop(whole)
     return kept

@@ -1,17 +1,24 @@
-"""Links between texts whose sets of five-word shingles have a Jaccard similarity of ``SIMILAR`` or more, none left out.
-
-1. Each text becomes the set of its shingles' hashes; equal sets are one node.
-2. Prefixes: in any order common to all, two sets that similar share one of the first ``n - ceil(0.8 n) + 1``
-   shingles of each. Shingles that are frequent in a sample come last in the order, so a line many texts share is
-   rarely in a prefix; the sample affects the cost only, never the links.
-3. Pairs of nodes that share a prefix shingle stay if their sizes allow the similarity and so do sketches: an
-   element flips one bit, so differing bits never exceed differing elements. A bucket compares 256 bits, the pairs
-   left about as many bits as a set has elements (the larger of two sketches is folded).
-4. Exact similarity of the sets. First only pairs with one pivot for each bucket and range of sizes, which connects
-   most of a large group of copies; then all pairs of a bucket that are still in different components.
+"""SimHash near-duplicates by similarity: texts whose sets of five-word shingles have a Jaccard similarity of
+``SIMILAR`` or more are linked, after an exact test.
+
+1. Each text becomes the set of its shingles' hashes; equal sets are one node, with a 64-bit SimHash.
+2. Buckets: ``BANDS`` keys of ``ROWS`` minima of the set under different hashes. A pair of similarity 0.8 shares no
+   bucket with a probability under one in a million, one of 0.5 shares some seven times in ten, one of 0.2 one time in six.
+3. Fingerprints: of a pair of similarity 0.8 ten bits differ on average, with a standard deviation of 3; ``RADIUS`` is five
+   of them above.
+4. Stars: for ``STARS`` rounds each bucket has one pivot (another in each round), and each node that isn't in its component goes on with
+   the nearest of its buckets' pivots to an exact test. So groups of copies, however large, are connected by about as many pairs as they
+   have nodes.
+5. Rest: in buckets that still hold several components, all fingerprints of different ones are compared bit-sliced, in
+   pairs of tiles of at most ``TILE`` members. Of those within the radius the sketches have to allow the similarity (each
+   member of a set flips one of ``SKETCH`` bits, so differing bits never exceed differing members); what is left is
+   tested exactly.
+
+Buckets are joined with their pivots and dealt into tiles by Spark, so no bucket stands in one task.
 
 Defined cases: words stand between white space, lower-cased; a text with fewer words than a shingle is one shingle; null
-and blank texts are the empty set and one node.
+and blank texts are the empty set and one node; of a group the smallest id stays, of its rows the one with the least hash of the text;
+a text of any length is read whole, in a block of its own; an empty table gives an empty result; all columns are kept.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm import simhash
@@ -29,18 +36,14 @@ from roadloom.operators.components import connected_components
 from roadloom.session import cut
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Texts whose shingles are counted for the order, and how many of the most frequent ones come last.
-SAMPLE, FREQUENT = 10_000, 50_000
+BANDS, ROWS, RADIUS, STARS, SKETCH = 20, 3, 24, 2, 512
+TILE, SMALL = 2048, 64
 #: Up to this many texts that are compared are found by a table sent to all tasks.
 BROADCAST_ROWS = 100_000
-#: Bytes of text that are hashed, and pairs that are made, at a time.
-BLOCK, PAIRS = 1_000_000, 100_000
-_SKETCH = [f"p{k}" for k in range(4)]
-
-
-def least_common(n):
-    """Shingles a set of ``n`` has at least in common with one that similar: ceil(0.8 n)."""
-    return (4 * n + 4) // 5
+#: Bytes of text that are hashed at a time.
+BLOCK = 1_000_000
+_SKETCH = [f"s{k}" for k in range(SKETCH // 64)]
+_ODD = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -69,68 +72,51 @@ def _names(row: np.ndarray, value: np.ndarray, n: np.ndarray) -> np.ndarray:
         return mix(out + n.astype(np.uint64))
 
 
-def _sketches(row: np.ndarray, value: np.ndarray, n: np.ndarray) -> tuple[list, np.ndarray]:
-    """For each set whether each of 256 or more bits is hit an odd number of times, as bytes, and folded to four longs."""
-    out, small = [b""] * len(n), np.zeros((len(n), 4), np.int64)
-    size = 8 + np.ceil(np.log2(np.maximum(n, 256) / 256)).astype(np.int64)
-    for j in np.unique(size).tolist():
-        bits, rows = 1 << j, np.flatnonzero(size == j)
-        own = size[row] == j
-        at = np.searchsorted(rows, row[own]) * bits + (value[own] & np.uint64(bits - 1)).astype(np.int64)
-        odd = (np.bincount(at, minlength=len(rows) * bits) & 1).astype(np.uint8)
-        held = np.packbits(odd.reshape(len(rows), bits), axis=1, bitorder="little").view("<i8")
-        small[rows] = np.bitwise_xor.reduce(held.reshape(len(rows), -1, 4), axis=1)
-        for k, x in zip(rows.tolist(), held):
-            out[k] = x.tobytes()
-    return out, small
-
-
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample have, sorted, and in how many they stand."""
+def _bands(value: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bucket keys of each set that isn't empty; ``value`` has the sets of sizes ``n`` in turn."""
+    size = n[n > 0]
+    begin = np.cumsum(size) - size
+    keys = np.zeros((len(size), BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for band in range(BANDS):
+            for k in range(ROWS):
+                least = np.minimum.reduceat(value * _ODD[band * ROWS + k], begin) if len(size) else keys[:, band]
+                keys[:, band] = mix(keys[:, band] + least + np.uint64(band))
+    return keys
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, offsets in blocks(batch.column(0), BLOCK):
-                yield pa.record_batch([pa.array(shingle_sets(Words(data, offsets))[1].view(np.int64))], ["value"])
 
-    step = max(1, docs.count() // SAMPLE)
-    part = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
-    counts = part.mapInArrow(run, "value long").groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
-    held = counts.orderBy(F.desc("n"), "value").limit(FREQUENT).toArrow()
-    value, n = held.column("value").to_numpy().view(np.uint64), held.column("n").to_numpy()
-    order = np.argsort(value)
-    return value[order], n[order]
+def _sketches(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+    """For each set whether each of ``SKETCH`` bits is hit an odd number of times, as words, one row for each word."""
+    out = np.zeros((SKETCH // 64, rows), np.uint64)
+    for a in range(0, rows, 1000):
+        own = slice(*np.searchsorted(row, [a, a + 1000]).tolist())
+        some = min(1000, rows - a)
+        hits = np.bincount((row[own] - a) * SKETCH + (value[own] % np.uint64(SKETCH)).astype(np.int64), minlength=some * SKETCH)
+        odd = (hits & 1).astype(np.uint8).reshape(some, SKETCH)
+        out[:, a : a + some] = np.packbits(odd, axis=1, bitorder="little").view("<u8").T
+    return out
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_hash``, the ``node`` of the text's set, its size ``n``, sketch and prefix."""
-    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
+    """``doc_id``, ``text_hash``, the ``node`` of the text's set, its size ``n``, fingerprint ``fp``, sketch and bucket ``keys``."""
 
     def of_block(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         words = Words(data, offsets)
         row, value = shingle_sets(words)
         n = np.bincount(row, minlength=words.n)
-        known, often = sent.value
-        rank = np.zeros(len(value), np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, value), len(known) - 1)
-            rank = np.where(known[at] == value, often[at], 0)
-        order = np.lexsort((value, rank, row))
-        begin = np.cumsum(n) - n
-        width = np.where(n > 0, n - least_common(n) + 1, 0)
-        first = order[np.arange(len(row)) - begin[row] < width[row]]
-        sketches, small = _sketches(row, value, n)
-        prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(width)].astype(np.int32)), pa.array(value[first].view(np.int64)))
-        return [pa.array(_names(row, value, n).view(np.int64)), pa.array(n), *(pa.array(small[:, k].copy()) for k in range(4)), pa.array(sketches, pa.binary()), prefix]
+        splits = np.r_[0, np.cumsum(BANDS * (n > 0))].astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(splits), pa.array(_bands(value, n).ravel().view(np.int64)))
+        sketches = [pa.array(x.view(np.int64)) for x in _sketches(row, value, words.n)]
+        return [pa.array(_names(row, value, n).view(np.int64)), pa.array(n), pa.array(simhash.bit_majority(value, n).view(np.int64)), *sketches, keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in blocks(batch.column(2), BLOCK):
                 rest = [batch.column(k).slice(first, len(offsets) - 1) for k in range(2)]
-                yield pa.record_batch([*rest, *of_block(data, offsets)], ["doc_id", "text_hash", "node", "n", *_SKETCH, "sketch", "prefix"])
+                yield pa.record_batch([*rest, *of_block(data, offsets)], ["doc_id", "text_hash", "node", "n", "fp", *_SKETCH, "keys"])
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(docs).alias("text_hash"), F.col("text").alias("text"))
-    return cut(held.mapInArrow(run, f"doc_id long, text_hash long, node long, n long, {', '.join(f'{c} long' for c in _SKETCH)}, sketch binary, prefix array<long>"))
+    return cut(held.mapInArrow(run, f"doc_id long, text_hash long, node long, n long, fp long, {', '.join(f'{c} long' for c in _SKETCH)}, keys array<long>"))
 
 
 def text_hash(docs: DataFrame):
@@ -156,61 +142,6 @@ def _by_run(use):
     return run
 
 
-def _repeated(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node) of keys that more than one node has."""
-    same = rows[0, 1:] == rows[0, :-1]
-    at = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
-    yield pa.record_batch([pa.array(rows[0, at]), pa.array(rows[1, at])], ["key", "node"])
-
-
-def _pairs(star: bool):
-    """Rows (key, n, node, component, sketch), sorted by key and n: pairs of nodes that may be similar."""
-
-    def tested(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        n, node, component, sketch = rows[1], rows[2], rows[3], rows[4:].view(np.uint64)
-        differ = sum(np.bitwise_count(p[a] ^ p[b]).astype(np.int64) for p in sketch)
-        may = (component[a] != component[b]) & (9 * differ <= n[a] + n[b])
-        a, b = node[a[may]], node[b[may]]
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-    def use(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        size = rows.shape[1]
-        begin = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
-        run = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, size]))
-        place = (run << 40) + rows[1]
-        upto = np.searchsorted(place, (run << 40) + 5 * rows[1] // 4, "right")  # larger ones, in size similar
-        pivots = np.arange(size)
-        if star:
-            pivots, wave = [], begin
-            while len(wave):
-                pivots.append(wave)
-                after = upto[wave]
-                wave = after[(after < size) & (run[np.minimum(after, size - 1)] == run[wave])]
-            pivots = np.sort(np.concatenate(pivots))
-        begins = np.r_[0, np.cumsum(upto[pivots] - pivots - 1)]
-        for at in range(0, int(begins[-1]), PAIRS):
-            k = np.arange(at, min(at + PAIRS, int(begins[-1])))
-            p = np.searchsorted(begins, k, "right") - 1
-            a = pivots[p]
-            yield tested(rows, a, a + 1 + k - begins[p])
-
-    return _by_run(use)
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, sizes of both, sketch of a, sketch of b): the pairs whose sketches allow the similarity."""
-    for batch in batches:
-        total, x, y = batch.column(2).to_numpy(), batch.column(3), batch.column(4)
-        may = np.zeros(batch.num_rows, bool)
-        for k in range(batch.num_rows):
-            one, other = (np.frombuffer(s[k].as_buffer(), np.uint64) for s in (x, y))
-            few = min(len(one), len(other))
-            differ = np.bitwise_xor.reduce(one.reshape(-1, few)) ^ np.bitwise_xor.reduce(other.reshape(-1, few))
-            may[k] = 9 * int(np.bitwise_count(differ).sum()) <= total[k]
-        yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(may))
-
-
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, set of a, set of b): the pairs whose similarity reaches ``SIMILAR``."""
     for batch in batches:
@@ -223,8 +154,79 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
 
-def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``node`` and ``members`` (hashes, as bytes) of the nodes in ``pairs``, from one text of each."""
+def _sizes_allow(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can reach the similarity."""
+    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+
+
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _with_component(entries: DataFrame, reached: DataFrame | None) -> DataFrame:
+    if reached is None:
+        return entries.withColumn("component", F.col("node"))
+    return entries.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _star(entries: DataFrame, turn: int) -> DataFrame:
+    """For each node the nearest pivot of another component within the radius, as a pair."""
+    pivot = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "fp", "component")
+    pivots = entries.groupBy("key").agg(F.min(pivot).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "p")
+    differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp")))
+    near = entries.join(pivots, "key").where(F.col("component") != F.col("p.component")).where(_sizes_allow(F.col("n"), F.col("p.n")) & (differ <= RADIUS))
+    best = near.groupBy("node").agg(F.min(F.struct(differ.alias("differ"), F.col("p.node").alias("other"))).alias("best"))
+    return best.select(*_ordered(F.col("node"), F.col("best.other"))).distinct()
+
+
+def _within_runs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (group, tile, fp, node, n, component, sketch), sorted by group: pairs of nodes of different components within the radius whose sketches allow the similarity."""
+    group, tile, fp = rows[0], rows[1], rows[2].view(np.uint64)
+    node, n, component = rows[3:6]
+    sketch = rows[6:].view(np.uint64)
+
+    def told(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        may = (component[a] != component[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+        a, b = a[may], b[may]
+        may = 9 * sum(np.bitwise_count(s[a] ^ s[b]).astype(np.int64) for s in sketch) <= n[a] + n[b]
+        a, b = node[a[may]], node[b[may]]
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[begin, len(group)])
+    small = np.flatnonzero(np.repeat(size <= SMALL, size))
+    for d in range(1, SMALL):
+        a = np.flatnonzero(group[small[:-d]] == group[small[d:]])
+        if not len(a):
+            break
+        differ = simhash.planes(fp[small[a]] ^ fp[small[a + d]])  # distance of a pair: the weight of its difference
+        near = np.unpackbits(simhash.within(np.zeros(1, np.uint64), differ, RADIUS)[0].view(np.uint8), bitorder="little")[: len(a)].astype(bool)
+        yield told(small[a[near]], small[a[near] + d])
+    for b, e in zip(begin[size > SMALL].tolist(), (begin + size)[size > SMALL].tolist()):
+        tiles = [b + np.flatnonzero(tile[b:e] == t) for t in np.unique(tile[b:e])]
+        one, other = tiles[0], tiles[-1]
+        sliced = simhash.planes(fp[other])
+        for k in range(0, len(one), 128):
+            some = one[k : k + 128]
+            mask = np.unpackbits(simhash.within(fp[some], sliced, RADIUS).view(np.uint8), axis=1, bitorder="little")[:, : len(other)]
+            x, y = np.nonzero(mask)
+            x, y = some[x], other[y]
+            yield told(x[x < y], y[x < y]) if len(tiles) == 1 else told(x, y)
+
+
+def _rest(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs that may be similar in buckets that hold several components, of different ones; ``nodes`` have the sketches."""
+    about = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
+    tiles = F.ceil(F.col("members") / TILE).cast("int")
+    rows = entries.join(about.select("key", tiles.alias("tiles")), "key").join(nodes, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    pairs = F.expr("transform(sequence(0, tiles - 1), t -> cast(least(tile, t) as bigint) * tiles + greatest(tile, t))")
+    rows = rows.select("key", F.explode(pairs).alias("pair"), F.col("tile").cast("long"), "fp", "node", "n", "component", *_SKETCH)
+    rows = rows.select(F.xxhash64("key", "pair").alias("group"), "tile", "fp", "node", "n", "component", *_SKETCH)
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_by_run(_within_runs), "a long, b long").distinct()
+
+
+def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node`` and ``members`` (hashes, as bytes) of the ``wanted`` nodes, from one text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +236,6 @@ def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
                 held = [value[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 yield pa.record_batch([batch.column(0).slice(first, len(held)), pa.array(held, pa.binary())], ["node", "members"])
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     chosen = rows.select("node", F.struct("doc_id", "text_hash").alias("of")).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("of").alias("of"))
     chosen = cut(chosen.select("node", F.col("of.doc_id").alias("key_id"), F.col("of.text_hash").alias("key_hash")))
     few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -243,13 +244,8 @@ def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(texts.mapInArrow(run, "node long, members binary").dropDuplicates(["node"]))
 
 
-def _verified(docs: DataFrame, rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    for end in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"_n{end}"), F.col("sketch").alias(f"_{end}")), end)
-    pairs = cut(pairs.select("a", "b", (F.col("_na") + F.col("_nb")).alias("n"), "_a", "_b").mapInArrow(_near, "a long, b long"))
-    if pairs.isEmpty():
-        return pairs
-    sets = _sets(docs, rows, pairs)
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose similarity reaches ``SIMILAR``."""
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("members").alias(f"_{end}")), end)
     return cut(pairs.select("a", "b", "_a", "_b").mapInArrow(_similar, "a long, b long"))
@@ -257,23 +253,22 @@ def _verified(docs: DataFrame, rows: DataFrame, nodes: DataFrame, pairs: DataFra
 
 def components(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``node`` and ``component`` of every node that is linked to another; ``rows`` are the ``prints`` of ``docs``."""
-    nodes = cut(rows.select("node", "n", *_SKETCH, "sketch").dropDuplicates(["node"]))
-    entries = rows.select("node", "prefix").dropDuplicates(["node"]).select(F.explode("prefix").alias("key"), "node").repartition("key").sortWithinPartitions("key")
-    entries = entries.mapInArrow(_by_run(_repeated), "key long, node long")
-    entries = cut(entries.join(nodes.drop("sketch"), "node"))
-
-    def pairs(of: DataFrame, star: bool) -> DataFrame:
-        of = of.select("key", "n", "node", "component", *_SKETCH).repartition("key").sortWithinPartitions("key", "n", "node")
-        return of.mapInArrow(_pairs(star), "a long, b long").distinct()
-
-    first = cut(pairs(entries.withColumn("component", F.col("node")), True))
-    edges = _verified(docs, rows, nodes, first)
-    reached = cut(connected_components(edges))
-    open_ = entries.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = cut(pairs(open_.join(mixed, "key"), False).join(first, ["a", "b"], "left_anti"))
-    more = _verified(docs, rows, nodes, rest)
-    return reached if more.isEmpty() else connected_components(edges.union(more))
+    entries = rows.select("node", "n", "fp", "keys").dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", "n", "fp")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    entries = cut(entries.join(shared, "key"))
+    wanted = cut(entries.select("node").distinct())
+    sets = _sets(docs, rows, wanted)
+    nodes = rows.select("node", *_SKETCH).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    edges, tested, reached = None, None, None
+    for turn in range(STARS + 1):
+        open_ = _with_component(entries, reached)
+        pairs = _star(open_, turn) if turn < STARS else _rest(open_, nodes)
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.union(pairs)
+        fresh = _verified(sets, pairs)
+        edges = fresh if edges is None else edges.union(fresh)
+        reached = cut(connected_components(edges)) if reached is None or not fresh.isEmpty() else reached
+    return reached
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

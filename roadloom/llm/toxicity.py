@@ -1,19 +1,22 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, over all overlapping windows of a text.
 
-A word's input is the embedding of the word and the pooled embeddings of its character 4-grams, so a word that was
-never seen still has its stem. A window of ``WINDOW`` words runs through a recurrent layer in either direction;
-attention weighs the states, and a text's score is that of its highest window. Windows start every ``STRIDE`` words
-and one ends with the text, so every word and every pair of neighbours stands in a window.
+A word's input is the embedding of the word and the pooled embeddings of all its character 4-grams, so a word that was
+never seen still has its stem. Words of over ``LONGEST`` bytes (scripts without spaces) are cut into pieces that share
+their last 4-gram's beginning, each a word of its own. A window of ``WINDOW`` words runs through a recurrent layer in
+either direction; attention weighs the states, and a text's score is that of its highest window. Windows start every
+``STRIDE`` words, and one ends with the text, so neighbours share all words but ``STRIDE`` and every run of up to
+``WINDOW - STRIDE + 1`` words stands whole in a window, wherever it is in the text.
 
 Training is plain numpy on the driver, on a bounded sample of labelled rows: ``SAMPLE`` rows of each label, the
-least by a hash of the id, texts of at most ``SAMPLE_BYTES``. Only the fit has these bounds; scoring covers all rows
+least by a hash of the id among texts of at most ``SAMPLE_BYTES``. Only the fit has these bounds; scoring covers all rows
 and whole texts. As a label marks a text and not a window, each epoch trains on the window of each text that the
-network scores highest. One dimension of either table starts as the smoothed log-odds of a word or 4-gram.
+network scores highest (of those that start every ``FIT_STRIDE`` words). One dimension of either table starts as the smoothed log-odds of a word or 4-gram.
 
 Defined cases: null and blank texts have no words and get the lowest score of the sample; repeated rows are scored each;
-a null id is not held out and never learned from; labels that are null, or join no document, are left out; without
-rows of both labels every text gets the share of label 1 (0.0 without any labels); an empty table gives an empty
-result; other columns are ignored by ``score`` and kept by ``reject``.
+a null id is not held out and never learned from; labels that are null, or join no document, are left out; of equally
+high windows any gives the score; a text of any length is scored whole, in a block of its own (some thirty bytes a byte
+of text); without rows of both labels every text gets the share of label 1 (0.0 without any labels); an empty table gives
+an empty result; other columns are ignored by ``score`` and kept by ``reject``.
 """
 
 from __future__ import annotations
@@ -26,33 +29,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.columnar import ALNUM, Words, blocks
+from roadloom.session import cut
 
-WINDOW, STRIDE = 32, 24
-SAMPLE, SAMPLE_BYTES = 2000, 20_000
+WINDOW, STRIDE, FIT_STRIDE = 32, 8, 16
+SAMPLE, SAMPLE_BYTES = 2500, 60_000
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
-WORD_ROWS, CHAR_ROWS, GRAM, HEAD = 1 << 15, 1 << 16, 4, 14
-BLOCK, CHUNK = 2_000_000, 4096
+WORD_ROWS, CHAR_ROWS, GRAM, LONGEST = 1 << 15, 1 << 16, 4, 48
+BLOCK, CHUNK = 1_000_000, 512
 PRIOR = 20.0
 
 
-def gram_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Buckets (1 and up; 0: none) of the first ``HEAD`` character 4-grams of each word, the word's ends marked."""
-    width = HEAD + GRAM - 2
-    length = np.minimum(ends - starts, width)
-    at = np.minimum(starts[:, None] + np.arange(width), max(len(data) - 1, 0))
-    chars = np.zeros((len(starts), width + 2), np.uint64)
-    if len(data):
-        chars[:, 1:-1] = np.where(np.arange(width) < length[:, None], data[at].astype(np.uint64) + np.uint64(2), np.uint64(0))
-    chars[:, 0] = 1
-    chars[np.arange(len(starts)), length + 1] = 1
-    key = np.zeros((len(starts), HEAD), np.uint64)
+def gram_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all character 4-grams of each word in turn, the word's ends marked, and how many each word has."""
+    length = ends - starts
+    count = np.maximum(length + 3 - GRAM, 1)
+    word = np.repeat(np.arange(len(starts)), count)
+    nth = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+    size, begin = length[word], starts[word] - 1
+    key = np.zeros(len(word), np.uint64)
     for k in range(GRAM):
-        key = (key << np.uint64(9)) | chars[:, k : k + HEAD]
-    some = np.arange(HEAD)[None, :] <= np.maximum(length - GRAM + 2, 0)[:, None]
+        place = nth + k  # 0 and size + 1 are the marks
+        byte = data[np.clip(begin + place, 0, max(len(data) - 1, 0))].astype(np.uint64) + np.uint64(2) if len(data) else np.zeros(len(word), np.uint64)
+        byte = np.where((place == 0) | (place == size + 1), np.uint64(1), np.where(place <= size, byte, np.uint64(0)))
+        key = (key << np.uint64(9)) | byte
     with np.errstate(over="ignore"):
         hashed = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 16)
-    return np.where(some, 1 + (hashed % np.uint64(CHAR_ROWS - 1)).astype(np.int32), np.int32(0))
+    return (hashed % np.uint64(CHAR_ROWS)).astype(np.int32), count
 
 
 class Block:
@@ -60,12 +63,21 @@ class Block:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         words = Words(data, offsets, ALNUM)
+        words.cut_long(LONGEST, GRAM - 1)
         self.hashes, first, self.word = np.unique(words.hashes(), return_index=True, return_inverse=True)
         self.counts, self.bounds, self.n = words.counts, words.bounds, words.n
         self.word_bucket = (self.hashes >> np.uint64(40)).astype(np.int64) % WORD_ROWS
-        self.char_bucket = gram_buckets(words.data, words.starts[first], words.ends[first])
+        self.grams, self.gram_counts = gram_buckets(words.data, words.starts[first], words.ends[first])
         self.distinct = len(first)
 
+    def part(self, some: np.ndarray) -> Block:
+        """Some of the distinct words, without texts."""
+        out = Block.__new__(Block)
+        out.word_bucket, out.gram_counts, out.distinct = self.word_bucket[some], self.gram_counts[some], len(some)
+        begin = (np.cumsum(self.gram_counts) - self.gram_counts)[some]
+        out.grams = self.grams[np.repeat(begin, out.gram_counts) + np.arange(out.gram_counts.sum()) - np.repeat(np.cumsum(out.gram_counts) - out.gram_counts, out.gram_counts)]
+        return out
+
     @classmethod
     def joined(cls, column: pa.Array) -> Block:
         """All texts of a column as one."""
@@ -75,19 +87,25 @@ class Block:
         out.word = np.concatenate([place[b + p.word] for p, b in zip(parts, before)])
         out.counts, out.n, out.distinct = np.concatenate([p.counts for p in parts]), len(column), len(first)
         out.bounds = np.concatenate([[0], np.cumsum(out.counts)])
-        out.word_bucket, out.char_bucket = (np.concatenate([getattr(p, name) for p in parts])[first] for name in ("word_bucket", "char_bucket"))
+        out.word_bucket, out.grams, out.gram_counts = (np.concatenate([getattr(p, name) for p in parts]) for name in ("word_bucket", "grams", "gram_counts"))
+        some = out.part(first)
+        out.word_bucket, out.grams, out.gram_counts = some.word_bucket, some.grams, some.gram_counts
         return out
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of each window (``distinct`` where a short text ends), and the row of each window."""
-        each = np.maximum(1, -(-np.maximum(self.counts - WINDOW, 0) // STRIDE) + 1)
+    def windows(self, stride: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The first word within its text of each window, and the row of each window."""
+        stride = stride or STRIDE
+        each = np.maximum(1, -(-np.maximum(self.counts - WINDOW, 0) // stride) + 1)
         row = np.repeat(np.arange(self.n), each)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-        start = np.minimum(nth * STRIDE, np.maximum(self.counts - WINDOW, 0)[row])
+        return np.minimum(nth * stride, np.maximum(self.counts - WINDOW, 0)[row]), row
+
+    def words(self, start: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Word numbers of some windows, ``distinct`` where a short text ends."""
         at = start[:, None] + np.arange(WINDOW)
         inside = at < self.counts[row][:, None]
         held = np.append(self.word, self.distinct)
-        return np.where(inside, held[np.minimum(self.bounds[:-1][row][:, None] + at, len(held) - 1)], self.distinct), row
+        return np.where(inside, held[np.minimum(self.bounds[:-1][row][:, None] + at, len(held) - 1)], self.distinct)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -111,12 +129,11 @@ class Network:
             "out": draw(2 * HIDDEN, s=0.3),
             "bias": np.zeros(1, np.float32),
         }
-        self.p["char"][0] = 0
 
     def inputs(self, block: Block) -> np.ndarray:
-        at = range(0, len(block.char_bucket), 1 << 16)
-        pooled = [np.zeros((0, CHAR_DIM), np.float32), *(self.p["char"][block.char_bucket[a : a + (1 << 16)]].sum(axis=1) * np.float32(0.25) for a in at)]
-        return np.concatenate([self.p["word"][block.word_bucket], np.concatenate(pooled)], axis=1)
+        begin = np.cumsum(block.gram_counts) - block.gram_counts
+        pooled = np.add.reduceat(self.p["char"][block.grams], begin, axis=0) if block.distinct else np.zeros((0, CHAR_DIM), np.float32)
+        return np.concatenate([self.p["word"][block.word_bucket], pooled * np.float32(0.25)], axis=1)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """What the inputs add to the gates in either direction; one more row for the end of short texts."""
@@ -156,8 +173,7 @@ class Network:
         windows = inverse.reshape(windows.shape)
         padded = distinct[-1] == block.distinct
         distinct = distinct[:-1] if padded else distinct
-        part = Block.__new__(Block)
-        part.word_bucket, part.char_bucket = block.word_bucket[distinct], block.char_bucket[distinct]
+        part = block.part(distinct)
         x = self.inputs(part)
         keep: list = []
         logit, states, a, pooled = self.forward(self.gates(x), windows, keep)
@@ -190,13 +206,14 @@ class Network:
         grad |= {"wh": d_wh, "wx": x.T[None] @ d_gates, "b": d_gates.sum(axis=1, keepdims=True)}
         grad["word"], grad["char"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["char"])
         np.add.at(grad["word"], part.word_bucket, d_in[:, :WORD_DIM])
-        np.add.at(grad["char"], part.char_bucket.ravel(), np.repeat(d_in[:, WORD_DIM:] * np.float32(0.25), HEAD, axis=0))
-        grad["char"][0] = 0
+        np.add.at(grad["char"], part.grams, np.repeat(d_in[:, WORD_DIM:] * np.float32(0.25), part.gram_counts, axis=0))
         return grad
 
-    def logits(self, block: Block, windows: np.ndarray) -> np.ndarray:
+    def logits(self, block: Block, start: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Of windows, some at a time."""
         gates = self.gates(self.inputs(block))
-        return np.concatenate([np.zeros(0, np.float32), *(self.forward(gates, windows[k : k + CHUNK])[0] for k in range(0, len(windows), CHUNK))])
+        some = (slice(k, k + CHUNK) for k in range(0, len(row), CHUNK))
+        return np.concatenate([np.zeros(0, np.float32), *(self.forward(gates, block.words(start[s], row[s]))[0] for s in some)])
 
 
 def _log_odds(block: Block, y: np.ndarray, some: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +223,8 @@ def _log_odds(block: Block, y: np.ndarray, some: int = 200) -> tuple[np.ndarray,
         b = min(a + some, block.n)
         doc, word = np.repeat(np.arange(a, b), block.counts[a:b]), block.word[block.bounds[a] : block.bounds[b]]
         doc, word = np.divmod(np.unique(doc * block.distinct + word), max(block.distinct, 1))
-        for name, of, bucket in (("word", doc, block.word_bucket[word]), ("char", np.repeat(doc, HEAD), block.char_bucket[word].ravel())):
+        part = block.part(word)
+        for name, of, bucket in (("word", doc, part.word_bucket), ("char", np.repeat(doc, part.gram_counts), part.grams)):
             rows = held[name].shape[1]
             of, bucket = np.divmod(np.unique(of * rows + bucket), rows)
             for label in (0, 1):
@@ -221,13 +239,14 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 6, least_steps: int = 1
     """A network, slope and intercept that turn its highest logit into a probability in the sample, and its lowest logit."""
     rng, net = np.random.default_rng(seed), Network(seed)
     block = Block.joined(pa.array(texts, pa.large_string()))
-    windows, row = block.windows()
+    start, row = block.windows(FIT_STRIDE)
     word, char = _log_odds(block, y)
     net.p["word"][:, 0], net.p["char"][:, 0] = word / 2, char / 4
-    net.p["char"][0] = 0
     first = np.searchsorted(row, np.arange(block.n))
-    hint = np.append(net.p["word"][block.word_bucket, 0] + net.p["char"][block.char_bucket, 0].sum(axis=1) / 4, 0)
-    top = np.maximum(hint[windows], 0).sum(axis=1)
+    hint = np.maximum(net.inputs(block)[:, [0, WORD_DIM]].sum(axis=1), 0)
+    total = np.concatenate([[0], np.cumsum(hint[block.word])])
+    begin = block.bounds[:-1][row] + start
+    top = total[np.minimum(begin + WINDOW, block.bounds[1:][row])] - total[begin]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for _ in range(max(epochs, -(-least_steps * batch // len(y)))):
@@ -235,15 +254,16 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 6, least_steps: int = 1
         order = rng.permutation(block.n)
         for k in range(0, len(order), batch):
             some = order[k : k + batch]
-            grad = net.gradients(block, windows[best[some]], y[some].astype(np.float32))
+            grad = net.gradients(block, block.words(start[best[some]], row[best[some]]), y[some].astype(np.float32))
             step += 1
             for name, g in grad.items():
                 m, v = moments[name]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 net.p[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-        top = net.logits(block, windows)
-    highest = np.maximum.reduceat(top, first)
+        top = net.logits(block, start, row)
+    start, row = block.windows()
+    highest = np.maximum.reduceat(net.logits(block, start, row), np.searchsorted(row, np.arange(block.n)))
     return net, *_calibrate(highest, y), float(highest.min())
 
 
@@ -281,8 +301,8 @@ class Model:
         out = [np.zeros(0)]
         for _, data, offsets in blocks(column, BLOCK):
             block = Block(data, offsets)
-            windows, row = block.windows()
-            top = np.maximum.reduceat(self.net.logits(block, windows), np.searchsorted(row, np.arange(block.n)))
+            start, row = block.windows()
+            top = np.maximum.reduceat(self.net.logits(block, start, row), np.searchsorted(row, np.arange(block.n)))
             top = np.where(block.counts > 0, top, self.lowest)
             out.append(_sigmoid(self.slope * top.astype(np.float64) + self.intercept))
         return np.concatenate(out)
@@ -293,20 +313,27 @@ def fold(doc_id, folds: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = SAMPLE, size: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of at most ``rows`` rows of each label outside the held-out fold, and label 1's share of all."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, size: int | None = None) -> tuple[DataFrame, float]:
+    """``text, y`` of at most ``2 * rows`` rows outside the held-out fold, and label 1's share of all of them.
+
+    For each label the ``rows`` ids that are least by a hash, among documents of at most ``size`` bytes.
+    """
     mine = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
     mine = mine.groupBy("id").agg(F.max("y").alias("y"))
     share = mine.agg(F.avg("y")).first()[0]
-    each = [mine.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows) for y in (0, 1)]
-    some = F.broadcast(each[0].union(each[1]))  # 2 * rows ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= size)
-    held = texts.join(some, "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(2 * rows).toArrow()
-    return held.column("text").to_pylist(), held.column("y").to_numpy().astype(np.int64), float(share or 0.0)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    there = texts if size is None else texts.where(F.octet_length("text") <= size)
+    named = mine.join(there.select("id"), "id", "left_semi")
+    each = [named.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows) for y in (0, 1)]
+    some = cut(each[0].union(each[1]))  # 2 * rows ids
+    held = there.join(F.broadcast(some), "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(2 * rows)  # ids may repeat
+    return held.select("text", "y"), float(share or 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    texts, y, share = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT)
+    sample, share = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE, SAMPLE_BYTES)
+    held = sample.toArrow()  # 2 * SAMPLE texts of SAMPLE_BYTES at most
+    texts, y = held.column("text").to_pylist(), held.column("y").to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return Model(share)
     net, slope, intercept, lowest = train(texts, y)

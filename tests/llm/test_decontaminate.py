@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 from corpus_tables import SF, table
 
 from roadloom.llm import decontaminate
@@ -74,3 +75,30 @@ def test_items_in_chunks(shipped, docs, monkeypatch):
     want = sorted(map(tuple, decontaminate.matches(docs, benchmark).collect()))
     monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 4000)
     assert sorted(map(tuple, decontaminate.matches(docs, benchmark).collect())) == want
+
+
+def test_matches_and_clean_agree_on_letters(shipped):
+    rows = [(1, "ΟΔΥΣΣΕΥΣ ΚΑΙ Ο ΜΥΘΟΣ ΤΗΣ ΙΘΑΚΗΣ ΕΙΝΑΙ ΠΑΛΙΟΣ"), (2, "İSTANBUL IŞIK DIŞ KAPI İÇİN ILIK SU"), (3, "οδυσσευσ και ο μυθοσ της ιθακης ειναι παλιος"), (4, "ΣΑΣ. ΜΑΣ' ΤΟΥΣ"), (None, "straße STRASSE ǅ ǆ ﬁ"), (6, None)]
+    docs = table(shipped, rows)
+    items = shipped.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)] + [(9, "οδυσσεύς")], "item_id long, text string")
+    leaked = {(r["doc_id"], r["text_hash"]) for r in decontaminate.matches(docs, items, with_hash=True).collect()}
+    assert {i for i, _ in leaked} == {1, 2, 3, 4, None}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [6]
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, items).collect()}
+    assert {(1, 0), (1, 2), (3, 0), (3, 2)} <= found
+
+
+def test_the_index_filters_and_loses_nothing():
+    rng = np.random.default_rng(2)
+    m, n = 56, 3000
+    items = rng.integers(0, 1 << 63, (n, m)).astype(np.uint64)
+    index = decontaminate.Index(decontaminate.simhash(items))
+    other = decontaminate.simhash(rng.integers(0, 1 << 63, (1000, m)).astype(np.uint64))
+    assert len(index.candidates(other)[0]) < 0.01 * 1000 * n  # of unrelated pairs
+    near = items.copy()
+    near[:, rng.permutation(m)[: m // 9]] = rng.integers(0, 1 << 63, (n, m // 9)).astype(np.uint64)  # as far as a qualifying window gets
+    prints = decontaminate.simhash(near)
+    differ = np.bitwise_count(prints[:, None, :] ^ index.prints[None, :300, :]).sum(axis=2)
+    window, item = index.near(prints)
+    assert {(w, i) for w, i in zip(window, item) if i < 300} == set(map(tuple, np.argwhere(differ <= decontaminate.RADIUS)))
+    assert (window == item).sum() >= 0.999 * n

@@ -85,3 +85,17 @@ def test_null_ids_do_not_name_components(shipped):
     docs = table(shipped, [(None, "a b c d"), (5, "a b c d"), (None, "quite another text altogether")])
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.components(simhash.fingerprints(docs)).collect()), key=str)
     assert got == [(5, 5), (None, 5), (None, None)]
+
+
+def test_null_and_empty_texts_are_copies(shipped):
+    docs = table(shipped, [(1, None), (1, ""), (2, None), (3, "some text"), (3, "some text")])
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == [1, 3]
+
+
+def test_xxh64_equals_the_library():
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    start = rng.integers(0, 3000, 2000)
+    length = np.r_[rng.integers(0, 100, 1990), 511, 512, 513, 700, 1000, 0, 1, 4, 8, 32]
+    want = [xxh64_intdigest(data[a : a + n].tobytes(), 42) for a, n in zip(start, length)]
+    assert simhash.xxh64(data, start, start + length).tolist() == want

@@ -41,11 +41,10 @@ def test_near_copies_go_as_by_brute_force(shipped):
     assert sorted(r["doc_id"] for r in similar.deduplicate(docs).collect()) == stay(rows)
 
 
-@pytest.mark.parametrize("frequent", [0, 50_000])
-def test_edited_copies_and_common_lines(shipped, monkeypatch, frequent):
-    monkeypatch.setattr(similar, "FREQUENT", frequent)
-    monkeypatch.setattr(similar, "BROADCAST_ROWS", frequent)
-    monkeypatch.setattr(similar, "PAIRS", 50)
+@pytest.mark.parametrize("stars, tile, sent", [(2, 2048, 100_000), (0, 5, 0)])
+def test_edited_copies_and_common_lines(shipped, monkeypatch, stars, tile, sent):
+    for name, value in (("STARS", stars), ("TILE", tile), ("BROADCAST_ROWS", sent)):
+        monkeypatch.setattr(similar, name, value)
     rng = np.random.default_rng(5)
     line, rows = " ".join(f"line{k}" for k in range(12)), []
     for group in range(12):
@@ -58,3 +57,35 @@ def test_edited_copies_and_common_lines(shipped, monkeypatch, frequent):
     got = sorted(r["doc_id"] for r in similar.deduplicate(table(shipped, rows)).collect())
     assert got == stay(rows)
     assert 12 <= len(got) < len(rows)
+
+
+@pytest.mark.parametrize("small", [1, 100])  # of 75 members: tiles, or all at once
+def test_pairs_within_the_radius(monkeypatch, small):
+    monkeypatch.setattr(similar, "SMALL", small)
+    rng = np.random.default_rng(3)
+    near = rng.integers(0, 1 << 62, 12).astype(np.uint64)[np.arange(150) % 12]
+    for _ in range(20):
+        near = near ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64))
+    rows = np.stack([np.repeat([5, 9], 75), np.r_[np.zeros(75, np.int64), rng.integers(0, 2, 75)], near.view(np.int64), np.arange(150), rng.integers(80, 110, 150), np.arange(150) % 7, *rng.integers(0, 1 << 12, (8, 150))])
+    want = set()
+    for i in range(150):
+        for j in range(i):
+            group, tile, _, _, n, component, *sketch = zip(rows[:, i], rows[:, j])
+            if group[0] == group[1] and (small > 1 or group[0] == 5 or tile[0] != tile[1]) and component[0] != component[1] and 5 * min(n) >= 4 * max(n) and int(near[i] ^ near[j]).bit_count() <= similar.RADIUS and 9 * sum(int(a ^ b).bit_count() for a, b in sketch) <= sum(n):
+                want.add((j, i))
+    got = {(a, b) for x in similar._within_runs(rows) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+    assert got == want and want
+
+
+def test_buckets_hold_nearly_all_pairs_of_the_similarity():
+    rng = np.random.default_rng(8)
+    n, common = 90, 80  # similarity 0.8
+    missed, far = 0, 0
+    for _ in range(400):
+        held = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        one, other = held[:n], np.r_[held[:common], held[n : 2 * n - common]]
+        keys = similar._bands(np.concatenate([one, other]), np.array([n, n]))
+        prints = similar.simhash.bit_majority(np.concatenate([one, other]), np.array([n, n]))
+        missed += not (keys[0] == keys[1]).any()
+        far += int(prints[0] ^ prints[1]).bit_count() > similar.RADIUS
+    assert missed == far == 0

@@ -1,7 +1,10 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
-from corpus_tables import SF
+from corpus_tables import SF, table
+from pyspark.sql import functions as F
 
 from roadloom.llm import toxicity
 
@@ -12,14 +15,15 @@ def test_gradients_equal_differences():
     rng = np.random.default_rng(1)
     texts = ["you are a fool and a knave", "short", "the quick brown fox " * 12]
     block = toxicity.Block.joined(pa.array(texts, pa.large_string()))
-    windows, _ = block.windows()
+    start, row = block.windows()
+    windows = block.words(start, row)
     y = rng.integers(0, 2, len(windows)).astype(np.float32)
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     grad = net.gradients(block, windows, y)
 
     def loss():
-        z = net.logits(block, windows).astype(np.float64)
+        z = net.logits(block, start, row).astype(np.float64)
         return np.mean(np.logaddexp(0, z) - y * z)
 
     for name in ("wx", "wh", "b", "attend", "out", "word", "char"):
@@ -34,11 +38,87 @@ def test_gradients_equal_differences():
             assert (up - down) / 2e-3 == pytest.approx(g[k], rel=0.03, abs=1e-5), name
 
 
-def test_windows_cover_each_word():
+def test_every_run_of_words_stands_in_a_window():
     for n in (0, 1, 31, 32, 33, 56, 57, 200):
         block = toxicity.Block.joined(pa.array([" ".join(f"w{k}" for k in range(n))], pa.large_string()))
-        windows, row = block.windows()
+        start, row = block.windows()
+        windows = block.words(start, row)
         assert set(windows.ravel()) - {block.distinct} == set(block.word.tolist()) and set(row) == {0}
+        run = min(n, toxicity.WINDOW - toxicity.STRIDE + 1)
+        held = [w.tolist() for w in windows]
+        assert all(any(block.word[a : a + run].tolist() == w[k : k + run] for w in held for k in range(len(w))) for a in range(n - run + 1))
+
+
+def pieces_of(text):
+    """Words of a text, long ones cut, by hand."""
+    out = []
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())):
+        while len(w) > toxicity.LONGEST:
+            out.append(w[: toxicity.LONGEST])
+            w = w[toxicity.LONGEST - toxicity.GRAM + 1 :]
+        out.append(w)
+    return out
+
+
+def hand_bucket(gram):
+    key = 0
+    for c in gram:
+        key = (key << 9) | c
+    return ((key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 48) % toxicity.CHAR_ROWS
+
+
+def hand_logit(net, text):
+    """The highest logit over all windows of a text, one word, state and gate at a time."""
+    words, p = pieces_of(text), {k: v.astype(np.float64) for k, v in net.p.items()}
+    inputs = []
+    for w in words:
+        marked = [1, *(c + 2 for c in w), 1]
+        grams = [marked[k : k + 4] for k in range(max(1, len(marked) - 3))]
+        grams = [g + [0] * (4 - len(g)) for g in grams]
+        own = toxicity.Words(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hashes()[0]
+        inputs.append(np.concatenate([p["word"][int(own >> np.uint64(40)) % toxicity.WORD_ROWS], sum(p["char"][hand_bucket(g)] for g in grams) / 4]))
+    sigmoid, h = (lambda x: 1 / (1 + np.exp(-x))), toxicity.HIDDEN
+    best = -np.inf
+    last = max(0, len(words) - toxicity.WINDOW)
+    for a in sorted({*range(0, last, toxicity.STRIDE), last}):
+        window = inputs[a : a + toxicity.WINDOW]
+        states = []
+        for d, order in ((0, window), (1, window[::-1])):
+            state, seen = np.zeros(h), []
+            for x in order:
+                g, r = x @ p["wx"][d] + p["b"][d, 0], state @ p["wh"][d]
+                z, reset = sigmoid(g[:h] + r[:h]), sigmoid(g[h : 2 * h] + r[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(g[2 * h :] + reset * r[2 * h :])
+                seen.append(state)
+            states.append(seen if d == 0 else seen[::-1])
+        both = np.array([np.concatenate(s) for s in zip(*states)])
+        weight = np.exp(both @ p["attend"])
+        best = max(best, (weight / weight.sum()) @ both @ p["out"] + p["bias"][0])
+    return best
+
+
+def test_scores_equal_a_forward_pass_by_hand(shipped):
+    docs, labels = (shipped.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    rows = [(k, t) for k, t in enumerate(["a", "You FOOL, you!", "x" * 130 + " end", "\u6f22\u5b57" * 60, " ".join(f"word{k} and" for k in range(70))])]
+    rows += [(100 + r["doc_id"], r["text"]) for r in docs.where("length(text) between 20 and 900").orderBy("doc_id").limit(8).collect()]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(table(shipped, rows), model).collect()}
+    for i, text in rows:
+        want = 1 / (1 + np.exp(-(model.slope * hand_logit(model.net, text) + model.intercept)))
+        assert got[i] == pytest.approx(want, abs=1e-4), i
+
+
+def test_the_end_of_a_long_word_counts():
+    stem = "x" * 40
+    buckets = [toxicity.Block.joined(pa.array([stem + end], pa.large_string())).grams.tolist() for end in ("fool", "wise")]
+    assert buckets[0] != buckets[1] and len(buckets[0]) == 43
+
+
+def test_labels_of_the_held_out_fold_teach_nothing(shipped):
+    docs, labels = (shipped.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    turned = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, other = (sorted((r["doc_id"], r["score"]) for r in toxicity.score(docs, toxicity.fit(docs, x)).collect()) for x in (labels, turned))
+    assert one == other
 
 
 def test_held_out_accuracy(shipped):
