@@ -11,8 +11,8 @@
    have nodes.
 5. Rest: in buckets that still hold several components, all fingerprints of different ones are compared bit-sliced, in
    pairs of tiles of at most ``TILE`` members. Of those within the radius the sketches have to allow the similarity (each
-   member of a set flips one of ``SKETCH`` bits, so differing bits never exceed differing members); what is left is
-   tested exactly.
+   member of a set flips one of ``SKETCH`` bits, so differing bits never exceed differing members); a pair is told in the
+   first bucket that it shares only, and what is left is tested exactly.
 
 Buckets are joined with their pivots and dealt into tiles by Spark, so no bucket stands in one task.
 
@@ -43,6 +43,7 @@ BROADCAST_ROWS = 100_000
 #: Bytes of text that are hashed at a time.
 BLOCK = 1_000_000
 _SKETCH = [f"s{k}" for k in range(SKETCH // 64)]
+_KEYS = [f"k{k}" for k in range(BANDS // 2)]
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -180,15 +181,21 @@ def _star(entries: DataFrame, turn: int) -> DataFrame:
 
 
 def _within_runs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (group, tile, fp, node, n, component, sketch), sorted by group: pairs of nodes of different components within the radius whose sketches allow the similarity."""
+    """Rows (group, tile, fp, node, n, component, band, sketch, keys), sorted by group: pairs of different components that may be similar.
+
+    They are within the radius, their sketches allow the similarity, and no earlier band has them in one bucket.
+    """
     group, tile, fp = rows[0], rows[1], rows[2].view(np.uint64)
-    node, n, component = rows[3:6]
-    sketch = rows[6:].view(np.uint64)
+    node, n, component, band = rows[3:7]
+    sketch = rows[7 : 7 + len(_SKETCH)].view(np.uint64)
+    keys = np.ascontiguousarray(rows[7 + len(_SKETCH) :].T).view("<u4")
 
     def told(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         may = (component[a] != component[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
         a, b = a[may], b[may]
         may = 9 * sum(np.bitwise_count(s[a] ^ s[b]).astype(np.int64) for s in sketch) <= n[a] + n[b]
+        a, b = a[may], b[may]
+        may = (keys[a] == keys[b]).argmax(axis=1) == band[a]
         a, b = node[a[may]], node[b[may]]
         return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -215,14 +222,14 @@ def _within_runs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _rest(entries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs that may be similar in buckets that hold several components, of different ones; ``nodes`` have the sketches."""
+    """All pairs that may be similar in buckets that hold several components, of different ones; ``nodes`` have the sketches and keys."""
     about = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
     tiles = F.ceil(F.col("members") / TILE).cast("int")
     rows = entries.join(about.select("key", tiles.alias("tiles")), "key").join(nodes, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     pairs = F.expr("transform(sequence(0, tiles - 1), t -> cast(least(tile, t) as bigint) * tiles + greatest(tile, t))")
-    rows = rows.select("key", F.explode(pairs).alias("pair"), F.col("tile").cast("long"), "fp", "node", "n", "component", *_SKETCH)
-    rows = rows.select(F.xxhash64("key", "pair").alias("group"), "tile", "fp", "node", "n", "component", *_SKETCH)
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_by_run(_within_runs), "a long, b long").distinct()
+    rows = rows.select("key", F.explode(pairs).alias("pair"), F.col("tile").cast("long"), "fp", "node", "n", "component", F.col("band").cast("long"), *_SKETCH, *_KEYS)
+    rows = rows.select(F.xxhash64("key", "pair").alias("group"), "tile", "fp", "node", "n", "component", "band", *_SKETCH, *_KEYS)
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_by_run(_within_runs), "a long, b long")
 
 
 def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -253,12 +260,14 @@ def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``node`` and ``component`` of every node that is linked to another; ``rows`` are the ``prints`` of ``docs``."""
-    entries = rows.select("node", "n", "fp", "keys").dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", "n", "fp")
+    entries = rows.select("node", "n", "fp", "keys").dropDuplicates(["node"]).select(F.posexplode("keys").alias("band", "key"), "node", "n", "fp")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     entries = cut(entries.join(shared, "key"))
     wanted = cut(entries.select("node").distinct())
     sets = _sets(docs, rows, wanted)
-    nodes = rows.select("node", *_SKETCH).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    half = lambda k: F.get("keys", F.lit(k)).bitwiseAND(0xFFFFFFFF)
+    keys = [F.shiftleft(half(2 * k + 1), 32).bitwiseOR(half(2 * k)).alias(c) for k, c in enumerate(_KEYS)]
+    nodes = rows.select("node", *_SKETCH, *keys).join(wanted, "node", "left_semi").dropDuplicates(["node"])
     edges, tested, reached = None, None, None
     for turn in range(STARS + 1):
         open_ = _with_component(entries, reached)

@@ -66,15 +66,23 @@ def test_pairs_within_the_radius(monkeypatch, small):
     near = rng.integers(0, 1 << 62, 12).astype(np.uint64)[np.arange(150) % 12]
     for _ in range(20):
         near = near ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64))
-    rows = np.stack([np.repeat([5, 9], 75), np.r_[np.zeros(75, np.int64), rng.integers(0, 2, 75)], near.view(np.int64), np.arange(150), rng.integers(80, 110, 150), np.arange(150) % 7, *rng.integers(0, 1 << 12, (8, 150))])
+    keys = rng.integers(0, 2, (10, 150)) + (rng.integers(0, 3, (10, 150)) << 32)
+    keys[0], keys[0, 75:] = 1 << 32, np.arange(75) * ((1 << 32) + 1)  # in the second group bands differ before the second
+    keys[1, 75:] = 7
+    band = np.repeat([0, 2], 75)
+    rows = np.stack([np.repeat([5, 9], 75), np.r_[np.zeros(75, np.int64), np.arange(75) % 2], near.view(np.int64), np.arange(150), rng.integers(80, 110, 150), np.arange(150) % 7, band, *rng.integers(0, 4, (8, 150)), *keys])
     want = set()
     for i in range(150):
         for j in range(i):
-            group, tile, _, _, n, component, *sketch = zip(rows[:, i], rows[:, j])
-            if group[0] == group[1] and (small > 1 or group[0] == 5 or tile[0] != tile[1]) and component[0] != component[1] and 5 * min(n) >= 4 * max(n) and int(near[i] ^ near[j]).bit_count() <= similar.RADIUS and 9 * sum(int(a ^ b).bit_count() for a, b in sketch) <= sum(n):
+            group, tile, _, _, n, component, at, *rest = zip(rows[:, i], rows[:, j])
+            if group[0] != group[1] or component[0] == component[1] or 5 * min(n) < 4 * max(n) or (small == 1 and group[0] == 9 and tile[0] == tile[1]):
+                continue
+            halves = [(a >> shift & 0xFFFFFFFF, b >> shift & 0xFFFFFFFF) for a, b in rest[8:] for shift in (0, 32)]
+            first = [a == b for a, b in halves].index(True)
+            if int(near[i] ^ near[j]).bit_count() <= similar.RADIUS and 9 * sum(int(a ^ b).bit_count() for a, b in rest[:8]) <= sum(n) and first == at[0]:
                 want.add((j, i))
-    got = {(a, b) for x in similar._within_runs(rows) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
-    assert got == want and want
+    told = [(a, b) for x in similar._within_runs(rows) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+    assert set(told) == want and len(told) == len(want) and any(a >= 75 for a, _ in want) and any(a < 75 for a, _ in want)
 
 
 def test_buckets_hold_nearly_all_pairs_of_the_similarity():
