@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -53,3 +54,41 @@ def test_rewrite_touches_affected_shards_only(shipped, docs, tmp_path):
     assert sorted(manifest) == [0, 1, 2, 3]
     rows = [r["doc_id"] for path in manifest.values() for r in shipped.read.parquet(path).select("doc_id").collect()]
     assert sorted(rows) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+
+
+def test_hub_equals_shortest_paths_and_takes_many_shards():
+    rng = random.Random(3)
+    for _ in range(40):
+        n, m = rng.randint(1, 6), rng.randint(1, 7)
+        supply = [rng.randint(0, 20) for _ in range(n)]
+        capacity = sharding.equal_capacities(sum(supply) + rng.randint(0, 5), m)
+        moved = lambda flow: sum(a for (i, j), a in flow.items() if i != j)
+        dense = sharding.min_cost_flow(supply, capacity, [[int(i != j) for j in range(m)] for i in range(n)])
+        hub = sharding.min_cost_flow(supply, capacity)
+        assert moved(hub) == moved(dense) and all(a > 0 for a in hub.values())
+        assert [sum(a for (k, _), a in hub.items() if k == i) for i in range(n)] == supply
+        assert all(sum(a for (_, k), a in hub.items() if k == j) <= c for j, c in enumerate(capacity))
+    supply = [rng.randint(0, 10**9) for _ in range(20_000)]
+    flow = sharding.min_cost_flow(supply, sharding.equal_capacities(sum(supply), 25_000))
+    assert len(flow) <= 3 * 25_000 and sum(flow.values()) == sum(supply)
+    assert len(sharding.intervals(flow, len(supply))) == len(flow)
+
+
+def test_moved_rows_weigh_what_the_flow_says(docs):
+    rows = sharding.reshard(docs, 4, 5).collect()
+    size = [sum(r["size"] for r in rows if r["old"] == k) for k in range(4)]
+    flow = sharding.min_cost_flow(size, sharding.equal_capacities(sum(size), 5))
+    largest = max(r["size"] for r in rows)
+    for i in range(4):
+        for j in range(5):
+            assert abs(sum(r["size"] for r in rows if (r["old"], r["shard"]) == (i, j)) - flow.get((i, j), 0)) <= largest
+
+
+def test_rewrite_leaves_balanced_shards_alone(shipped, tmp_path):
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    rows = [(k, "x" * 84, shard) for k, shard in enumerate([0, 0, 1, 1, 1, 2])]
+    shipped.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(old)
+    manifest = {r["shard"]: r["path"] for r in sharding.rewrite(shipped, old, new, 3).collect()}
+    assert manifest == {0: f"{old}/shard=0", 1: f"{new}/shard=1", 2: f"{new}/shard=2"}
+    held = {k: sorted(r["doc_id"] for r in shipped.read.parquet(path).collect()) for k, path in manifest.items()}
+    assert held[0] == [0, 1] and len(held[1]) == len(held[2]) == 2 and 5 in held[2] and sorted(sum(held.values(), [])) == list(range(6))
