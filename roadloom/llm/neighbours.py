@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from roadloom.session import cut
 
 SAMPLE, CELLS_PER_ROOT, MOST_CELLS = 65_536, 1.0, 4096
-TARGET, AIM, TRIALS, COVER, RERANK = 0.96, 10, 256, 2_000, 48
+TARGET, AIM, TRIALS, COVER, RERANK = 0.96, 10, 256, 2_000, 128
 SUB, WORDS = 4, 256
 PART_ROWS, PART_QUERIES, PAIRS = 4096, 512, 1_000_000
 
@@ -203,7 +203,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec
             for a in range(0, len(asking), step):
                 q, r = sent.value.best(wanted[a : a + step].astype(np.float32), cell, codes, RERANK)
                 q, near = asking[q + a], [q + a, r]
-                score = np.sqrt(((vectors[near[1]] - wanted[near[0]]) ** 2).sum(axis=1))
+                score = np.sqrt(np.add.accumulate((vectors[near[1]] - wanted[near[0]]) ** 2, axis=1)[:, -1])  # one component after another
                 for column, value in zip(out, nearest_of(q, ids[r], score, k)):
                     column.append(value)
         joined = [np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, np.float64), out)]

@@ -1,10 +1,11 @@
 import math
 
+import duckdb
 import numpy as np
 from corpus_tables import SF
 from pyspark.sql import functions as F
 
-from roadloom.llm import neighbours
+from roadloom.llm import neighbours, queries
 
 SF_LARGER = SF.replace("0.001", "0.01")
 
@@ -59,3 +60,36 @@ def test_edges(shipped):
     assert got == [(0, 1, 9, 1.0), (0, 2, 100, math.sqrt(5)), (100, 1, 9, math.sqrt(2)), (100, 2, 0, math.sqrt(5))]
     assert neighbours.search(table.where("false"), table.where("false")).collect() == []
     assert neighbours.search(table, table.where("false")).collect() == []
+
+
+def test_recall_where_most_cells_are_left_out(shipped, monkeypatch):
+    """Clustered vectors, probes set from the sample alone: under half the cells are probed and nine in ten neighbours found."""
+    monkeypatch.setattr(neighbours, "COVER", 1)
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((60, 16)) * 3
+    vectors = (centres[rng.integers(0, 60, 6000)] + rng.standard_normal((6000, 16))).astype(np.float32)
+    rows = shipped.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    index, _ = neighbours.fit(neighbours.valid(rows, "vec_id", "embedding"))
+    count = np.bincount(index.encode(vectors)[0], minlength=len(index.centres))
+    probed = [len(c) for c in index.probes(vectors[::100], count)]
+    assert max(probed) < 0.5 * (count > 0).sum()
+    got = {}
+    for r in neighbours.search(rows, rows.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    found = 0
+    for q in range(0, 6000, 100):
+        far = ((vectors.astype(np.float64) - vectors[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        found += len(got[q] & set(np.argsort(far, kind="stable")[:10].tolist()))
+    assert found >= 0.9 * 600
+
+
+def test_equals_sql(shipped):
+    folder = SF.replace("0.001", "0.01")
+    rows = queries.op6_neighbours(shipped, folder).select("query_id", "rank", "vec_id", "score").collect()
+    with duckdb.connect() as engine:
+        engine.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+        held = engine.execute(queries.SQL["op6_neighbours"])
+        names = [d[0] for d in held.description]
+        want = sorted(tuple(r[names.index(c)] for c in ("query_id", "rank", "vec_id", "score")) for r in held.fetchall())
+    assert sorted(map(tuple, rows)) == want
