@@ -6,16 +6,21 @@ exact in both engines; other numbers are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from roadloom import demo
 from roadloom.functions import crs, geometry
 from roadloom.operators import associate, clean, dbscan, roads, summarize
+from roadloom.plans import analysis
 from roadloom.render import layers
-from roadloom.session import cut
+from roadloom.session import cut, ensure_checkpoint_dir
+from roadloom.sources import geopackage, shapefile
 
 EPS, MIN_PTS, TOLERANCE = 60.0, 5, 25.0
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +271,167 @@ def wkb_roundtrip(spark, sf_dir):
     return rows.select("point_idx", "kind", vertex["x"].alias("x"), vertex["y"].alias("y"))
 
 
+def _target(spark: SparkSession, name: str) -> str:
+    """A fresh file name in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/layers-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return f"{folder}/{name}"
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Add ``position``, the place of each row in the order of ``rows`` (a few rows for each cluster)."""
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long") - 1)
+
+
+def shapefile_points(spark, sf_dir):
+    """Points written as a shapefile and read again."""
+    shapefile.register(spark)
+    path = _target(spark, "points.shp")
+    rows = demo.points(spark, sf_dir).select("point_idx", "x", "y", F.concat(F.lit("né "), F.col("point_idx").cast("string")).alias("name"))
+    rows.orderBy("point_idx").write.format("shapefile").option("crs", "EPSG:32645").mode("overwrite").save(path)
+    held, system = analysis.read_layer(spark, path)
+    return held.select(*_whole("record_no", "point_idx"), "kind", "x", "y", "name", F.lit(system.srid).cast("long").alias("srid"))
+
+
+def shapefile_lines(spark, sf_dir):
+    """Roads written as a shapefile and read again, one row for each vertex."""
+    shapefile.register(spark)
+    path = _target(spark, "roads.shp")
+    rows = demo.roads(spark, sf_dir, bend=50).select("parts", F.col("road_uid").alias("uid"), (F.col("road_uid") / 8).alias("width"))
+    rows.orderBy("uid").write.format("shapefile").option("crs", "EPSG:32645").mode("overwrite").save(path)
+    held, _ = analysis.read_layer(spark, path)
+    return held.select(F.col("uid").cast("long").alias("road_uid"), "kind", "width", F.posexplode(F.col("parts")[0]).alias("k", "v")).select("road_uid", "kind", "width", F.col("k").cast("long").alias("k"), "v.x", "v.y")
+
+
+def geopackage_roads(spark, sf_dir):
+    """Roads written as a GeoPackage and read again, one row for each vertex."""
+    geopackage.register(spark)
+    path = _target(spark, "roads.gpkg")
+    demo.roads(spark, sf_dir).write.format("geopackage").option("crs", "EPSG:32645").mode("overwrite").save(path)
+    held = spark.read.format("geopackage").load(path)
+    return held.select(*_whole("road_uid"), F.posexplode(F.col("parts")[0]).alias("k", "v")).select("road_uid", F.col("k").cast("long").alias("k"), "v.x", "v.y")
+
+
+def geopackage_points(spark, sf_dir):
+    """Associated points written as a GeoPackage and read again."""
+    geopackage.register(spark)
+    path = _target(spark, "points.gpkg")
+    rows = associate.associate(demo.points(spark, sf_dir), demo.roads(spark, sf_dir))
+    rows.select("x", "y", "point_idx", "road_uid", "dist_to_road").write.format("geopackage").option("crs", "EPSG:32645").mode("overwrite").save(path)
+    vertex = F.col("parts")[0][0]
+    return spark.read.format("geopackage").load(path).select(*_whole("point_idx", "road_uid"), vertex["x"].alias("x"), vertex["y"].alias("y"), *_six("dist_to_road"))
+
+
+def summary_csv(spark, sf_dir):
+    """The summary file, largest clusters first, as it reads."""
+    path = analysis.output_names(os.path.dirname(_target(spark, "")), EPS, MIN_PTS, 0)["summary"]
+    analysis.write_summary(path, summarize.summary(labelled(spark, sf_dir, 50)))
+    schema = "Cluster_ID long, Size long, Centroid_X double, Centroid_Y double, Hull_Area double"
+    rows = _placed(spark.read.csv(f"file:{path}", header=True, schema=schema))
+    return rows.select("position", "Cluster_ID", "Size", *_six("Centroid_X", "Centroid_Y", "Hull_Area"), F.lit(os.path.basename(path)).alias("file"))
+
+
+def summary_ordered(spark, sf_dir):
+    return _placed(summarize.ordered(summarize.summary(labelled(spark, sf_dir, 50)).select("Cluster_ID", "Size")))
+
+
+def legend_ordered(spark, sf_dir):
+    return _placed(layers.legend(labelled(spark, sf_dir)).select("label"))
+
+
+def failed_join(spark, sf_dir):
+    """Points associated with no roads at all."""
+    rows = associate.associate(demo.points(spark, sf_dir), demo.roads(spark, sf_dir).where("false"))
+    return rows.select("point_idx", *_whole("road_uid"), F.col("dist_to_road").isNull().alias("no_distance"))
+
+
+def merged_uid(spark, sf_dir):
+    """The key after a join that suffixed it, and where it is missing."""
+    rows = demo.points(spark, sf_dir)
+    suffixed = clean.merge_uid(rows.select("point_idx", F.lit(5).alias("road_uid"), (F.col("point_idx") % 3).alias("road_uid_road")))
+    missing = clean.merge_uid(rows.select(-F.col("point_idx").alias("point_idx")).toDF("point_idx"))
+    return suffixed.select(*_whole("point_idx", "road_uid")).union(missing.select(*_whole("point_idx", "road_uid")))
+
+
+def unassociated_counts(spark, sf_dir):
+    """Counts where every third point has no road and every fifth a null one."""
+    key = F.col("point_idx")
+    uid = F.when(key % 5 == 0, None).when(key % 3 == 0, -999).otherwise(key)
+    return associate.association_counts(demo.points(spark, sf_dir).withColumn("road_uid", uid))
+
+
+def road_tooltips(spark, sf_dir):
+    rows = demo.roads(spark, sf_dir).withColumns({"name": F.concat(F.lit("road "), F.col("road_uid").cast("string")), "lanes": F.when(F.col("road_uid") % 4 > 0, F.col("road_uid") % 4)})
+    return layers.road_layer(rows, crs.utm(45)).select("road_uid", "tooltip", F.get_json_object("geojson", "$.type").alias("shape"))
+
+
+def palette_listed(spark, sf_dir):
+    """Colours of the ten-colour palette by a cluster's place."""
+    return layers.palette(labelled(spark, sf_dir), "tab10").select("cluster", "position", "color")
+
+
+def centroid_popups(spark, sf_dir):
+    rows = labelled(spark, sf_dir, 50)
+    return layers.centroid_layer(summarize.centroids(rows), rows).select("cluster", "size", "popup")
+
+
+def hull_tooltips(spark, sf_dir):
+    rows = labelled(spark, sf_dir, 50)
+    return layers.hull_layer(summarize.hulls(rows), rows).select("cluster", "size", "tooltip")
+
+
+def hull_tooltips_text(spark, sf_dir):
+    """Sizes that aren't numbers are named otherwise."""
+    rows = labelled(spark, sf_dir, 50)
+    sized = summarize.hulls(rows).withColumn("size", F.concat(F.lit("about "), F.col("cluster").cast("string")))
+    return layers.hull_layer(sized, rows).select("cluster", "tooltip")
+
+
+def map_centre_degrees(spark, sf_dir):
+    """The centre of points of zone 45N, in degrees, from the mean of all of them."""
+    rows = demo.points(spark, sf_dir).select((F.col("x") * 0 + 500_000).alias("x"), (F.col("y") * 0).alias("y"))
+    return layers.map_center(layers.geographic(rows, crs.utm(45))).select(F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
+def crs_tests(spark, sf_dir):
+    held = [(name, crs.parse(name)) for name in ("EPSG:4326", "EPSG:32645", "EPSG:32701")]
+    return spark.createDataFrame([(n, c.projected, c.unit, c.axes[0], c.srid, c == crs.utm(45)) for n, c in held], "name string, projected boolean, unit string, axis string, srid long, same boolean")
+
+
+def utm_known_places(spark, sf_dir):
+    """Places whose coordinates follow from the definition: the central meridian, and the meridian's published arc at 45 degrees."""
+    rows = spark.createDataFrame([(1, 87.0, 0.0), (2, 87.0, 45.0), (3, 87.0, -45.0)], "place long, lon double, lat double")
+    x, y = crs.project(F.col("lon"), F.col("lat"), crs.utm(45))
+    return rows.select("place", F.round(x, 2).alias("easting"), F.round(y, 2).alias("northing"))
+
+
+def argument_checks(spark, sf_dir):
+    """Which arguments are refused, and how."""
+    cases = {"fine": ("p", "l", 150.0, 5, 0), "file": (1, "l", 150.0, 5, 0), "eps": ("p", "l", 0, 5, 0), "min_pts": ("p", "l", 1.0, 1, 0), "tolerance": ("p", "l", 1.0, 5, -1)}
+    out = []
+    for name, values in cases.items():
+        try:
+            analysis.check_arguments(*values)
+            out.append((name, "taken"))
+        except (TypeError, ValueError):
+            out.append((name, "refused"))
+    return spark.createDataFrame(out, "argument string, outcome string")
+
+
+def output_files(spark, sf_dir):
+    return spark.createDataFrame(sorted(analysis.output_names("out", 150.0, 5, 0).items()), "kind string, path string")
+
+
+def clustering_guards(spark, sf_dir):
+    """No graph: all points are noise. No points: no rows. A graph without rows: points pair on their own road."""
+    points = demo.points(spark, sf_dir).withColumn("road_uid", F.lit(1).cast("long"))
+    none = spark.createDataFrame([], "uid_a long, uid_b long")
+    counts = lambda rows, case: rows.agg(F.lit(case).alias("guard"), F.count(F.lit(1)).alias("points"), F.count_if(F.col("cluster") == -1).alias("noise"))
+    one_road = dbscan.cluster(points, none, 1.0, MIN_PTS)
+    return counts(dbscan.cluster(points, None, EPS, MIN_PTS), "no graph").union(counts(dbscan.cluster(points.where("false"), none, EPS, MIN_PTS), "no points")).union(counts(one_road, "empty graph"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -275,6 +441,9 @@ QUERIES: dict[str, Query] = {
         noise_points, core_components, constrained_dbscan, constrained_dbscan_snapped, plain_dbscan_contrast, cluster_sizes,
         cluster_centroids_distinct, cluster_hull_area, run_counts, map_center, cluster_palette_index, popup_text, palette_choice,
         hull_sizes_join, legend_labels, plot_groups, utm_forward, utm_roundtrip, point_distance, sentinel_coerce, wkb_roundtrip,
+        shapefile_points, shapefile_lines, geopackage_roads, geopackage_points, summary_csv, summary_ordered, legend_ordered, failed_join, merged_uid,
+        unassociated_counts, road_tooltips, palette_listed, centroid_popups, hull_tooltips, hull_tooltips_text, map_centre_degrees, crs_tests,
+        utm_known_places, argument_checks, output_files, clustering_guards,
     )
 }
 
@@ -406,4 +575,31 @@ SQL: dict[str, str] = {
     "point_distance": f"WITH {_points_sql()} SELECT point_idx, round(sqrt((x - 1000) * (x - 1000) + (y - 1000) * (y - 1000)), 6) AS distance FROM pts",
     "sentinel_coerce": f"WITH {_points_sql()} SELECT point_idx, CAST(CASE WHEN point_idx % 3 = 1 THEN point_idx ELSE -999 END AS BIGINT) AS road_uid FROM pts",
     "wkb_roundtrip": f"WITH {_points_sql()} SELECT point_idx, 'Point' AS kind, x, y FROM pts",
+    "shapefile_points": f"WITH {_points_sql()} SELECT row_number() OVER (ORDER BY point_idx) - 1 AS record_no, point_idx, 'Point' AS kind, x, y, 'né ' || point_idx AS name, CAST(32645 AS BIGINT) AS srid FROM pts",
+    "shapefile_lines": f"WITH {_ROADS}, v AS (SELECT road_uid, 0 AS k, x1 AS x, y1 AS y FROM rds UNION ALL SELECT road_uid, 1, x2, y2 FROM rds UNION ALL SELECT road_uid, 2, x2 + 50, y2 + 50 FROM rds) SELECT road_uid, 'LineString' AS kind, road_uid / 8 AS width, CAST(k AS BIGINT) AS k, x, y FROM v",
+    "geopackage_roads": f"WITH {_ROADS}, v AS (SELECT road_uid, 0 AS k, x1 AS x, y1 AS y FROM rds UNION ALL SELECT road_uid, 1, x2, y2 FROM rds) SELECT road_uid, CAST(k AS BIGINT) AS k, x, y FROM v",
+    "geopackage_points": f"WITH {_points_sql()}, {_ROADS}, {_near_sql()} SELECT n.point_idx, n.road_uid, p.x, p.y, round(sqrt(n.d2), 6) AS dist_to_road FROM near n JOIN pts p ON n.point_idx = p.point_idx",
+    "summary_csv": f"{_labels_sql(50)}, {_HULL} SELECT row_number() OVER (ORDER BY s.size DESC, s.cluster) - 1 AS position, s.cluster AS Cluster_ID, s.size AS Size, round(m.x, 6) AS Centroid_X, round(m.y, 6) AS Centroid_Y, round(a.area, 6) AS Hull_Area, 'cluster_summary_seg_intol0_eps60.0_mp5.csv' AS file FROM sized s JOIN mid m ON s.cluster = m.cluster LEFT JOIN areas a ON s.cluster = a.cluster",
+    "summary_ordered": f"{_labels_sql(50)}, {_HULL} SELECT row_number() OVER (ORDER BY size DESC, cluster) - 1 AS position, cluster AS Cluster_ID, size AS Size FROM sized",
+    "legend_ordered": f"{_labels_sql()}, c AS (SELECT DISTINCT cluster FROM lab WHERE cluster >= 0) SELECT 'Cluster ' || cluster AS label, row_number() OVER (ORDER BY cluster) - 1 AS position FROM c",
+    "failed_join": f"WITH {_points_sql()} SELECT point_idx, CAST(-999 AS BIGINT) AS road_uid, true AS no_distance FROM pts",
+    "merged_uid": f"WITH {_points_sql()} SELECT point_idx, point_idx % 3 AS road_uid FROM pts UNION ALL SELECT -point_idx, NULL FROM pts",
+    "unassociated_counts": f"WITH {_points_sql()} SELECT count(*) FILTER (point_idx % 5 <> 0 AND point_idx % 3 <> 0) AS associated, count(*) FILTER (point_idx % 5 = 0 OR point_idx % 3 = 0) AS unassociated FROM pts",
+    "road_tooltips": f"WITH {_ROADS} SELECT road_uid, 'name: road ' || road_uid || '<br>lanes: ' || CASE WHEN road_uid % 4 > 0 THEN CAST(road_uid % 4 AS VARCHAR) ELSE '' END AS tooltip, 'MultiLineString' AS shape FROM rds",
+    # The ten colours of a public palette.
+    "palette_listed": f"{_labels_sql()}, c AS (SELECT DISTINCT cluster FROM lab WHERE cluster <> -1), n AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS position FROM c) SELECT cluster, position, ['#1f77b4', '#ff7f0e', '#2ca02c', '#d62728', '#9467bd', '#8c564b', '#e377c2', '#7f7f7f', '#bcbd22', '#17becf'][position % 10 + 1] AS color FROM n",
+    "centroid_popups": f"{_labels_sql(50)}, {_HULL} SELECT s.cluster, s.size, 'Centroid Cluster ' || s.cluster || ' (Size: ' || s.size || ')' AS popup FROM sized s JOIN mid m ON s.cluster = m.cluster",
+    "hull_tooltips": f"{_labels_sql(50)}, {_HULL} SELECT a.cluster, s.size, 'Cluster ID: ' || a.cluster || '<br># Points: ' || s.size AS tooltip FROM areas a JOIN sized s ON a.cluster = s.cluster",
+    "hull_tooltips_text": f"{_labels_sql(50)}, {_HULL} SELECT cluster, 'Cluster ID: ' || cluster || '<br>Size Info: about ' || cluster AS tooltip FROM areas",
+    "map_centre_degrees": f"WITH {_points_sql()} SELECT round(avg(x * 0), 9) AS lat, round(avg(x * 0 + 87), 9) AS lon FROM pts",
+    "crs_tests": "SELECT * FROM (VALUES ('EPSG:4326', false, 'degree', 'Lon', CAST(4326 AS BIGINT), false), ('EPSG:32645', true, 'metre', 'E', 32645, true), ('EPSG:32701', true, 'metre', 'E', 32701, false)) t(name, projected, unit, axis, srid, same)",
+    # The meridian's arc of the public ellipsoid from the equator to 45 degrees is 4984944.378 m; the scale is 0.9996.
+    "utm_known_places": "SELECT CAST(place AS BIGINT) AS place, CAST(500000 AS DOUBLE) AS easting, round(CAST(side * 0.9996 * 4984944.378 AS DOUBLE), 2) AS northing FROM (VALUES (1, 0), (2, 1), (3, -1)) t(place, side)",
+    "argument_checks": "SELECT * FROM (VALUES ('fine', 'taken'), ('file', 'refused'), ('eps', 'refused'), ('min_pts', 'refused'), ('tolerance', 'refused')) t(argument, outcome)",
+    "output_files": "SELECT kind, 'out/' || base || '_seg_intol0_eps150.0_mp5.' || tail AS path FROM (VALUES ('summary', 'cluster_summary', 'csv'), ('map', 'cluster_map', 'html'), ('plot', 'static_cluster_map', 'png'), ('roads', 'roads_projected', 'gpkg'), ('points', 'points_associated', 'gpkg')) t(kind, base, tail)",
+    "clustering_guards": f"""WITH {_points_sql()}, near AS (SELECT p.point_idx, count(*) - 1 AS n FROM pts p JOIN pts q ON (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 1 GROUP BY 1),
+        core AS (SELECT p.* FROM pts p JOIN near ON p.point_idx = near.point_idx WHERE n >= {MIN_PTS - 1}),
+        reached AS (SELECT DISTINCT p.point_idx FROM pts p JOIN core c ON (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 1)
+        SELECT 'no graph' AS guard, count(*) AS points, count(*) AS noise FROM pts UNION ALL SELECT 'no points', 0, 0
+        UNION ALL SELECT 'empty graph', count(*), count(*) - (SELECT count(*) FROM reached) FROM pts""",
 }
