@@ -2,6 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and reread as the next one's ``docs``.
 All but the last return the columns of ``docs``.
+
+Defined cases, for every stage: an empty table stays empty; a null text is treated as the empty one and, where it is kept, stays null;
+null ids are kept and are no part of the fit; repeated rows are rows of their own, but near-dedup keeps one of them; of ties
+(equal scores, copies) near-dedup keeps the smallest id; texts of any length are worked on whole; other columns go through.
+The stages' tables stay below the checkpoint folder, as the result of ``run`` reads the last of them.
 """
 
 from __future__ import annotations
