@@ -32,18 +32,26 @@ def _box(df: DataFrame, xs: list[Column], ys: list[Column]):
     return df.agg(low(xs), high(xs), low(ys), high(ys)).first()
 
 
+def _first_side(rows: DataFrame, box) -> float:
+    """A cell's side: a few times the mean gap between roads, but no more than the usual edge and not under a sixteenth of it."""
+    length = rows.agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).first()[0]
+    usual = cell_size(rows)
+    gap = (box[1] - box[0]) * (box[3] - box[2]) / length if length else usual
+    return min(usual, max(4 * gap, usual / 16))
+
+
 def nearest(points: DataFrame, roads: DataFrame, side: float | None = None) -> DataFrame:
     """``point_idx, road_uid, d2`` (squared distance) of every valid point; the lowest ``road_uid`` of equally near roads.
 
     No roads give no rows.
     """
     rows = cut(edges(roads))
-    side = side or cell_size(rows)
     todo = points.where(g.valid_point(F.col("x"), F.col("y"))).select("point_idx", "x", "y")
     of_edges = _box(rows, [F.col("x1"), F.col("x2")], [F.col("y1"), F.col("y2")])
     of_points = _box(todo, [F.col("x")], [F.col("y")])
     if of_edges[0] is None or of_points[0] is None:
         return points.sparkSession.createDataFrame([], _OUT)
+    side = side or _first_side(rows, of_edges)
     extent = max(max(of_edges[k + 1], of_points[k + 1]) - min(of_edges[k], of_points[k]) for k in (0, 2))
     done = None
     while True:
