@@ -3,7 +3,7 @@
 
 1. Each text becomes the set of its shingles' hashes; equal sets are one node, with a 64-bit SimHash.
 2. Buckets: ``BANDS`` keys of ``ROWS`` minima of the set under different hashes. A pair of similarity 0.8 shares no
-   bucket with a probability under one in a million, one of 0.5 shares some seven times in ten, one of 0.2 one time in six.
+   bucket with a probability under one in a million, one of 0.5 shares some nine times in ten, one of 0.2 one time in seven.
 3. Fingerprints: of a pair of similarity 0.8 ten bits differ on average, with a standard deviation of 3; ``RADIUS`` is five
    of them above.
 4. Stars: for ``STARS`` rounds each bucket has one pivot (another in each round), and each node that isn't in its component goes on with
