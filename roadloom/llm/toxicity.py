@@ -8,14 +8,14 @@ either direction; attention weighs the states, and a text's score is that of its
 ``WINDOW - STRIDE + 1`` words stands whole in a window, wherever it is in the text.
 
 Training is plain numpy on the driver, on a bounded sample of labelled rows: ``SAMPLE`` rows of each label, the
-least by a hash of the id among texts of at most ``SAMPLE_BYTES``. Only the fit has these bounds; scoring covers all rows
+least by a hash of the id among texts of at most ``SAMPLE_BYTES``, ``SAMPLE_TOTAL`` bytes in all. Only the fit has these bounds; scoring covers all rows
 and whole texts. As a label marks a text and not a window, each epoch trains on the window of each text that the
 network scores highest (of those that start every ``FIT_STRIDE`` words). One dimension of either table starts as the smoothed log-odds of a word or 4-gram.
 
 Defined cases: null and blank texts have no words and get the lowest score of the sample; repeated rows are scored each;
 a null id is not held out and never learned from; labels that are null, or join no document, are left out; of equally
 high windows any gives the score; a text of any length is scored whole, in a block of its own (some thirty bytes a byte
-of text); without rows of both labels every text gets the share of label 1 (0.0 without any labels); an empty table gives
+of text; states are held for ``CHUNK`` windows, gates for ``SLAB``); without rows of both labels every text gets the share of label 1 (0.0 without any labels); an empty table gives
 an empty result; other columns are ignored by ``score`` and kept by ``reject``.
 """
 
@@ -27,16 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from roadloom.llm.columnar import ALNUM, Words, blocks
 from roadloom.session import cut
 
 WINDOW, STRIDE, FIT_STRIDE = 32, 8, 16
-SAMPLE, SAMPLE_BYTES = 2500, 60_000
+SAMPLE, SAMPLE_BYTES, SAMPLE_TOTAL = 2500, 60_000, 32_000_000
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
 WORD_ROWS, CHAR_ROWS, GRAM, LONGEST = 1 << 15, 1 << 16, 4, 48
-BLOCK, CHUNK = 1_000_000, 512
+BLOCK, CHUNK, SLAB = 1_000_000, 512, 16_384
 PRIOR = 20.0
 
 
@@ -210,10 +211,20 @@ class Network:
         return grad
 
     def logits(self, block: Block, start: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Of windows, some at a time."""
-        gates = self.gates(self.inputs(block))
-        some = (slice(k, k + CHUNK) for k in range(0, len(row), CHUNK))
-        return np.concatenate([np.zeros(0, np.float32), *(self.forward(gates, block.words(start[s], row[s]))[0] for s in some)])
+        """Of windows, some at a time: gates are made for the words of ``SLAB`` windows, so memory doesn't follow the block."""
+        out = [np.zeros(0, np.float32)]
+        for a in range(0, len(row), SLAB):
+            b = min(a + SLAB, len(row))
+            there = np.zeros(block.distinct + 1, bool)
+            there[block.words(start[a:b], row[a:b])] = True
+            held = np.flatnonzero(there[:-1])
+            number = np.full(block.distinct + 1, len(held), np.int32)
+            number[held] = np.arange(len(held))
+            gates = self.gates(self.inputs(block.part(held)))
+            for k in range(a, b, CHUNK):
+                some = slice(k, min(k + CHUNK, b))
+                out.append(self.forward(gates, number[block.words(start[some], row[some])])[0])
+        return np.concatenate(out)
 
 
 def _log_odds(block: Block, y: np.ndarray, some: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -235,10 +246,9 @@ def _log_odds(block: Block, y: np.ndarray, some: int = 200) -> tuple[np.ndarray,
     return odds(held["word"]), odds(held["char"])
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = 6, least_steps: int = 120, batch: int = 128, rate: float = 0.02, seed: int = 7) -> tuple[Network, float, float, float]:
+def train(block: Block, y: np.ndarray, epochs: int = 6, least_steps: int = 120, batch: int = 128, rate: float = 0.02, seed: int = 7) -> tuple[Network, float, float, float]:
     """A network, slope and intercept that turn its highest logit into a probability in the sample, and its lowest logit."""
     rng, net = np.random.default_rng(seed), Network(seed)
-    block = Block.joined(pa.array(texts, pa.large_string()))
     start, row = block.windows(FIT_STRIDE)
     word, char = _log_odds(block, y)
     net.p["word"][:, 0], net.p["char"][:, 0] = word / 2, char / 4
@@ -313,30 +323,42 @@ def fold(doc_id, folds: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, size: int | None = None) -> tuple[DataFrame, float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, size: int | None = None, total: int | None = None) -> tuple[DataFrame, float]:
     """``text, y`` of at most ``2 * rows`` rows outside the held-out fold, and label 1's share of all of them.
 
-    For each label the ``rows`` ids that are least by a hash, among documents of at most ``size`` bytes.
+    For each label the ``rows`` ids that are least by a hash, among documents of at most ``size`` bytes. With ``total``
+    an id gives one text (of several the greatest), and only as many as hold half of ``total`` bytes for each label.
     """
     mine = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
     mine = mine.groupBy("id").agg(F.max("y").alias("y"))
     share = mine.agg(F.avg("y")).first()[0]
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     there = texts if size is None else texts.where(F.octet_length("text") <= size)
-    named = mine.join(there.select("id"), "id", "left_semi")
+    if total is None:
+        named = mine.join(there.select("id"), "id", "left_semi")
+    else:
+        named = mine.join(there.groupBy("id").agg(F.max(F.octet_length("text")).alias("bytes")), "id")
     each = [named.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows) for y in (0, 1)]
+    if total is not None:  # a running sum over the ``rows`` ids of a label
+        so_far = F.sum("bytes").over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+        each = [e.withColumn("bytes", so_far).where(F.col("bytes") <= total // 2).drop("bytes") for e in each]
     some = cut(each[0].union(each[1]))  # 2 * rows ids
-    held = there.join(F.broadcast(some), "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(2 * rows)  # ids may repeat
+    held = there.join(F.broadcast(some), "id")
+    if total is not None:
+        held = held.groupBy("id", "y").agg(F.max("text").alias("text"))
+    held = held.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(2 * rows)  # ids may repeat
     return held.select("text", "y"), float(share or 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample, share = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE, SAMPLE_BYTES)
-    held = sample.toArrow()  # 2 * SAMPLE texts of SAMPLE_BYTES at most
-    texts, y = held.column("text").to_pylist(), held.column("y").to_numpy().astype(np.int64)
+    sample, share = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE, SAMPLE_BYTES, SAMPLE_TOTAL)
+    held = sample.toArrow()  # SAMPLE_TOTAL bytes of text at most
+    y = held.column("y").to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return Model(share)
-    net, slope, intercept, lowest = train(texts, y)
+    block = Block.joined(held.column("text"))
+    del held
+    net, slope, intercept, lowest = train(block, y)
     return Model(share, net, slope, intercept + prior_shift(share, y), lowest)
 
 

@@ -141,3 +141,25 @@ def test_edges(shipped, edge, nothing, docs):
     assert toxicity.score(nothing, model).collect() == [] and toxicity.reject(nothing, model).collect() == []
     assert {r["score"] for r in toxicity.score(edge, toxicity.fit(edge, labels.where("false"))).collect()} == {0.0}
     assert toxicity.fit(nothing, labels).net is None
+
+
+def test_sample_holds_its_bytes(shipped):
+    rows = [(k, ("a" if k % 2 else "b") * (10 + k)) for k in range(1, 61)] + [(7, "again")] * 50
+    docs, labels = table(shipped, rows), shipped.createDataFrame([(k, k % 2) for k in range(1, 61)], "doc_id long, toxic int")
+    every, share = toxicity.labelled_sample(docs, labels, "toxic", toxicity.FOLDS, toxicity.HELD_OUT, 100, 60_000, 10_000)
+    learned = {r["doc_id"] for r in docs.where(toxicity.fold(F.col("doc_id"), toxicity.FOLDS) != toxicity.HELD_OUT).select("doc_id").distinct().collect()}
+    assert len(every.collect()) == len(learned) and 0 < share < 1
+    some, _ = toxicity.labelled_sample(docs, labels, "toxic", toxicity.FOLDS, toxicity.HELD_OUT, 100, 60_000, 600)
+    for y in (0, 1):
+        size = sum(len(r["text"]) for r in some.collect() if r["y"] == y)
+        assert 200 < size <= 300
+
+
+def test_slabs_change_no_logit(monkeypatch):
+    texts = [" ".join(f"w{k * j % 91}" for k in range(90 * j)) for j in range(1, 7)] + ["", "one word"]
+    block, net = toxicity.Block.joined(pa.array(texts, pa.large_string())), toxicity.Network(3)
+    start, row = block.windows()
+    whole = net.logits(block, start, row)
+    monkeypatch.setattr(toxicity, "SLAB", 7)
+    monkeypatch.setattr(toxicity, "CHUNK", 3)
+    assert np.allclose(whole, net.logits(block, start, row), atol=1e-6)
