@@ -36,7 +36,7 @@ def wanted(docs, weights=(5, 2, 1), share=1.5, cap=2):
 def tilt(sizes, target, cap=2):
     """The root of one source's dual by halving."""
     mean = sum(sizes) / len(sizes)
-    rate = lambda t, s: min(cap, math.exp(t * s / (s + mean)))
+    rate = lambda t, s: min(cap, math.exp(min(50, t * s / (s + mean))))
     low, high = -1e4, 1e4
     for _ in range(200):
         mid = (low + high) / 2
