@@ -70,7 +70,6 @@ def test_targets_and_rates_equal_brute_force(docs):
         if target[source] < 2 * mine[0]["source_size"]:
             rate = tilt([r["size"] for r in mine], target[source])
             assert all(math.isclose(r["rate"], rate(r["size"]), rel_tol=1e-5) for r in mine)
-        assert sum(abs(r["copies"] - r["rate"]) < 1 for r in mine) >= len(mine) - 2  # but for what makes up the total
 
 
 def many(spark, n=3000):
@@ -82,7 +81,9 @@ def many(spark, n=3000):
 
 def test_hot_source_and_size(shipped):
     docs, rows = many(shipped)
-    check(mixing.mix(docs).collect(), rows, 2)
+    found = mixing.mix(docs).collect()
+    check(found, rows, 2)
+    assert sum(abs(r["copies"] - r["rate"]) < 1 for r in found) > 0.98 * len(found)  # but for what makes up the totals
 
 
 def test_reruns_and_partitions_agree(shipped):
