@@ -89,6 +89,37 @@ def edges_squared(p: dict[str, Column], q: dict[str, Column]) -> Column:
     return F.when(edges_intersect(p, q), 0.0).otherwise(F.least(*ends))
 
 
+def buffer_meets(p: dict[str, Column], q: dict[str, Column], tolerance: float) -> Column:
+    """Whether edge ``q`` shares a point with the polygon around edge ``p``.
+
+    The polygon is ``tolerance`` wide to both sides and has round ends of two chords a quarter circle; it is convex, so ``q`` meets
+    it if the part of ``q`` that lies inside each of its ten sides isn't empty. Touching counts, within a billionth of the tolerance.
+    """
+    length = F.hypot(p["x2"] - p["x1"], p["y2"] - p["y1"])
+    frame = F.struct(length.alias("length"), *((p[f"{c}2"] - p[f"{c}1"]).alias(f"d{c}") for c in "xy"), *((q[f"{c}{k}"] - p[f"{c}1"]).alias(f"{c}{k}") for c in "xy" for k in (1, 2)))
+    inner = tolerance * math.cos(math.pi / 8)  # distance of a chord from its end's centre
+    turns = [90, -90, 22.5, 67.5, -22.5, -67.5, 112.5, 157.5, -112.5, -157.5]
+    sides = [(0.0 if abs(d) == 90 else math.cos(math.radians(d)), math.sin(math.radians(d)), (tolerance if abs(d) == 90 else inner) + 1e-9 * tolerance) for d in turns]
+    listed = F.array(*(F.struct(F.lit(nx).alias("nx"), F.lit(ny).alias("ny"), F.lit(limit).alias("limit")) for nx, ny, limit in sides))
+
+    def beyond(f: Column, n: Column, k: int) -> Column:
+        """How far an end of q lies outside of a side."""
+        flat = f["length"] == 0
+        ux, uy = F.when(flat, 1.0).otherwise(f["dx"] / f["length"]), F.when(flat, 0.0).otherwise(f["dy"] / f["length"])
+        along, across = f[f"x{k}"] * ux + f[f"y{k}"] * uy, f[f"y{k}"] * ux - f[f"x{k}"] * uy
+        return n["nx"] * along + n["ny"] * across - n["limit"] - F.greatest(n["nx"], F.lit(0.0)) * f["length"]
+
+    def clipped(part: Column, e: Column) -> Column:
+        """The part of q, from ``low`` to ``high`` of it, that is also inside this side."""
+        cross = F.try_divide(e["first"], e["first"] - e["last"])
+        low = F.when((e["first"] > 0) & (e["last"] > 0), 2.0).when(e["first"] > 0, cross).otherwise(0.0)
+        return F.struct(F.greatest(part["low"], low).alias("low"), F.least(part["high"], F.when((e["first"] <= 0) & (e["last"] > 0), cross).otherwise(1.0)).alias("high"))
+
+    ends = lambda f: F.transform(listed, lambda n: F.struct(beyond(f, n, 1).alias("first"), beyond(f, n, 2).alias("last")))
+    whole = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    return F.transform(F.array(frame), lambda f: F.aggregate(ends(f), whole, clipped, lambda part: part["low"] <= part["high"]))[0]
+
+
 def edge_of(alias: str) -> dict[str, Column]:
     return {k: F.col(f"{alias}.{k}") for k in ("x1", "y1", "x2", "y2")}
 

@@ -1,42 +1,41 @@
 """Nearest road of each point.
 
-The plane is cut into square cells. An edge is registered in the cells it crosses and those around them, so a point has
-to look into its own cell only, and a candidate nearer than one side is final: whatever it doesn't see is at
-least one side away. Points that are not settled go on with cells of twice the side, until a cell's surroundings
-hold the whole extent. The partial minimum of a point's candidates is taken where the join made them.
+The edges stand in one index over cells of sides ``side``, ``2 side``, ``4 side``, ..., built once: at every level an edge is registered in the
+cells it crosses and those around them. A point has to look into its own cell only, and a candidate nearer than one side
+is final: whatever it doesn't see is at least one side away. Each point looks at the first level at which its cell holds
+anything (found for the points' cells, not for each point), and once more if what it finds there is a side away or more: that distance
+names the level at which everything nearer is in sight. So there are two joins, however many levels there are and however far the farthest point is.
+The partial minimum of a point's candidates is taken where the join made them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions import geometry as g
-from roadloom.operators.roads import cell_size, cells_of_edge, edges
+from roadloom.operators.roads import cells_of_edge, edges
 from roadloom.session import cut
 
 NONE = -999
 _OUT = "point_idx bigint, road_uid bigint, d2 double"
 
 
-def _around(edge_rows: DataFrame, side: float) -> DataFrame:
-    """Edges with each cell that they cross or that lies next to one they cross, once."""
+def edge_index(edge_rows: DataFrame, side: float, levels: int) -> DataFrame:
+    """Edges with ``level, cx, cy`` of each cell that they cross or that lies next to one they cross, once for each level."""
     ring = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    near = F.flatten(F.transform(cells_of_edge(side), lambda c: F.transform(ring, lambda r: F.struct((c["cx"] + r["i"]).alias("cx"), (c["cy"] + r["j"]).alias("cy")))))
-    return edge_rows.withColumn("cell", F.explode(F.array_distinct(near))).select("road_uid", "x1", "y1", "x2", "y2", "cell.cx", "cell.cy")
-
-
-def _box(df: DataFrame, xs: list[Column], ys: list[Column]):
-    """Least and greatest x, then y."""
-    low, high = (lambda cs: F.min(F.least(*cs, cs[0]))), (lambda cs: F.max(F.greatest(*cs, cs[0])))
-    return df.agg(low(xs), high(xs), low(ys), high(ys)).first()
+    rows = edge_rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    rows = rows.withColumn("_side", side * F.pow(F.lit(2.0), F.col("level")))
+    near = F.flatten(F.transform(cells_of_edge(F.col("_side")), lambda c: F.transform(ring, lambda r: F.struct((c["cx"] + r["i"]).alias("cx"), (c["cy"] + r["j"]).alias("cy")))))
+    return rows.withColumn("cell", F.explode(F.array_distinct(near))).select("road_uid", "x1", "y1", "x2", "y2", "level", "cell.cx", "cell.cy")
 
 
-def _first_side(rows: DataFrame, box) -> float:
-    """A cell's side: a few times the mean gap between roads, but no more than the usual edge and not under a sixteenth of it."""
-    length = rows.agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).first()[0]
-    usual = cell_size(rows)
-    gap = (box[1] - box[0]) * (box[3] - box[2]) / length if length else usual
+def _first_side(state, box) -> float:
+    """A cell's side: a few times the mean gap between roads, but no more than twice the usual edge and not under an eighth of it."""
+    usual = 2 * state["median"] if state["median"] else 1.0
+    gap = (box[1] - box[0]) * (box[3] - box[2]) / state["length"] if state["length"] else usual
     return min(usual, max(4 * gap, usual / 16))
 
 
@@ -47,28 +46,37 @@ def nearest(points: DataFrame, roads: DataFrame, side: float | None = None) -> D
     """
     rows = cut(edges(roads))
     todo = points.where(g.valid_point(F.col("x"), F.col("y"))).select("point_idx", "x", "y")
-    of_edges = _box(rows, [F.col("x1"), F.col("x2")], [F.col("y1"), F.col("y2")])
-    of_points = _box(todo, [F.col("x")], [F.col("y")])
+    low, high = (lambda *cs: F.min(F.least(*cs))), (lambda *cs: F.max(F.greatest(*cs)))
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    of_edges = rows.agg(low("x1", "x2"), high("x1", "x2"), low("y1", "y2"), high("y1", "y2"), F.sum(length).alias("length"), F.percentile_approx(length, 0.5).alias("median")).first()
+    of_points = todo.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if of_edges[0] is None or of_points[0] is None:
         return points.sparkSession.createDataFrame([], _OUT)
-    side = side or _first_side(rows, of_edges)
+    side = side or _first_side(of_edges, of_edges)
     extent = max(max(of_edges[k + 1], of_points[k + 1]) - min(of_edges[k], of_points[k]) for k in (0, 2))
-    done = None
-    while True:
-        last = side >= extent  # then no cell is more than one off another
-        cell = lambda c: F.floor(F.col(c) / side).cast("long")  # noqa: B023, E731
-        probe = todo.withColumns({"cx": cell("x"), "cy": cell("y")})
-        met = probe.join(_around(rows, side), ["cx", "cy"]).withColumn("d2", g.point_edge_squared(F.col("x"), F.col("y"), {k: F.col(k) for k in ("x1", "y1", "x2", "y2")}))
-        best = met.groupBy("point_idx").agg(F.min(F.struct("d2", "road_uid")).alias("best"))
-        best = best.select("point_idx", F.col("best.road_uid").alias("road_uid"), F.col("best.d2").alias("d2"))
-        best = cut(best if last else best.where(F.col("d2") < side * side))
-        done = best if done is None else done.union(best)
-        if last:
-            return done
-        todo = cut(todo.join(best, "point_idx", "left_anti"))
-        if todo.isEmpty():
-            return done
-        side *= 2
+    last = max(0, math.ceil(math.log2(max(extent / side, 1.0)) + 1e-9))  # there no cell is more than one off another
+    index = cut(edge_index(rows, side, last + 1))
+    size = lambda level: side * F.pow(F.lit(2.0), level)
+    at = lambda c: F.floor(F.col(c) / size(F.col("level"))).cast("long")
+    cell = {"px": F.floor(F.col("x") / side).cast("long"), "py": F.floor(F.col("y") / side).cast("long")}
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    cells = todo.select(*(c.alias(k) for k, c in cell.items())).distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    cells = cells.withColumns({"cx": up("px"), "cy": up("py")}).join(index.select("level", "cx", "cy").distinct(), ["level", "cx", "cy"], "left_semi")
+    first = cells.groupBy("px", "py").agg(F.min("level").alias("level"))
+
+    def best(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumns({"cx": at("x"), "cy": at("y")})
+        met = placed.join(index, ["level", "cx", "cy"]).withColumn("d2", g.point_edge_squared(F.col("x"), F.col("y"), {k: F.col(k) for k in ("x1", "y1", "x2", "y2")}))
+        found = met.groupBy("point_idx").agg(F.min(F.struct("d2", "road_uid")).alias("best"), F.first("x").alias("x"), F.first("y").alias("y"), F.first("level").alias("level"))
+        return found.select("point_idx", "x", "y", "level", F.col("best.road_uid").alias("road_uid"), F.col("best.d2").alias("d2"))
+
+    seen = cut(best(todo.withColumns(cell).join(first, ["px", "py"]).drop("px", "py")))
+    final = (F.col("level") == last) | (F.col("d2") < size(F.col("level")) * size(F.col("level")))
+    wanted = F.floor(F.log2(F.sqrt("d2") / side)).cast("int") + 1
+    wanted = F.when(size(wanted) * size(wanted) > F.col("d2"), wanted).otherwise(wanted + 1)
+    again = best(seen.where(~final).select("point_idx", "x", "y", F.least(wanted, F.lit(last)).alias("level")))
+    out = ["point_idx", "road_uid", "d2"]
+    return seen.where(final).select(*out).union(again.select(*out))
 
 
 def associate(points: DataFrame, roads: DataFrame, side: float | None = None) -> DataFrame:

@@ -10,8 +10,8 @@ Equal points on one road are one *site* with a weight. Sites of one road in one
 
 * no pairs inside a clump are made: a clump of ``min_pts`` points has cores only, and its cores are connected;
 * neighbours are counted for the sites of small clumps only, which are fewer than ``min_pts`` each;
-* two large clumps are linked if their outermost cores are; only pairs of clumps that this leaves in different
-  components, and whose boxes are within ``eps``, are compared core by core.
+* two large clumps are linked if their outermost cores are; pairs of clumps that this leaves in different
+  components, and whose boxes are within ``eps``, are cut into ever smaller cells (:mod:`roadloom.operators.closest`).
 
 So the work follows the number of points, also where a third of them stand within ``eps`` of each other.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import geometry as g
 from roadloom.operators.associate import NONE
+from roadloom.operators.closest import touching
 from roadloom.operators.components import connected_components
 from roadloom.operators.keys import dense_index
 from roadloom.operators.roads import allowed_pairs
@@ -73,19 +74,11 @@ def _clump_pairs(clumps: DataFrame, adjacent: DataFrame | None, eps: float) -> D
     return (pairs if adjacent is None else allowed_pairs(pairs, adjacent, "uid_a", "uid_b")).select("a", "b")
 
 
-def _exhaustive(pairs: DataFrame, cores: DataFrame, eps: float) -> DataFrame:
-    """Pairs of clumps of which two cores are at most ``eps`` apart."""
-    left = cores.select(F.col("clump").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
-    right = cores.select(F.col("clump").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    near = g.squared(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")) <= eps * eps
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b").distinct()
-
-
 def site_labels(held: DataFrame, adjacent: DataFrame | None, eps: float, min_pts: int) -> DataFrame:
     """``site, core, cluster`` of every site."""
     side = eps / 2
     cell = lambda c: F.floor(F.col(c) / side).cast("long")
-    rows = cut(held.withColumns({"cx": cell("x"), "cy": cell("y")}))
+    rows = held.withColumns({"cx": cell("x"), "cy": cell("y")})
     clumps = cut(_clumps(rows))
     rows = cut(rows.join(clumps.select("cx", "cy", "road_uid", "clump", "points"), ["cx", "cy", "road_uid"]).drop("cx", "cy", "road_uid"))
     pairs = cut(_clump_pairs(clumps, adjacent, eps))
@@ -108,17 +101,17 @@ def site_labels(held: DataFrame, adjacent: DataFrame | None, eps: float, min_pts
     wide = pairs.join(ends("a"), "a").join(ends("b"), "b")
     close = lambda p, q: g.squared(p["x"], p["y"], q["x"], q["y"]) <= eps * eps
     wide = cut(wide.select("a", "b", F.exists("outer_a", lambda p: F.exists("outer_b", lambda q: close(p, q))).alias("linked")))
-    links = cut(links.union(wide.where("linked").select("a", "b")).where("a <> b").distinct())
+    links = links.union(wide.where("linked").select("a", "b")).where("a <> b")
     parts = connected_components(links)
     of = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"component_{k}"))
     apart = wide.where("not linked").join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = cut(apart.where(F.coalesce("component_a", F.col("a")) != F.coalesce("component_b", F.col("b"))).select("a", "b"))
     if not apart.isEmpty():
-        parts = connected_components(links.union(_exhaustive(apart, cores, eps)))
+        parts = connected_components(links.union(touching(apart, cores.select(F.col("clump").alias("group"), "x", "y"), eps, side)))
     cores = cores.join(parts.withColumnRenamed("node", "clump"), "clump", "left").withColumn("component", F.coalesce("component", F.col("clump"))).select("site", "component")
     first = cores.groupBy("component").agg(F.min("site").alias("least"))
     numbered = dense_index(first, ["least"], "cluster", 1).select("component", "cluster")
-    cores = cut(cores.join(numbered, "component").select("site", "cluster"))
+    cores = cores.join(numbered, "component").select("site", "cluster")
     border = met.join(cores.select(F.col("site").alias("other"), "cluster"), "other").groupBy("site").agg(F.min("cluster").alias("border"))
     out = rows.select("site", "core").join(cores, "site", "left").join(border, "site", "left")
     return out.select("site", "core", F.coalesce(F.col("cluster"), F.col("border"), F.lit(NOISE)).cast("bigint").alias("cluster"))

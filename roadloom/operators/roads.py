@@ -1,7 +1,9 @@
 """The road graph: edges, grid cells, intersections, adjacency and reach.
 
 Candidate pairs come from an equi-join on grid cells; an edge is registered in the cells its own line crosses, not in
-all cells of its box, so long slanted roads stay cheap. Exact predicates then decide in the same join.
+all cells of its box, so long slanted roads stay cheap. Exact predicates then decide in the same join. Cells of over ``DENSE`` edges are
+split where that halves the pairs to test, or costs no copies (a quadtree by counts); elsewhere, as around a point that very many roads
+cross, a cell's edges are dealt into blocks of that size and each pair of blocks is a group of its own.
 """
 
 from __future__ import annotations
@@ -10,6 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions import geometry as g
+from roadloom.session import cut
+
+#: Edges that a cell may hold; cells a side that one is split into; times that it may be.
+DENSE, FINER, DEEPEST = 256, 4, 8
+#: Roads with more crossings are compared with each other by bitmaps.
+HEAVY = 4096
+_EDGE = ["road_uid", "x1", "y1", "x2", "y2"]
 
 
 def edges(roads: DataFrame) -> DataFrame:
@@ -30,12 +39,24 @@ def _whole(c: Column) -> Column:
     return F.floor(c).cast("long")
 
 
-def cells_of_edge(side: float, slack: float = 0.0) -> Column:
-    """Cells (``cx``, ``cy``) within ``slack`` of an edge; a little more, never fewer."""
+def cells_of_edge(side: float, slack: float = 0.0, within: int | None = None) -> Column:
+    """Cells (``cx``, ``cy``) within ``slack`` of an edge; a little more, never fewer.
+
+    ``within``: only those of the ``within`` x ``within`` cells that make up the larger cell in the columns ``cx`` and ``cy``.
+    """
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     pad = slack + 1e-9 * side
     low_x, high_x = F.least(x1, x2), F.greatest(x1, x2)
-    columns = F.sequence(_whole((low_x - pad) / side), _whole((high_x + pad) / side))
+    none = F.array().cast("array<bigint>")
+
+    def run(low: Column, high: Column, up: str) -> Column:
+        low, high = _whole(low / side), _whole(high / side)
+        if within is None:
+            return F.sequence(low, high)
+        low, high = F.greatest(low, F.col(up) * within), F.least(high, F.col(up) * within + within - 1)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(none)
+
+    columns = run(low_x - pad, high_x + pad, "cx")
     slope = (y2 - y1) / (x2 - x1)
 
     def of_column(cx: Column) -> Column:
@@ -44,30 +65,72 @@ def cells_of_edge(side: float, slack: float = 0.0) -> Column:
         steep = x1 == x2
         low = F.when(steep, F.least(y1, y2)).otherwise(F.greatest(F.least(y1, y2), F.least(at(left), at(right)) - 1e-9 * side))
         high = F.when(steep, F.greatest(y1, y2)).otherwise(F.least(F.greatest(y1, y2), F.greatest(at(left), at(right)) + 1e-9 * side))
-        rows = F.sequence(_whole((low - pad) / side), _whole((high + pad) / side))
-        return F.transform(rows, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+        return F.transform(run(low - pad, high + pad, "cy"), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
 
     return F.flatten(F.transform(columns, of_column))
 
 
-def intersections(roads: DataFrame, tolerance: float = 0.0, tolerance_mode: str = "compat", side: float | None = None) -> DataFrame:
+def leaves(edge_rows: DataFrame, side: float, slack: float = 0.0, dense: int = DENSE) -> DataFrame:
+    """Every edge in each leaf that it crosses: ``road_uid, x1, y1, x2, y2, level, cx, cy, n``; ``n`` edges stand in a leaf that is too dense (else 0)."""
+    cell, pairs = ["cx", "cy"], lambda n: F.col(n).cast("double") * F.col(n)
+    now = cut(edge_rows.withColumn("cell", F.explode(cells_of_edge(side, slack))).select(*_EDGE, "cell.*"))
+    done = None
+    for level in range(DEEPEST + 1):
+        held = lambda rows, n: rows.select(*_EDGE, F.lit(level).alias("level"), *cell, n.cast("long").alias("n"))  # noqa: B023, E731
+        counts = now.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense)
+        counts = cut(counts)
+        if counts.isEmpty():
+            return held(now, F.lit(0)) if done is None else done.union(held(now, F.lit(0)))
+        full = now.join(counts, cell)
+        done = held(now.join(counts, cell, "left_anti"), F.lit(0)) if done is None else done.union(held(now.join(counts, cell, "left_anti"), F.lit(0)))
+        if level == DEEPEST:
+            break
+        side /= FINER
+        inner = cut(full.withColumn("cell", F.explode(cells_of_edge(side, slack, FINER))).select(*_EDGE, "n", F.col("cx").alias("up_x"), F.col("cy").alias("up_y"), "cell.*"))
+        after = inner.groupBy("n", "up_x", "up_y", *cell).agg(F.count(F.lit(1)).alias("m")).groupBy("n", "up_x", "up_y").agg(F.sum(pairs("m")).alias("after"), F.sum("m").alias("rows"))
+        gain = (F.col("after") <= pairs("n") / 2) | (F.col("rows") <= 1.25 * F.col("n"))  # fewer pairs, or no more rows on the way to a level that has
+        better = cut(after.where(gain).select("up_x", "up_y"))
+        whole = better.withColumnsRenamed({"up_x": "cx", "up_y": "cy"})
+        done = done.union(held(full.join(whole, cell, "left_anti"), F.col("n")))
+        now = inner.join(better, ["up_x", "up_y"], "left_semi").select(*_EDGE, *cell)
+    return done.union(held(full, F.col("n")))
+
+
+def dealt(leaf_rows: DataFrame, dense: int = DENSE) -> DataFrame:
+    """Edges of leaves that are too dense in blocks, once for each pair of blocks (``low <= high``) that theirs (``own``) is part of."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / dense)).cast("int")
+    own = F.pmod(F.xxhash64(*_EDGE), F.col("blocks")).cast("int")
+    rows = leaf_rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(*_EDGE, "level", "cx", "cy", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+
+def intersections(roads: DataFrame, tolerance: float = 0.0, tolerance_mode: str = "compat", side: float | None = None, dense: int = DENSE) -> DataFrame:
     """Pairs ``uid_a < uid_b`` of roads that share a point.
 
     In the ``'compat'`` mode the tolerance has no effect (candidates already touch); ``'effective'`` also takes roads at
-    most ``tolerance`` apart.
+    most ``tolerance`` apart; ``'buffer'`` takes roads that meet the polygon around an edge of the other, whose round ends have two chords a
+    quarter circle, and so are a little inside the true distance.
     """
     if tolerance < 0:
         raise ValueError("the tolerance must not be negative")
-    if tolerance_mode not in ("compat", "effective"):
-        raise ValueError("tolerance_mode is 'compat' or 'effective'")
-    slack = tolerance if tolerance_mode == "effective" else 0.0
-    rows = edges(roads)
-    side = side or cell_size(rows)
-    rows = rows.withColumn("cell", F.explode(cells_of_edge(side, slack / 2))).select("road_uid", "x1", "y1", "x2", "y2", "cell.cx", "cell.cy")
+    if tolerance_mode not in ("compat", "effective", "buffer"):
+        raise ValueError("tolerance_mode is 'compat', 'effective' or 'buffer'")
+    slack = 0.0 if tolerance_mode == "compat" else tolerance
+    rows = cut(edges(roads))
+    rows = dealt(leaves(rows, side or cell_size(rows), slack / 2, dense), dense)
     p, q = g.edge_of("p"), g.edge_of("q")
-    near = g.boxes_meet(p, q, slack) & (g.edges_squared(p, q) <= slack * slack) if slack else g.edges_intersect(p, q)
-    same_cell = (F.col("p.cx") == F.col("q.cx")) & (F.col("p.cy") == F.col("q.cy")) & (F.col("p.road_uid") < F.col("q.road_uid"))
-    met = rows.alias("p").join(rows.alias("q"), same_cell & near)
+    if not slack:
+        near = g.edges_intersect(p, q)
+    elif tolerance_mode == "effective":
+        near = g.boxes_meet(p, q, slack) & (g.edges_squared(p, q) <= slack * slack)
+    else:
+        near = g.boxes_meet(p, q, slack) & (g.buffer_meets(p, q, slack) | g.buffer_meets(q, p, slack))
+    keys = ["level", "cx", "cy", "low", "high"]
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"p.{k}") == F.col(f"q.{k}")
+    apart = (F.col("p.low") == F.col("p.high")) | (F.col("p.own") != F.col("q.own"))
+    met = rows.alias("p").join(rows.alias("q"), same & apart & (F.col("p.road_uid") < F.col("q.road_uid")) & near)
     return met.select(F.col("p.road_uid").alias("uid_a"), F.col("q.road_uid").alias("uid_b")).distinct()
 
 
@@ -90,14 +153,44 @@ def reach(roads: DataFrame, adjacent: DataFrame) -> DataFrame:
     return same.union(direct).union(first.join(second, "via").select("uid_p", "uid_q")).distinct()
 
 
-def allowed_pairs(pairs: DataFrame, adjacent: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows of ``pairs`` whose roads ``a`` and ``b`` may hold neighbours.
+def _meeting_heavy(pairs: DataFrame, adjacent: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Those ``pairs`` (``uid_p, uid_q``) of heavy roads that have a common neighbour: their bitmaps meet in some run of numbers."""
+    of_heavy = adjacent.join(heavy.select(F.col("uid").alias("uid_a")), "uid_a", "left_semi")
+    maps = cut(of_heavy.groupBy(F.col("uid_a").alias("uid"), F.bitmap_bucket_number("uid_b").alias("run")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("uid_b")).alias("map")))
+    both = pairs.join(maps, F.col("uid_p") == F.col("uid")).drop("uid").union(pairs.join(maps, F.col("uid_q") == F.col("uid")).drop("uid"))
+    met = both.groupBy("uid_p", "uid_q", "run").agg(F.count(F.lit(1)).alias("n"), F.bitmap_and_agg("map").alias("map"))
+    return met.where((F.col("n") == 2) & (F.bitmap_count("map") > 0)).select("uid_p", "uid_q").distinct()
 
-    Tested on each distinct road pair by its two neighbour lists, so the pairs of all roads around a hub are never made.
+
+def linked_pairs(both: DataFrame, adjacent: DataFrame, heavy_from: int = HEAVY) -> DataFrame:
+    """Those of the distinct pairs ``both`` (``uid_p, uid_q``) that are adjacent or have a common neighbour.
+
+    Adjacent pairs are a semi-join. Of the others only the lighter road's neighbours are looked up, one row each, and
+    tested for being the other's; two roads of over ``heavy_from`` neighbours meet by bitmaps. So no list of neighbours stands in a row, and a
+    road with very many crossings costs a pair what the other road has.
     """
-    lists = adjacent.groupBy(F.col("uid_a").alias("uid")).agg(F.collect_set("uid_b").alias("list"))
-    both = pairs.where(F.col(a) != F.col(b)).select(F.col(a).alias("uid_p"), F.col(b).alias("uid_q")).distinct()
-    of = lambda side: lists.select(F.col("uid").alias(f"uid_{side}"), F.col("list").alias(f"list_{side}"))
-    linked = both.join(of("p"), "uid_p").join(of("q"), "uid_q").where(F.array_contains("list_p", F.col("uid_q")) | F.arrays_overlap("list_p", "list_q")).select("uid_p", "uid_q")
-    same = pairs.where(F.col(a) == F.col(b))
-    return same.union(pairs.where(F.col(a) != F.col(b)).join(linked, (F.col(a) == F.col("uid_p")) & (F.col(b) == F.col("uid_q")), "left_semi"))
+    edges_ = adjacent.select("uid_a", "uid_b")
+    direct = both.join(edges_.toDF("uid_p", "uid_q"), ["uid_p", "uid_q"], "left_semi")
+    rest = both.join(edges_.toDF("uid_p", "uid_q"), ["uid_p", "uid_q"], "left_anti")
+    degree = cut(edges_.groupBy(F.col("uid_a").alias("uid")).agg(F.count(F.lit(1)).alias("degree")))
+    of = lambda s: degree.select(F.col("uid").alias(f"uid_{s}"), F.col("degree").alias(f"degree_{s}"))
+    rest = rest.join(of("p"), "uid_p").join(of("q"), "uid_q")  # a road without neighbours has none in common
+    heavy = degree.where(F.col("degree") > heavy_from)
+    any_heavy = not heavy.isEmpty()
+    if any_heavy:
+        rest = cut(rest)
+    two = F.least("degree_p", "degree_q") > heavy_from
+    light = F.when(F.col("degree_p") <= F.col("degree_q"), F.struct(F.col("uid_p").alias("light"), F.col("uid_q").alias("other"))).otherwise(F.struct(F.col("uid_q").alias("light"), F.col("uid_p").alias("other")))
+    small = rest.where(~two).select("uid_p", "uid_q", light.alias("l")).select("uid_p", "uid_q", "l.*")
+    via = small.join(edges_.toDF("light", "via"), "light").join(edges_.toDF("other", "via"), ["other", "via"], "left_semi")
+    out = direct.union(via.select("uid_p", "uid_q"))
+    if any_heavy:
+        out = out.union(_meeting_heavy(rest.where(two).select("uid_p", "uid_q"), edges_, heavy))
+    return out.distinct()
+
+
+def allowed_pairs(pairs: DataFrame, adjacent: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows of ``pairs`` whose roads ``a`` and ``b`` may hold neighbours: each distinct pair of roads is tested once (:func:`linked_pairs`)."""
+    apart = pairs.where(F.col(a) != F.col(b))
+    linked = linked_pairs(apart.select(F.col(a).alias("uid_p"), F.col(b).alias("uid_q")).distinct(), adjacent)
+    return pairs.where(F.col(a) == F.col(b)).union(apart.join(linked, (F.col(a) == F.col("uid_p")) & (F.col(b) == F.col("uid_q")), "left_semi"))

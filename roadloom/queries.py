@@ -22,7 +22,7 @@ from roadloom.render import layers
 from roadloom.session import cut, ensure_checkpoint_dir
 from roadloom.sources import geopackage, shapefile
 
-EPS, MIN_PTS, TOLERANCE = 60.0, 5, 25.0
+EPS, MIN_PTS, TOLERANCE, BUFFER = 60.0, 5, 25.0, 80.0
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -96,6 +96,10 @@ def road_intersections_tol_effective(spark, sf_dir):
     return roads.intersections(demo.roads(spark, sf_dir), TOLERANCE, "effective")
 
 
+def road_intersections_tol_buffer(spark, sf_dir):
+    return roads.intersections(demo.roads(spark, sf_dir), BUFFER, "buffer")
+
+
 def road_adjacency(spark, sf_dir):
     return roads.adjacency(roads.intersections(demo.roads(spark, sf_dir)))
 
@@ -436,7 +440,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         cluster_summary, point_clean, road_clean, road_audit, road_uid_dense, road_edges, road_intersections, road_intersections_bent,
-        road_intersections_tol_compat, road_intersections_tol_effective, road_adjacency, road_neighbour_lists, road_reach_1hop, isolated_roads,
+        road_intersections_tol_compat, road_intersections_tol_effective, road_intersections_tol_buffer, road_adjacency, road_neighbour_lists, road_reach_1hop, isolated_roads,
         nearest_road, nearest_road_ties, association_counts, eps_pairs, constrained_pairs, unassociated_pairs, core_points, border_points,
         noise_points, core_components, constrained_dbscan, constrained_dbscan_snapped, plain_dbscan_contrast, cluster_sizes,
         cluster_centroids_distinct, cluster_hull_area, run_counts, map_center, cluster_palette_index, popup_text, palette_choice,
@@ -539,6 +543,9 @@ SQL: dict[str, str] = {
     "road_intersections_tol_compat": f"{_PAIRS} SELECT uid_a, uid_b FROM pairs",
     "road_intersections_tol_effective": f"""WITH {_ROADS}, gaps AS (SELECT a.road_uid AS uid_a, b.road_uid AS uid_b, greatest(0, a.x1 - b.x2, b.x1 - a.x2) AS gx, greatest(0, a.y1 - b.y2, b.y1 - a.y2) AS gy
         FROM rds a JOIN rds b ON a.road_uid < b.road_uid) SELECT uid_a, uid_b FROM gaps WHERE gx * gx + gy * gy <= {TOLERANCE * TOLERANCE}""",
+    # axis-parallel roads: the polygon's sum with a road is an octagon of gaps
+    "road_intersections_tol_buffer": f"""WITH {_ROADS}, gaps AS (SELECT a.road_uid AS uid_a, b.road_uid AS uid_b, greatest(0, a.x1 - b.x2, b.x1 - a.x2) AS gx, greatest(0, a.y1 - b.y2, b.y1 - a.y2) AS gy
+        FROM rds a JOIN rds b ON a.road_uid < b.road_uid) SELECT uid_a, uid_b FROM gaps WHERE greatest(gx + (sqrt(2) - 1) * gy, gy + (sqrt(2) - 1) * gx) <= {BUFFER}""",
     "road_adjacency": f"{_GRAPH} SELECT uid_a, uid_b FROM adj",
     "road_neighbour_lists": f"{_GRAPH} SELECT r.road_uid, coalesce(string_agg(CAST(a.uid_b AS VARCHAR), ',' ORDER BY a.uid_b), '') AS neighbours, count(a.uid_b) AS degree FROM rds r LEFT JOIN adj a ON r.road_uid = a.uid_a GROUP BY r.road_uid",
     "road_reach_1hop": f"{_GRAPH}, {_REACH} SELECT uid_p, uid_q FROM reach",

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadloom.functions.geometry import PARTS
-from roadloom.operators import associate, clean, components, dbscan, keys, roads, summarize
+from roadloom.operators import associate, clean, closest, components, dbscan, keys, roads, summarize
 
 
 def sequential(points, adjacent, eps, min_pts):
@@ -174,6 +174,158 @@ def test_components_of_a_path_and_a_hub(spark, monkeypatch, few):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def smallest(edges):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    return {x: root(x) for x in list(up)}
+
+
+@pytest.mark.parametrize("few,chunk", [(0, 37), (60, 37), (60, 500), (10_000, 10)])
+def test_components_by_forests_of_chunks(spark, monkeypatch, few, chunk):
+    monkeypatch.setattr(components, "FEW", few)
+    rng = random.Random(few + chunk)
+    node = rng.sample(range(5000), 900)
+    edges = [(k, k + 1) for k in range(10_000, 10_400)] + [(node[k], node[k + 1]) for k in range(300)] + [tuple(rng.sample(node[301:], 2)) for _ in range(400)] + [(20_000, k) for k in range(20_001, 20_150)]
+
+    def chunked(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, chunk):
+                yield from original(iter([batch.slice(k, chunk)]))
+
+    original = components._forest
+    monkeypatch.setattr(components, "_forest", chunked)
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == smallest(edges)
+
+
+def test_forests_leave_few_edges_of_a_long_path(spark):
+    n = 1_000_000
+    path = spark.range(n).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    least, left = components.shrunk(path)
+    assert left.count() < 100 and least.count() == n
+
+
+def closest_brute(a, b, reach):
+    return any((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= reach * reach for p in a for q in b)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_touching_groups_equal_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(closest, "LEAF", 6)
+    rng = random.Random(seed)
+    side, groups = 8.0, {}
+    for k in range(12):
+        ox, oy = rng.randrange(3) * side, rng.randrange(3) * side
+        groups[k] = [(ox + rng.random() * 7.9, oy + rng.random() * 7.9) for _ in range(rng.randrange(1, 40))]
+    groups[12], groups[13] = [(0.5, y / 8) for y in range(60)], [(16.5 + 1e-9 * (seed == 1), y / 8) for y in range(60)]  # 16 apart, or just over
+    points = spark.createDataFrame([(k, x, y) for k, v in groups.items() for x, y in v], "group long, x double, y double")
+    pairs = [(a, b) for a in groups for b in groups if a < b]
+    found = closest.touching(spark.createDataFrame(pairs, "a long, b long"), points, 16.0, side)
+    assert {tuple(r) for r in found.collect()} == {(a, b) for a, b in pairs if closest_brute(groups[a], groups[b], 16.0)}
+
+
+def test_two_large_groups_that_face_each_other_are_not_compared_point_by_point(spark):
+    n, reach = 100_000, 50.0
+    across = lambda g, x: spark.range(n).select(F.lit(g).cast("long").alias("group"), (x - 24.9 * F.rand(g)).alias("x"), (24.9 * F.rand(g + 5)).alias("y"))
+    points = across(1, 24.9).union(across(2, 99.95)).cache()  # gap 50.15
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    settled, work = 0, 0
+    for linked, leaves, _ in closest.levels(pairs, points, reach, 25.0):
+        settled += linked.count()
+        work += leaves.agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0] or 0
+    assert settled == 0 and work < n
+    assert closest.touching(pairs, points, reach, 25.0).count() == 0 and closest.touching(pairs, points, 50.5, 25.0).count() == 1
+
+
+def test_a_cell_with_half_of_all_edges_is_split(spark):
+    rng = random.Random(8)
+    rows = [(k, [[(x := 500 + rng.random() * 8, y := 500 + rng.random() * 8), (x + rng.random(), y + rng.random())]]) for k in range(1500)]
+    rows += [(1500 + k, [[(x := rng.random() * 4000, y := rng.random() * 4000), (x + 30 * rng.random(), y + 30)]]) for k in range(1500)]
+    lines = line_table(spark, rows)
+    held = roads.edges(lines)
+    start = held.withColumn("cell", F.explode(roads.cells_of_edge(60.0))).groupBy("cell").count().agg(F.max("count")).first()[0]
+    leaf = roads.leaves(held, 60.0, dense=64)
+    sizes = [r["count"] for r in leaf.groupBy("level", "cx", "cy").count().collect()]
+    dealt = roads.dealt(leaf, 64).groupBy("level", "cx", "cy", "low", "high").count().agg(F.max("count")).first()[0]
+    assert start > 1000 and max(sizes) < 200 and dealt <= 150
+    assert {tuple(r) for r in roads.intersections(lines, side=60.0, dense=64).collect()} == {tuple(r) for r in roads.intersections(lines, side=2.0, dense=10**6).collect()}
+
+
+def test_very_many_roads_through_one_point_are_dealt_into_blocks(spark):
+    lines = line_table(spark, [(k, [[(-50.0 + k, -50.0 * (1 + k % 7)), (50.0 - k, 50.0 * (1 + k % 7))]]) for k in range(-40, 41)])
+    leaf = roads.leaves(roads.edges(lines), 40.0, dense=8)
+    assert leaf.where("n > 8").count() > 0
+    groups = roads.dealt(leaf, 8).groupBy("level", "cx", "cy", "low", "high").count()
+    assert groups.agg(F.max("count")).first()[0] <= 40
+    assert roads.intersections(lines, side=40.0, dense=8).count() == 81 * 80 // 2
+
+
+@pytest.mark.parametrize("heavy", [2, 10**6])
+def test_linked_pairs_of_hubs(spark, heavy):
+    rng = random.Random(heavy)
+    hub = [(0, k) for k in range(5, 400)] + [(1, k) for k in range(390, 70_000, 97)] + [(2, k) for k in range(401, 500)] + [(k, k + 1) for k in range(600, 700)] + [(3, 69_993), (-5, 4)]
+    adjacent = roads.adjacency(spark.createDataFrame(hub, "uid_a long, uid_b long"))
+    near = {}
+    for a, b in hub:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    every = [*range(12), -5, *(rng.randrange(70_000) for _ in range(60)), 601, 602, 603, 610]
+    pairs = {(a, b) for a in every for b in every if a != b}
+    want = {(a, b) for a, b in pairs if b in near.get(a, ()) or near.get(a, set()) & near.get(b, set())}
+    got = {tuple(r) for r in roads.linked_pairs(spark.createDataFrame(list(pairs), "uid_p long, uid_q long"), adjacent, heavy).collect()}
+    assert got == want and (0, 1) in want and (0, 2) not in want
+
+
+def test_far_points_cost_no_more_jobs(spark):
+    lines = line_table(spark, [(k, [[(10.0 * k, 0.0), (10.0 * k + 9, 3.0)]]) for k in range(20)])
+
+    def jobs(far):
+        points = spark.createDataFrame([(k, 10.0 * k, 1.0) for k in range(20)] + [(100, far, far), (101, -far, 2.0)], "point_idx long, x double, y double")
+        spark.sparkContext.setJobGroup(f"far{far}", "")
+        rows = {r["point_idx"]: r["road_uid"] for r in associate.nearest(points, lines, 16.0).collect()}
+        count = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"far{far}"))
+        spark.sparkContext.setJobGroup("other", "")
+        assert rows[100] == (19 if far > 1000 else 9) and rows[101] == 0 and len(rows) == 22
+        return count
+
+    assert jobs(2.0**28) <= jobs(100.0) + 2  # 26 levels against 4
+
+
+def octagon(p, q, tolerance):
+    """Whether the polygon around edge p, vertex by vertex, meets edge q."""
+    import math
+
+    (x1, y1), (x2, y2) = p
+    turn = math.atan2(y2 - y1, x2 - x1) if p[0] != p[1] else 0.0
+    ring = [(x2 + tolerance * math.cos(turn + math.radians(d)), y2 + tolerance * math.sin(turn + math.radians(d))) for d in (-90, -45, 0, 45, 90)]
+    ring += [(x1 + tolerance * math.cos(turn + math.radians(d)), y1 + tolerance * math.sin(turn + math.radians(d))) for d in (90, 135, 180, 225, 270)]
+    cross = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    sides = list(zip(ring, ring[1:] + ring[:1]))
+    if any(all(cross(a, b, v) >= -1e-9 for a, b in sides) for v in q):
+        return True
+    return any(cross(a, b, q[0]) * cross(a, b, q[1]) <= 0 and cross(*q, a) * cross(*q, b) <= 0 for a, b in sides if a != b)
+
+
+def test_buffer_mode_follows_the_polygon(spark):
+    rng = random.Random(12)
+    lines = [[(rng.random() * 60, rng.random() * 60) for _ in range(2)] for _ in range(40)] + [[(5.0, 5.0), (20.0, 5.0)], [(20.0 + 9.8 * 0.92, 5 + 9.8 * 0.39), (60.0, 60.0)]]
+    table = line_table(spark, [(k, [v]) for k, v in enumerate(lines)])
+    got = {tuple(r) for r in roads.intersections(table, 10.0, "buffer", side=15.0).collect()}
+    want = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if octagon(lines[a], lines[b], 10.0) or octagon(lines[b], lines[a], 10.0)}
+    assert got == want
+    true = {tuple(r) for r in roads.intersections(table, 10.0, "effective", side=15.0).collect()}
+    assert got < true and (40, 41) in true - got
+
+
 def labelled(spark, rows):
     return spark.createDataFrame([(float(x), float(y), c) for x, y, c in rows], "x double, y double, cluster long").repartition(3)
 
@@ -196,3 +348,34 @@ def test_hulls_far_from_the_origin(spark):
         twice = sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(ring, ring[1:] + ring[:1]))
         assert got[c] == twice / 2
         assert all((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= 0 for a, b in zip(ring, ring[1:] + ring[:1]) for x, y, k in rows if k == c)
+
+
+def turning(points):
+    """Corners by trying every direction: those that are farther out than all others somewhere."""
+    distinct = sorted(set(points))
+    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    sides = {(p, q) for p in distinct for q in distinct if p != q and all(cross(p, q, r) > 0 or cross(p, q, r) == 0 and min(p, q) <= r <= max(p, q) for r in distinct)}
+    return {p for side in sides for p in side}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_hull_corners_equal_brute_force(seed):
+    rng = random.Random(seed)
+    points = [(float(rng.randrange(12)), float(rng.randrange(12))) for _ in range(rng.randrange(3, 60))]
+    ring, want = summarize.convex_ring(points), turning(points)
+    if len(ring) > 2:
+        assert set(ring) == want and len(ring) == len(want) and ring[0] == min(points)
+
+
+def test_hulls_of_large_and_odd_clusters(spark):
+    rows = spark.range(200_000).select(F.lit(1).alias("cluster"), F.cos(F.col("id")).alias("a"), F.col("id").alias("k"))
+    disc = rows.select("cluster", (1e6 + 1000 * F.sqrt(F.rand(3)) * F.cos(F.col("k") / 7)).alias("x"), (2e6 + 1000 * F.sqrt(F.rand(3)) * F.sin(F.col("k") / 7)).alias("y"))
+    arc = spark.range(5000).select(F.lit(2).alias("cluster"), F.cos(F.col("id") * 3.14159 / 5000).alias("x"), F.sin(F.col("id") * 3.14159 / 5000).alias("y"))
+    bay = spark.range(5000).select(F.lit(3).alias("cluster"), F.cos(F.col("id") * 3.14159 / 5000).alias("x"), (-F.sin(F.col("id") * 3.14159 / 5000)).alias("y"))
+    line = spark.range(50).select(F.lit(4).alias("cluster"), (F.col("id") * 1.0).alias("x"), (F.col("id") * 2.0).alias("y"))
+    one = spark.range(50).select(F.lit(5).alias("cluster"), F.lit(3.0).alias("x"), F.lit(3.0).alias("y"))
+    every = disc.union(arc).union(bay).union(line).union(one).cache()
+    found = {r["cluster"]: r for r in summarize.hulls(every.repartition(6)).collect()}
+    assert set(found) == {1, 2, 3} and abs(found[1]["area"] / (3.14159265 * 1e6) - 1) < 0.002
+    assert len(found[2]["ring"]) == len(found[3]["ring"]) == 5001 and abs(found[2]["area"] - 1.5708) < 1e-3
+    assert summarize.outermost(every.select("cluster", "x", "y")).where("cluster = 1").count() < 30_000
