@@ -10,6 +10,7 @@ import math
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,6 +140,18 @@ def point_wkb(x: float, y: float) -> bytes:
     return struct.pack("<BIdd", 1, 1, x, y)
 
 
+def points_wkb(x: pa.Array, y: pa.Array) -> pa.Array:
+    """The points of two columns, in arrays; null where a coordinate is."""
+    held = np.empty(len(x), np.dtype([("order", "u1"), ("kind", "<u4"), ("x", "<f8"), ("y", "<f8")]))
+    held["order"], held["kind"] = 1, 1
+    for name, c in (("x", x), ("y", y)):
+        held[name] = c.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    ends = pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * held.itemsize)
+    every = pa.Array.from_buffers(pa.binary(), len(x), [None, ends, pa.py_buffer(held.tobytes())])
+    known = np.array(x.is_valid()) & np.array(y.is_valid())
+    return every if known.all() else every.take(pa.array(np.arange(len(x)), mask=~known))
+
+
 def _ring(vertices: list[tuple[float, float]]) -> bytes:
     return struct.pack(f"<I{2 * len(vertices)}d", len(vertices), *(c for v in vertices for c in v))
 
@@ -193,15 +206,16 @@ def with_wkb(df: DataFrame, column: str = "wkb") -> DataFrame:
     pairs = lambda vertices: [(v["x"], v["y"]) for v in vertices]
 
     def of(row: dict) -> bytes | None:
-        if row[kind] is None or kind == "x" and row["y"] is None:
+        if row[kind] is None:
             return None
-        if kind == "x":
-            return point_wkb(row["x"], row["y"])
         return line_wkb([pairs(p) for p in row["parts"]]) if kind == "parts" else polygon_wkb(pairs(row["ring"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch.select(["x", "y"] if kind == "x" else [kind]).to_pylist()
+            if kind == "x":
+                yield pa.record_batch([*batch.columns, points_wkb(batch.column("x"), batch.column("y"))], [*batch.schema.names, column])
+                continue
+            held = batch.select([kind]).to_pylist()
             yield pa.record_batch([*batch.columns, pa.array([of(r) for r in held], pa.binary())], [*batch.schema.names, column])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, T.BinaryType())]))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions import geometry as g
@@ -123,6 +123,12 @@ def ordered(table: DataFrame) -> DataFrame:
     return table.orderBy(F.desc("Size"), "Cluster_ID")
 
 
+def observed_counts() -> dict[str, Column]:
+    """The counts of :func:`run_counts` as metrics to observe; clusters are numbered without gaps, so the last number is their count."""
+    c = F.col("cluster")
+    return {"points": F.count(F.lit(1)), "clusters": F.max(F.when(c > 0, c)), "noise": F.count_if(c == -1), "clustered": F.count_if(c > 0), "unclassified": F.count_if(c == 0)}
+
+
 def run_counts(labelled: DataFrame) -> DataFrame:
     """One row: ``points, clusters, noise, clustered, unclassified``."""
     c = F.col("cluster")

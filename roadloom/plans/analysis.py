@@ -8,7 +8,7 @@ import os
 import sys
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions import geometry
@@ -79,6 +79,13 @@ def prepare(points: DataFrame, points_crs: Crs, lines: DataFrame, lines_crs: Crs
     return clean_points, kept
 
 
+def observed(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``df`` materialised, and counts that were taken while it was: no job of their own."""
+    held = Observation(name)
+    out = cut(df.observe(held, *(c.alias(k) for k, c in counts.items())))
+    return out, {k: v or 0 for k, v in held.get.items()}
+
+
 def write_summary(path: str, table: DataFrame) -> None:
     """The summary as one CSV file, largest clusters first; numbers as Python writes them, nulls empty."""
     with open(path, "w", newline="", encoding="utf-8") as f:
@@ -105,14 +112,16 @@ def analyze(
         lines.drop("kind", "record_no").write.format("geopackage").options(**srid).mode("overwrite").save(files["roads"])
     except Exception as e:  # a missing road layer doesn't change the analysis
         LOG.warning("roads could not be saved: %s", e)
-    adjacent = cut(roads.adjacency(roads.intersections(lines, tolerance, tolerance_mode)))
-    found = cut(associate.associate(points, lines))
-    LOG.info("associated %s", associate.association_counts(found).first())
+    pairs, crossings = observed(roads.intersections(lines, tolerance, tolerance_mode), "intersections", pairs=F.count(F.lit(1)))
+    LOG.info("intersecting pairs of roads: %d", crossings["pairs"])
+    adjacent = cut(roads.adjacency(pairs))
+    none = F.col("road_uid") == associate.NONE
+    found, told = observed(associate.associate(points, lines), "association", associated=F.count_if(~none), unassociated=F.count_if(none))
+    LOG.info("associated %s", told)
     attributes = [c for c in raw_points.columns if c not in ("record_no", "kind", "x", "y")]
     saved = found.where(geometry.valid_point(F.col("x"), F.col("y"))).select("x", "y", *attributes, "road_uid", "dist_to_road")
     saved.write.format("geopackage").options(**srid).mode("overwrite").save(files["points"])
-    labelled = cut(dbscan.cluster(found, adjacent, eps, min_pts))
-    counts = summarize.run_counts(labelled).first().asDict()
+    labelled, counts = observed(dbscan.cluster(found, adjacent, eps, min_pts), "labels", **summarize.observed_counts())
     LOG.info("labelled %s", counts)
     if counts["unclassified"]:
         LOG.warning("%d points are unclassified", counts["unclassified"])

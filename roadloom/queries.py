@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,12 @@ from pyspark.sql.window import Window
 
 from roadloom import demo
 from roadloom.functions import crs, geometry
+from roadloom.functions import sql as sql_functions
 from roadloom.operators import associate, clean, dbscan, roads, summarize
 from roadloom.plans import analysis
-from roadloom.render import layers
-from roadloom.session import cut, ensure_checkpoint_dir
-from roadloom.sources import geopackage, shapefile
+from roadloom.render import html, layers
+from roadloom.session import cut, ensure_checkpoint_dir, ship
+from roadloom.sources import columnar, geopackage, shapefile
 
 EPS, MIN_PTS, TOLERANCE, BUFFER = 60.0, 5, 25.0, 80.0
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,11 +278,18 @@ def wkb_roundtrip(spark, sf_dir):
 
 
 def _target(spark: SparkSession, name: str) -> str:
-    """A fresh file name in the shared folder."""
+    """A fresh name in the shared folder for a layer of one file, which only a mounted file system can hold."""
+    place = urlparse(_folder(spark))
+    if place.scheme not in ("", "file"):
+        raise RuntimeError(f"single-file layers need a mounted shared folder, not {place.scheme}://; columnar layers don't")
+    os.makedirs(place.path)
+    return f"{place.path}/{name}"
+
+
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder name in the shared folder, whatever file system that is on."""
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/layers-{uuid.uuid4().hex}"
-    os.makedirs(folder)
-    return f"{folder}/{name}"
+    return f"{spark.sparkContext.getCheckpointDir()}/layers-{uuid.uuid4().hex}"
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -399,32 +408,128 @@ def map_centre_degrees(spark, sf_dir):
 
 
 def crs_tests(spark, sf_dir):
-    held = [(name, crs.parse(name)) for name in ("EPSG:4326", "EPSG:32645", "EPSG:32701")]
+    """Systems of the zones that customers' numbers fall into, north and south."""
+    zones = demo.points(spark, sf_dir).select((F.col("point_idx") % 60 + 1).alias("zone")).distinct().collect()  # 60 at most
+    held = [(f"EPSG:{base + r['zone']}", crs.parse(f"EPSG:{base + r['zone']}")) for r in zones for base in (32600, 32700)] + [("EPSG:4326", crs.parse("EPSG:4326"))]
     return spark.createDataFrame([(n, c.projected, c.unit, c.axes[0], c.srid, c == crs.utm(45)) for n, c in held], "name string, projected boolean, unit string, axis string, srid long, same boolean")
 
 
 def utm_known_places(spark, sf_dir):
-    """Places whose coordinates follow from the definition: the central meridian, and the meridian's published arc at 45 degrees."""
-    rows = spark.createDataFrame([(1, 87.0, 0.0), (2, 87.0, 45.0), (3, 87.0, -45.0)], "place long, lon double, lat double")
-    x, y = crs.project(F.col("lon"), F.col("lat"), crs.utm(45))
-    return rows.select("place", F.round(x, 2).alias("easting"), F.round(y, 2).alias("northing"))
+    """Points on the central meridian, on the equator and 45 degrees off it, where the meridian's arc is published."""
+    x, y = crs.project(F.lit(87.0), (F.col("point_idx") % 3 - 1) * 45.0, crs.utm(45))
+    return demo.points(spark, sf_dir).select("point_idx", F.round(x, 2).alias("easting"), F.round(y, 2).alias("northing"))
 
 
 def argument_checks(spark, sf_dir):
-    """Which arguments are refused, and how."""
-    cases = {"fine": ("p", "l", 150.0, 5, 0), "file": (1, "l", 150.0, 5, 0), "eps": ("p", "l", 0, 5, 0), "min_pts": ("p", "l", 1.0, 1, 0), "tolerance": ("p", "l", 1.0, 5, -1)}
+    """Which arguments made from customers' rows are refused."""
+    cases = demo.points(spark, sf_dir).select((F.col("x") % 3 - 1).alias("eps"), (F.col("point_idx") % 5).cast("int").alias("min_pts"), (F.col("y") % 3 - 1).alias("tolerance")).distinct().collect()  # 45 at most
     out = []
-    for name, values in cases.items():
+    for r in cases:
         try:
-            analysis.check_arguments(*values)
-            out.append((name, "taken"))
+            analysis.check_arguments("p", "l", r["eps"], r["min_pts"], r["tolerance"])
+            out.append((*r, "taken"))
         except (TypeError, ValueError):
-            out.append((name, "refused"))
-    return spark.createDataFrame(out, "argument string, outcome string")
+            out.append((*r, "refused"))
+    return spark.createDataFrame(out, "eps double, min_pts int, tolerance double, outcome string").withColumn("min_pts", F.col("min_pts").cast("long"))
 
 
 def output_files(spark, sf_dir):
-    return spark.createDataFrame(sorted(analysis.output_names("out", 150.0, 5, 0).items()), "kind string, path string")
+    """Names of result files for parameters made from suppliers' rows."""
+    held = demo.roads(spark, sf_dir).select((F.col("road_uid") % 7 + 2).cast("int").alias("min_pts")).distinct().collect()  # seven at most
+    return spark.createDataFrame([(r["min_pts"], k, v) for r in held for k, v in analysis.output_names("out", r["min_pts"] * 30.0, r["min_pts"], 0).items()], "min_pts long, kind string, path string")
+
+
+def point_distance_checked(spark, sf_dir):
+    """The scalar function that checks its arguments, row by row."""
+    far = F.udf(lambda x, y: geometry.distance((x, y), [1000.0, 1000.0]), "double")
+    ship(spark)
+    return demo.points(spark, sf_dir).select("point_idx", F.round(far("x", "y"), 6).alias("distance"))
+
+
+def sql_scalars(spark, sf_dir):
+    """The functions for SQL text: distances, an edge that a road's line crosses, and the projection."""
+    sql_functions.register(spark)
+    _lonlat(spark, sf_dir).join(demo.points(spark, sf_dir), "point_idx").createOrReplaceTempView("roadloom_places")
+    return spark.sql("""SELECT point_idx, round(road_distance(x, y, 1000D, 1000D), 6) AS distance, round(road_point_edge(x, y, 500D, 500D, 900D, 500D), 6) AS to_edge,
+        road_edges_meet(x, y, x + 300, y, 1000D, 800D, 1000D, 1200D) AS meets, round(utm_easting(lon, lat, 45), 4) AS east, round(utm_northing(lon, lat, 45), 4) AS north FROM roadloom_places""")
+
+
+def nearest_road_sql(spark, sf_dir):
+    """Nearest roads by one SQL statement."""
+    rows = sql_functions.nearest(demo.points(spark, sf_dir), roads.edges(demo.roads(spark, sf_dir)), 50.0, 2.0 * demo.SIDE)
+    return rows.select("point_idx", *_whole("road_uid"), *_six("dist_to_road"))
+
+
+def columnar_points(spark, sf_dir):
+    """Points written as a columnar layer and read again, geometry from its well-known binary."""
+    path = _folder(spark)
+    columnar.write(demo.points(spark, sf_dir), path, crs.utm(45), 400)
+    held, system = columnar.read(spark, path)
+    vertex = F.col("parts")[0][0]
+    return geometry.from_wkb(held.select("point_idx", "wkb")).select("point_idx", vertex["x"].alias("x"), vertex["y"].alias("y"), F.lit(system.srid).cast("long").alias("srid"))
+
+
+def columnar_roads_in_a_box(spark, sf_dir):
+    """Roads whose boxes meet a window: only files that may hold some are opened."""
+    path = _folder(spark)
+    columnar.write(demo.roads(spark, sf_dir), path, crs.utm(45), 10)
+    return columnar.read(spark, path, (500.0, 500.0, 900.0, 800.0))[0].select("road_uid", *(F.col(c).alias(c[4:]) for c in columnar.BOX))
+
+
+def reprojected_points(spark, sf_dir):
+    """The reprojection job: a layer in degrees is written in metres."""
+    shapefile.register(spark)
+    source, target = _target(spark, "degrees.shp"), _target(spark, "metres.shp")
+    _lonlat(spark, sf_dir).select("point_idx", F.col("lon").alias("x"), F.col("lat").alias("y")).orderBy("point_idx").write.format("shapefile").option("crs", "EPSG:4326").mode("overwrite").save(source)
+    if not analysis.reproject(spark, source, target):
+        raise RuntimeError("nothing was written")
+    held, _ = analysis.read_layer(spark, target)
+    return held.select(*_whole("point_idx"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+def observed_counts(spark, sf_dir):
+    """The counts that a run observes while it materialises its tables."""
+    points, adjacent = _associated(spark, sf_dir)
+    pairs = analysis.observed(roads.intersections(demo.roads(spark, sf_dir)), "pairs", pairs=F.count(F.lit(1)))[1]
+    counts = analysis.observed(dbscan.cluster(points, adjacent, EPS, MIN_PTS), "counts", **summarize.observed_counts())[1]
+    return spark.createDataFrame([(k, v) for k, v in (pairs | counts).items()], "what string, rows long")
+
+
+def map_cells(spark, sf_dir):
+    """Cells of one zoom level of the map."""
+    rows = layers.pyramid(_degrees(labelled(spark, sf_dir))).where("zoom = 10")
+    return rows.select(*_whole("cx", "cy"), "kind", "points", *_six("lat", "lon"), "first", "last")
+
+
+def map_levels(spark, sf_dir):
+    """Points and cells of each level: all of them hold all points."""
+    rows = layers.pyramid(_degrees(labelled(spark, sf_dir)))
+    return rows.groupBy(*_whole("zoom")).agg(F.sum("points").alias("points"), F.countDistinct("cx", "cy").alias("cells"))
+
+
+def heat_points(spark, sf_dir):
+    """The heat layer: every point, noise too."""
+    return layers.heat_layer(_degrees(labelled(spark, sf_dir))).groupBy(*_six("lat", "lon")).agg(F.count(F.lit(1)).alias("points"))
+
+
+def map_guards(spark, sf_dir):
+    """What is drawn of points without labels, of none, of null labels, and of all."""
+    rows = demo.points(spark, sf_dir).withColumn("cluster", F.when(F.col("point_idx") % 4 == 0, None).when(F.col("point_idx") % 4 == 1, -1).otherwise(1).cast("long"))
+    cases = {"no labels": rows.drop("cluster"), "no points": rows.where("false"), "not a number": rows.withColumn("x", F.lit(float("nan"))), "all": rows}
+    out = []
+    for name, held in cases.items():
+        data = html.map_data(held, crs.utm(45))
+        out.append((name, data is not None, sum(len(g[2]) for g in data["groups"]) if data else 0, len(data["heat"]) if data else 0))
+    return spark.createDataFrame(out, "guard string, drawn boolean, points long, heat long")
+
+
+def palette_rainbow(spark, sf_dir):
+    return layers.palette(labelled(spark, sf_dir), "turbo").select("cluster", "position", "color")
+
+
+def palette_fallback(spark, sf_dir):
+    """Without the palette all clusters are of one colour."""
+    return layers.palette(labelled(spark, sf_dir), "not there").select("cluster", "color")
 
 
 def clustering_guards(spark, sf_dir):
@@ -447,7 +552,8 @@ QUERIES: dict[str, Query] = {
         hull_sizes_join, legend_labels, plot_groups, utm_forward, utm_roundtrip, point_distance, sentinel_coerce, wkb_roundtrip,
         shapefile_points, shapefile_lines, geopackage_roads, geopackage_points, summary_csv, summary_ordered, legend_ordered, failed_join, merged_uid,
         unassociated_counts, road_tooltips, palette_listed, centroid_popups, hull_tooltips, hull_tooltips_text, map_centre_degrees, crs_tests,
-        utm_known_places, argument_checks, output_files, clustering_guards,
+        utm_known_places, argument_checks, output_files, clustering_guards, point_distance_checked, sql_scalars, nearest_road_sql, columnar_points,
+        columnar_roads_in_a_box, reprojected_points, observed_counts, map_cells, map_levels, heat_points, map_guards, palette_rainbow, palette_fallback,
     )
 }
 
@@ -529,6 +635,13 @@ def _utm_sql() -> str:
     SELECT point_idx, round(500000.0 + {radius!r} * ({east}), 4) AS x, round({radius!r} * ({north}), 4) AS y FROM k"""
 
 
+def _polynomial(coefficients: list[float]) -> str:
+    text = "0.0::DOUBLE"
+    for k in reversed(coefficients):
+        text = f"({text} * s + {k!r}::DOUBLE)"
+    return text
+
+
 _PAIRS = f"WITH {_ROADS}, {_pairs_sql()}"
 _GRAPH = f"{_PAIRS}, {_ADJ}"
 SQL: dict[str, str] = {
@@ -599,11 +712,34 @@ SQL: dict[str, str] = {
     "hull_tooltips": f"{_labels_sql(50)}, {_HULL} SELECT a.cluster, s.size, 'Cluster ID: ' || a.cluster || '<br># Points: ' || s.size AS tooltip FROM areas a JOIN sized s ON a.cluster = s.cluster",
     "hull_tooltips_text": f"{_labels_sql(50)}, {_HULL} SELECT cluster, 'Cluster ID: ' || cluster || '<br>Size Info: about ' || cluster AS tooltip FROM areas",
     "map_centre_degrees": f"WITH {_points_sql()} SELECT round(avg(x * 0), 9) AS lat, round(avg(x * 0 + 87), 9) AS lon FROM pts",
-    "crs_tests": "SELECT * FROM (VALUES ('EPSG:4326', false, 'degree', 'Lon', CAST(4326 AS BIGINT), false), ('EPSG:32645', true, 'metre', 'E', 32645, true), ('EPSG:32701', true, 'metre', 'E', 32701, false)) t(name, projected, unit, axis, srid, same)",
+    "crs_tests": f"""WITH {_points_sql()}, zones AS (SELECT DISTINCT point_idx % 60 + 1 AS zone FROM pts)
+        SELECT 'EPSG:' || (base + zone) AS name, true AS projected, 'metre' AS unit, 'E' AS axis, base + zone AS srid, base + zone = 32645 AS same FROM zones, (VALUES (32600), (32700)) b(base)
+        UNION ALL SELECT 'EPSG:4326', false, 'degree', 'Lon', 4326, false""",
     # The meridian's arc of the public ellipsoid from the equator to 45 degrees is 4984944.378 m; the scale is 0.9996.
-    "utm_known_places": "SELECT CAST(place AS BIGINT) AS place, CAST(500000 AS DOUBLE) AS easting, round(CAST(side * 0.9996 * 4984944.378 AS DOUBLE), 2) AS northing FROM (VALUES (1, 0), (2, 1), (3, -1)) t(place, side)",
-    "argument_checks": "SELECT * FROM (VALUES ('fine', 'taken'), ('file', 'refused'), ('eps', 'refused'), ('min_pts', 'refused'), ('tolerance', 'refused')) t(argument, outcome)",
-    "output_files": "SELECT kind, 'out/' || base || '_seg_intol0_eps150.0_mp5.' || tail AS path FROM (VALUES ('summary', 'cluster_summary', 'csv'), ('map', 'cluster_map', 'html'), ('plot', 'static_cluster_map', 'png'), ('roads', 'roads_projected', 'gpkg'), ('points', 'points_associated', 'gpkg')) t(kind, base, tail)",
+    "utm_known_places": f"WITH {_points_sql()} SELECT point_idx, CAST(500000 AS DOUBLE) AS easting, round(CAST((point_idx % 3 - 1) * 0.9996 * 4984944.378 AS DOUBLE), 2) AS northing FROM pts",
+    "argument_checks": f"""WITH {_points_sql()}, c AS (SELECT DISTINCT x % 3 - 1 AS eps, point_idx % 5 AS min_pts, y % 3 - 1 AS tolerance FROM pts)
+        SELECT eps, min_pts, tolerance, CASE WHEN eps > 0 AND min_pts >= 2 AND tolerance >= 0 THEN 'taken' ELSE 'refused' END AS outcome FROM c""",
+    "output_files": """WITH p AS (SELECT DISTINCT CAST(s_suppkey AS BIGINT) % 7 + 2 AS min_pts FROM supplier)
+        SELECT min_pts, kind, 'out/' || base || '_seg_intol0_eps' || (min_pts * 30) || '.0_mp' || min_pts || '.' || tail AS path FROM p, (VALUES ('summary', 'cluster_summary', 'csv'), ('map', 'cluster_map', 'html'), ('plot', 'static_cluster_map', 'png'), ('roads', 'roads_projected', 'gpkg'), ('points', 'points_associated', 'gpkg')) t(kind, base, tail)""",
+    "point_distance_checked": f"WITH {_points_sql()} SELECT point_idx, round(sqrt((x - 1000) * (x - 1000) + (y - 1000) * (y - 1000)), 6) AS distance FROM pts",
+    "sql_scalars": f"""WITH u AS ({_utm_sql()}), {_points_sql()} SELECT point_idx, round(sqrt((pts.x - 1000) * (pts.x - 1000) + (pts.y - 1000) * (pts.y - 1000)), 6) AS distance,
+        round(sqrt(power(greatest(500 - pts.x, 0, pts.x - 900), 2) + power(pts.y - 500, 2)), 6) AS to_edge, pts.x <= 1000 AND pts.x + 300 >= 1000 AND pts.y BETWEEN 800 AND 1200 AS meets, u.x AS east, u.y AS north FROM pts JOIN u USING (point_idx)""",
+    "nearest_road_sql": f"WITH {_points_sql()}, {_ROADS}, {_near_sql()} SELECT point_idx, road_uid, round(sqrt(d2), 6) AS dist_to_road FROM near",
+    "columnar_points": f"WITH {_points_sql()} SELECT point_idx, x, y, CAST(32645 AS BIGINT) AS srid FROM pts",
+    "columnar_roads_in_a_box": f"WITH {_ROADS} SELECT road_uid, x1, y1, x2, y2 FROM rds WHERE x1 <= 900 AND x2 >= 500 AND y1 <= 800 AND y2 >= 500",
+    "reprojected_points": _utm_sql(),
+    "observed_counts": f"""{_labels_sql()} SELECT 'pairs' AS what, count(*) AS rows FROM pairs UNION ALL SELECT 'points', count(*) FROM lab UNION ALL SELECT 'clusters', count(DISTINCT cluster) FILTER (cluster > 0) FROM lab
+        UNION ALL SELECT 'noise', count(*) FILTER (cluster = -1) FROM lab UNION ALL SELECT 'clustered', count(*) FILTER (cluster > 0) FROM lab UNION ALL SELECT 'unclassified', 0""",
+    "map_cells": f"""{_labels_sql()}, m AS (SELECT floor((x / 100 + 180) / 360 * 8192) AS cx, floor((0.5 - asinh(tan(radians(y / 100))) / (2 * pi())) * 8192) AS cy, x / 100 AS lon, y / 100 AS lat, cluster FROM lab)
+        SELECT CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, CASE WHEN cluster = -1 THEN 'noise' ELSE 'cluster' END AS kind, count(*) AS points, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, min(cluster) AS first, max(cluster) AS last FROM m GROUP BY 1, 2, 3""",
+    "map_levels": f"""WITH {_points_sql()}, m AS (SELECT (x / 100 + 180) / 360 AS u, 0.5 - asinh(tan(radians(y / 100))) / (2 * pi()) AS v FROM pts), z AS (SELECT CAST(range AS BIGINT) AS zoom, power(2, range) * 8 AS side FROM range(2, 17))
+        SELECT zoom, count(*) AS points, count(DISTINCT floor(u * side) * 1048576 + floor(v * side)) AS cells FROM m, z GROUP BY zoom""",
+    "heat_points": f"WITH {_points_sql()} SELECT round(y / 100, 6) AS lat, round(x / 100, 6) AS lon, count(*) AS points FROM pts GROUP BY 1, 2",
+    "map_guards": f"""WITH {_points_sql()} SELECT 'all' AS guard, true AS drawn, count(*) FILTER (point_idx % 4 <> 0) AS points, count(*) AS heat FROM pts
+        UNION ALL SELECT unnest(['no labels', 'no points', 'not a number']), false, 0, 0""",
+    "palette_rainbow": f"""{_labels_sql()}, c AS (SELECT DISTINCT cluster FROM lab WHERE cluster <> -1), n AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS position FROM c),
+        t AS (SELECT cluster, position, CAST(position AS DOUBLE) / greatest(1, (SELECT count(*) FROM n) - 1) AS s FROM n) SELECT cluster, position, '#' || {" || ".join(f"lower(printf('%02x', CAST(floor(least(1.0, greatest(0.0, {_polynomial(c)})) * 255 + 0.5) AS INTEGER)))" for c in layers.TURBO.values())} AS color FROM t""",
+    "palette_fallback": f"{_labels_sql()} SELECT DISTINCT cluster, 'blue' AS color FROM lab WHERE cluster <> -1",
     "clustering_guards": f"""WITH {_points_sql()}, near AS (SELECT p.point_idx, count(*) - 1 AS n FROM pts p JOIN pts q ON (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 1 GROUP BY 1),
         core AS (SELECT p.* FROM pts p JOIN near ON p.point_idx = near.point_idx WHERE n >= {MIN_PTS - 1}),
         reached AS (SELECT DISTINCT p.point_idx FROM pts p JOIN core c ON (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 1)

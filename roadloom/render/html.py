@@ -1,4 +1,8 @@
-"""An interactive map as one HTML page. Rows reach the driver in chunks, at most ``LIMIT`` a layer."""
+"""An interactive map as one HTML page. Rows reach the driver in chunks, at most ``LIMIT`` a layer.
+
+More points than that are drawn as cells of the pyramid (:func:`roadloom.render.layers.pyramid`): as many of its levels, from the coarsest on, as
+the page may hold, each of which covers every point. The page shows the level that fits the zoom; the heat layer takes the finest.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,7 @@ from roadloom.render import layers
 from roadloom.session import cut
 
 LOG = logging.getLogger(__name__)
-#: A page is made for one reader: a layer with more rows is left out with a warning.
+#: A page is made for one reader: of more points it gets cells; another layer with more rows is left out with a warning.
 LIMIT = 200_000
 
 # Tile layers (name, address, attribution, shown).
@@ -37,6 +41,9 @@ for (const [name, url, attribution, shown] of data.tiles) { bases[name] = L.tile
 const group = (name, shown) => { const g = L.layerGroup(); overlays[name] = g; if (shown) g.addTo(map); return g; };
 if (data.roads) { const g = group("Road Network", true); for (const [shape, tip] of data.roads) { const l = L.geoJSON(shape, {style: {color: "gray", weight: 1.5, opacity: 0.7}}); if (tip) l.bindTooltip(tip); l.addTo(g); } }
 for (const [name, shown, points] of data.groups) { const g = group(name, shown); for (const [lat, lon, radius, color, popup] of points) L.circleMarker([lat, lon], {radius, color, fill: true, fillColor: color, fillOpacity: 0.7}).bindPopup(popup, {maxWidth: 350}).addTo(g); }
+if (data.cells) { const kinds = {cluster: group("Clustered Points", true), noise: group("Noise Points", false)}; const levels = Object.keys(data.cells).map(Number);
+  const draw = () => { const fit = levels.filter(z => z <= map.getZoom()); const at = fit.length ? Math.max(...fit) : Math.min(...levels); for (const g of Object.values(kinds)) g.clearLayers(); for (const [lat, lon, kind, color, popup, points] of data.cells[at]) L.circleMarker([lat, lon], {radius: Math.min(16, 3 + Math.log2(points)), color, fill: true, fillColor: color, fillOpacity: 0.7}).bindPopup(popup).addTo(kinds[kind]); };
+  map.on("zoomend", draw); draw(); }
 if (data.centroids) { const g = group("Cluster Centroids", false); for (const [lat, lon, popup] of data.centroids) L.marker([lat, lon]).bindPopup(popup).addTo(g); }
 if (data.hulls) { const g = group("Cluster Convex Hulls", false); for (const [ring, color, tip] of data.hulls) L.polygon(ring, {color: "black", weight: 1, fillColor: color, fillOpacity: 0.4}).bindTooltip(tip).addTo(g); }
 if (data.heat) overlays["Heatmap"] = L.heatLayer(data.heat);
@@ -58,6 +65,27 @@ def _rows(df: DataFrame, what: str) -> list | None:
         return None
 
 
+def _cells(located: DataFrame) -> tuple[dict[int, list], list] | None:
+    """The rows of each level of the pyramid that the page may hold, and the weighted places of its heat layer; None if that fails."""
+    try:
+        held = cut(layers.pyramid(located))
+        size = {r["zoom"]: r["count"] for r in held.groupBy("zoom").count().collect()}
+        levels, total = [], 0
+        for z in sorted(size):  # at the least the coarsest
+            total += size[z]
+            if levels and total > LIMIT:
+                break
+            levels.append(z)
+        rows: dict[int, list] = {z: [] for z in levels}
+        for r in layers.cell_layer(held.where(F.col("zoom").isin(levels)), located).toLocalIterator():
+            rows[r["zoom"]].append(r)
+        heat = held.where(F.col("zoom") == levels[-1]).select("lat", "lon", "points")
+        return rows, [[r["lat"], r["lon"], r["points"]] for r in heat.toLocalIterator()]
+    except Exception as e:  # one layer must not spoil the page
+        LOG.warning("points could not be drawn: %s", e)
+        return None
+
+
 def map_data(points: DataFrame, crs: Crs, roads: DataFrame | None = None, centroids: DataFrame | None = None, hulls: DataFrame | None = None, heat: bool = True) -> dict | None:
     """What the page shows; None without points, labels or valid coordinates."""
     if "cluster" not in points.columns or points.isEmpty():
@@ -68,11 +96,15 @@ def map_data(points: DataFrame, crs: Crs, roads: DataFrame | None = None, centro
     if center["lat"] is None:
         LOG.warning("no valid coordinates, no map")
         return None
-    shown = _rows(layers.point_layer(located).select("cluster", "group_name", "shown", "lat", "lon", "radius", "color", "popup").orderBy("cluster"), "points") or []
+    many = located.limit(LIMIT + 1).count() > LIMIT
+    cells = _cells(located) if many else None
+    shown = [] if many else _rows(layers.point_layer(located).select("cluster", "group_name", "shown", "lat", "lon", "radius", "color", "popup").orderBy("cluster"), "points") or []
     groups: dict[str, list] = {}
     for r in shown:
         groups.setdefault(r["group_name"], [r["group_name"], r["shown"], []])[2].append([r["lat"], r["lon"], r["radius"], r["color"], r["popup"]])
     data = {"center": [center["lat"], center["lon"]], "tiles": TILES, "groups": list(groups.values())}
+    if cells is not None:
+        data["cells"] = {z: [[r["lat"], r["lon"], r["kind"], r["color"], r["popup"], r["points"]] for r in rows] for z, rows in cells[0].items()}
     if roads is not None and (rows := _rows(layers.road_layer(roads, crs), "roads")) is not None:
         data["roads"] = [[json.loads(r["geojson"]), "<br>".join(html.escape(t) for t in r["tooltip"].split("<br>"))] for r in rows]
     if centroids is not None and (rows := _rows(layers.geographic(layers.centroid_layer(centroids, points), crs), "centroids")) is not None:
@@ -82,7 +114,9 @@ def map_data(points: DataFrame, crs: Crs, roads: DataFrame | None = None, centro
         hull_rows = layers.hull_layer(hulls, points).select(ring.alias("ring"), "color", "tooltip")
         if (rows := _rows(hull_rows, "hulls")) is not None:
             data["hulls"] = [[r["ring"], r["color"], r["tooltip"]] for r in rows]
-    if heat and (rows := _rows(located.select("lat", "lon"), "heat map")) is not None:
+    if heat and cells is not None:
+        data["heat"] = cells[1]
+    elif heat and (rows := _rows(layers.heat_layer(located), "heat map")) is not None:
         data["heat"] = [[r["lat"], r["lon"]] for r in rows]
     return data
 

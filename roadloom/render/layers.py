@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 from roadloom.functions.crs import WGS84, Crs, transform_vertices, with_transformed
 from roadloom.operators.keys import dense_index
 from roadloom.operators.summarize import sizes
+from roadloom.session import cut
 
 # Coefficients of the polynomial for the rainbow palette, from the constant term upwards.
 TURBO = {
@@ -19,7 +22,11 @@ TURBO = {
 # Ten categorical colours, and the lighter ones between them.
 TAB10 = ["#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f", "#bcbd22", "#17becf"]
 TAB20_LIGHT = ["#aec7e8", "#ffbb78", "#98df8a", "#ff9896", "#c5b0d5", "#c49c94", "#f7b6d2", "#c7c7c7", "#dbdb8d", "#9edae5"]
-NOISE_COLOUR, FALLBACK_COLOUR = "grey", "black"
+NOISE_COLOUR, FALLBACK_COLOUR, NO_PALETTE_COLOUR = "grey", "black", "blue"
+PALETTES = ("turbo", "tab10", "tab20")
+#: A cell of the pyramid is so many pixels wide at its zoom level; its finest and coarsest level.
+CELL_PIXELS, TILE_PIXELS, LOWEST, HIGHEST = 32, 256, 2, 16
+MERCATOR_END = 85.0511287798066
 
 
 def geographic(points: DataFrame, crs: Crs) -> DataFrame:
@@ -59,8 +66,10 @@ def palette_index(labelled: DataFrame) -> DataFrame:
 
 
 def palette(labelled: DataFrame, name: str = "turbo") -> DataFrame:
-    """``cluster, position, share, color``."""
+    """``cluster, position, share, color``; all blue if there is no palette of that name."""
     index = palette_index(labelled)
+    if name not in PALETTES:
+        return index.withColumn("color", F.lit(NO_PALETTE_COLOUR))
     mixed = [c for pair in zip(TAB10, TAB20_LIGHT) for c in pair]
     color = turbo_hex(F.col("share")) if name == "turbo" else listed_hex(F.col("position"), TAB10 if name == "tab10" else mixed)
     return index.withColumn("color", color)
@@ -92,6 +101,41 @@ def point_layer(points: DataFrame) -> DataFrame:
     return rows.withColumns({"group_name": name, "shown": c != -1, "radius": F.when(c == -1, 2).otherwise(4), "color": color, "popup": F.concat(*text)})
 
 
+def heat_layer(points: DataFrame) -> DataFrame:
+    """``lat, lon`` of all points, noise and unlabelled ones too."""
+    return points.select("lat", "lon")
+
+
+def pyramid(points: DataFrame, low: int = LOWEST, high: int = HIGHEST) -> DataFrame:
+    """Points (``lat, lon, cluster``) gathered into square cells of the map, once for each zoom level.
+
+    ``zoom, cx, cy, kind`` (cluster, noise or none), ``points``, the mean ``lat, lon`` of a cell's points and its least and greatest
+    ``cluster``. Every level holds all points with coordinates. The finest level is an aggregation of the points, and the others one of its cells.
+    """
+    c = F.col("cluster")
+    kind = F.when(c.isNull(), "none").when(c == -1, "noise").otherwise("cluster")
+    side = float(TILE_PIXELS // CELL_PIXELS << high)
+    lat = F.radians(F.least(F.greatest(F.col("lat"), F.lit(-MERCATOR_END)), F.lit(MERCATOR_END)))
+    within = lambda v: F.least(F.greatest(F.floor(v * side), F.lit(0)), F.lit(int(side) - 1)).cast("long")
+    held = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
+        within((F.col("lon") + 180) / 360).alias("cx"), within(0.5 - F.asinh(F.tan(lat)) / (2 * math.pi)).alias("cy"), kind.alias("kind"), "lat", "lon", c.cast("long").alias("cluster")
+    )
+    finest = held.groupBy("cx", "cy", "kind").agg(F.count(F.lit(1)).alias("points"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.min("cluster").alias("first"), F.max("cluster").alias("last"))
+    every = cut(finest).withColumn("zoom", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    up = lambda v: F.floor(F.col(v) / F.pow(F.lit(2.0), F.lit(high) - F.col("zoom"))).cast("long")
+    sums = every.groupBy("zoom", up("cx").alias("cx"), up("cy").alias("cy"), "kind").agg(F.sum("points").alias("points"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return sums.withColumns({"lat": F.col("lat") / F.col("points"), "lon": F.col("lon") / F.col("points")})
+
+
+def cell_layer(cells: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Cells of :func:`pyramid` that hold labelled points, with colour (a cluster's own, where a cell holds one only) and popup."""
+    colours = palette(labelled).select(F.col("cluster").alias("first"), "color")
+    rows = cells.where("kind <> 'none'").join(colours, "first", "left")
+    color = F.when(F.col("kind") == "noise", NOISE_COLOUR).when(F.col("first") == F.col("last"), F.coalesce("color", F.lit(FALLBACK_COLOUR))).otherwise(FALLBACK_COLOUR)
+    name = F.when(F.col("kind") == "noise", "Noise Points").when(F.col("first") == F.col("last"), group_name(F.col("first"))).otherwise(F.format_string("Clusters %d to %d", "first", "last"))
+    return rows.withColumns({"color": color, "popup": F.format_string("<b>%s</b><br>Points: %d", name, F.col("points"))})
+
+
 def centroid_layer(centroids: DataFrame, labelled: DataFrame) -> DataFrame:
     """Centroids (``cluster`` and coordinates) with size and popup."""
     rows = centroids if "size" in centroids.columns else with_size(centroids, labelled)
