@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from roadloom import demo
 from roadloom.functions import crs
-from roadloom.functions.geometry import PARTS
-from roadloom.operators import associate, roads
+from roadloom.functions.geometry import PARTS, from_wkb
+from roadloom.functions import sql as sql_functions
+from roadloom.operators import associate, dbscan, roads
 from roadloom.plans import analysis
-from roadloom.render import html, layers, static
-from roadloom.sources import geopackage, shapefile
+from roadloom.render import html, layers, letters, static
+from roadloom.sources import columnar, geopackage, shapefile
 from roadloom.streaming.associate import associate_stream
+from roadloom.streaming.clusters import ClusterState, cluster_stream
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -154,6 +156,124 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r["point_idx"], r["road_uid"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
 
 
+def test_stateful_clusters_equal_the_batch_result_after_every_batch(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    adjacent = roads.adjacency(spark.createDataFrame([(1, 2), (2, 3), (4, 5)], "uid_a long, uid_b long"))
+    spot = lambda: (rng.randrange(60) / 2, rng.randrange(24) / 2, rng.choice([1, 1, 2, 3, 4, 5, None]))
+    order = rng.sample(range(400), 400)
+    rows = [(k, *spot()) for k in order] + [(500, float("nan"), 1.0, 1), (501, None, 1.0, 1)]
+    batches = [rows[:180], rows[180:300] + rows[20:60] + [(rows[3][0], 0.0, 0.0, 1)], [], rows[300:] + rows[:5]]
+    schema = "point_idx long, x double, y double, road_uid long"
+    state = ClusterState(spark, str(tmp_path / "state"), adjacent, 1.5, 4)
+    seen = {}
+    for number, batch in enumerate(batches):
+        changed = state.update(spark.createDataFrame(batch, schema).repartition(3), number)
+        for r in batch:
+            seen.setdefault(r[0], r)
+        assert changed.count() <= len(seen)
+        if number == 1:
+            state.update(spark.createDataFrame(batch, schema).repartition(2), number)  # run again
+        want = dbscan.cluster(spark.createDataFrame(list(seen.values()), schema), adjacent, 1.5, 4)
+        pick = lambda df: {(r["point_idx"], r["core"], r["cluster"]) for r in df.collect()}
+        assert pick(state.labels()) == pick(want)
+    assert max(r["cluster"] for r in want.collect()) > 3
+
+
+def test_stateful_clusters_of_a_stream_touch_few_points(spark, tmp_path):
+    schema = "point_idx long, x double, y double, road_uid long"
+    for k, x in enumerate((0.0, 0.0, 900.0)):
+        rows = [(1000 * k + j, x + j % 7, float(j % 5), 1) for j in range(60)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    state = ClusterState(spark, str(tmp_path / "state"), roads.adjacency(spark.createDataFrame([], "uid_a long, uid_b long")), 2.0, 5)
+    touched = {}
+    cluster_stream(stream, state, str(tmp_path / "checkpoint"), lambda rows, n: touched.update({n: rows.count()})).awaitTermination()
+    assert sorted(touched.values()) == [60, 60, 120] and {r["cluster"] for r in state.labels().collect()} == {1, 2}
+
+
+def test_columnar_layers_are_pruned_and_whole(spark, tmp_path):
+    path = str(tmp_path / "layer")
+    points = spark.range(10_000).select(F.col("id"), (F.col("id") % 100).cast("double").alias("x"), F.floor(F.col("id") / 100).cast("double").alias("y"), F.lit("a").alias("name"))
+    odd = spark.createDataFrame([(20_000, None, 1.0, "b"), (20_001, float("nan"), 1.0, None)], "id long, x double, y double, name string")
+    columnar.write(points.union(odd).repartition(7), path, crs.utm(45), 500)
+    held, system = columnar.read(spark, path)
+    assert system == crs.utm(45) and held.count() == 10_002 and len(held.inputFiles()) >= 15
+    some, _ = columnar.read(spark, path, (10.0, 10.0, 14.0, 12.0))
+    assert some.count() == 15 and len(some.inputFiles()) <= 4
+    assert "PushedFilters: [IsNotNull(box_x1)" in some._jdf.queryExecution().toString()
+    assert {(r["id"], r["parts"][0][0]["x"]) for r in from_wkb(some.select("id", "wkb")).collect()} == {(100 * y + x, float(x)) for x in range(10, 15) for y in range(10, 13)}
+    assert columnar.read(spark, path, (500.0, 500.0, 600.0, 600.0))[0].collect() == []
+    columnar.write(points.where("id < 3"), path, crs.utm(45))  # replaces the layer
+    assert columnar.read(spark, path)[0].count() == 3
+    columnar.write(points.where("false"), path, crs.WGS84)
+    assert columnar.read(spark, path)[0].columns == ["id", "name", *columnar.BOX, "wkb"] and columnar.read(spark, path)[0].count() == 0
+    with pytest.raises(ValueError):
+        columnar.write(points.withColumn("wkb", F.lit(1)), path, crs.WGS84)
+
+
+def test_columnar_lines_and_rings(spark, tmp_path):
+    columnar.write(demo.roads(spark, SF, bend=50), str(tmp_path / "roads"), crs.utm(45), 4)
+    rows = from_wkb(columnar.read(spark, str(tmp_path / "roads"))[0])
+    want = {(r["road_uid"], str(r["parts"])) for r in demo.roads(spark, SF, bend=50).collect()}
+    assert {(r["road_uid"], str(r["parts"])) for r in rows.collect()} == want
+    ring = spark.sql("SELECT 1 AS id, array(named_struct('x', 0D, 'y', 0D), named_struct('x', 2D, 'y', 0D), named_struct('x', 2D, 'y', 3D), named_struct('x', 0D, 'y', 0D)) AS ring")
+    columnar.write(ring, str(tmp_path / "hulls"), crs.utm(45))
+    row = columnar.read(spark, str(tmp_path / "hulls"), (1.5, 2.5, 9.0, 9.0))[0].first()
+    assert (row["box_x1"], row["box_y1"], row["box_x2"], row["box_y2"]) == (0.0, 0.0, 2.0, 3.0)
+
+
+def test_observed_counts_take_no_job_of_their_own(spark):
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") % 7 - 1).alias("cluster"))
+    spark.sparkContext.setJobGroup("observed", "")
+    held, counts = analysis.observed(rows, "seven", n=F.count(F.lit(1)), noise=F.count_if(F.col("cluster") == -1))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("observed"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert counts == {"n": 1000, "noise": 143} and jobs == 1 and held.count() == 1000
+    assert analysis.observed(rows.where("false"), "none", n=F.count(F.lit(1)))[1] == {"n": 0}
+
+
+def test_map_of_more_points_than_a_page_holds(spark, monkeypatch):
+    monkeypatch.setattr(html, "LIMIT", 120)
+    points = spark.range(3000).select((500_000 + F.col("id") * 7 % 3000).alias("x"), (2_400_000 + F.col("id") * 11 % 2900).alias("y"), (F.col("id") % 3 - 1).alias("cluster"))
+    data = html.map_data(points.selectExpr("cast(x as double) x", "cast(y as double) y", "cluster"), crs.utm(45))
+    assert data["groups"] == [] and data["cells"] and sum(len(v) for v in data["cells"].values()) <= 120
+    assert all(sum(r[5] for r in rows) == 3000 for rows in data["cells"].values()) and sum(r[2] for r in data["heat"]) == 3000
+    levels = layers.pyramid(layers.geographic(points, crs.utm(45))).groupBy("zoom").agg(F.sum("points").alias("n")).collect()
+    assert {r["n"] for r in levels} == {3000} and len(levels) == layers.HIGHEST - layers.LOWEST + 1
+
+
+def test_ring_cells_and_functions_in_text(spark):
+    sql_functions.register(spark)
+    for r in range(4):
+        cells = {tuple(c) for c in spark.sql(f"SELECT * FROM ring_cells(3, -2, {r})").collect()}
+        assert cells == {(3 + i, -2 + j) for i in range(-r, r + 1) for j in range(-r, r + 1) if max(abs(i), abs(j)) == r}
+    row = spark.sql("SELECT road_distance(0D, 0D, 3D, 4D) d, road_point_edge(0D, 5D, 2D, 2D, 2D, 2D) p, road_edges_meet(0D, 0D, 2D, 2D, 0D, 2D, 2D, 0D) m, utm_northing(87D, 0D, 45) n").first()
+    assert (row["d"], round(row["p"], 6), row["m"], row["n"]) == (5.0, 3.605551, True, 0.0)
+
+
+def test_letters_and_legend_of_the_picture():
+    import zlib
+
+    import numpy as np
+
+    data = {"roads": [[(0.0, 0.0), (10.0, 10.0)]], "noise": [(1.0, 2.0, "")], "none": [], "clusters": [(5.0, 5.0, "#1f77b4")], "legend": [("Cluster 1", "#1f77b4")], "axes": ("E", "N"), "palette": "tab10"}
+    body = static.png(data)
+    at = body.index(b"IDAT")
+    raw = np.frombuffer(zlib.decompress(body[at + 4 : at + 4 + int.from_bytes(body[at - 4 : at], "big")]), np.uint8).reshape(3000, 1 + 3600 * 3)[:, 1:].reshape(3000, 3600, 3)
+    dark = (raw == 0).all(axis=2)
+    assert dark[240 - 40 : 241, 2940:].any() and dark[:130].any() and dark[2900:].any() and dark[:, :120].any()  # legend, title, both axes
+    assert (raw[:, 2940:] == (31, 119, 180)).all(axis=2).any() and (raw == 221).all(axis=2).any()
+    blank = np.full((40, 400, 3), 255, np.uint8)
+    shapes = set()
+    for c in letters.STROKES:
+        spot = blank.copy()
+        letters.write(spot, c, 5, 30, 20)
+        shapes.add(spot.tobytes())
+    assert len(shapes) == len(letters.STROKES)
+
+
 def test_translation_changes_nothing(spark):
     def pairs(dx, dy):
         moved = F.transform("parts", lambda p: F.transform(p, lambda v: F.struct((v["x"] + dx).alias("x"), (v["y"] + dy).alias("y"))))
