@@ -16,7 +16,7 @@ from roadloom.functions.crs import Crs, parse, reproject_lines, reproject_points
 from roadloom.operators import associate, clean, dbscan, roads, summarize
 from roadloom.render import html, static
 from roadloom.session import cut
-from roadloom.sources import geopackage, shapefile
+from roadloom.sources import columnar, geopackage, shapefile
 
 LOG = logging.getLogger(__name__)
 SUMMARY = ["Cluster_ID", "Size", "Centroid_X", "Centroid_Y", "Hull_Area"]
@@ -97,9 +97,14 @@ def write_summary(path: str, table: DataFrame) -> None:
 
 def analyze(
     spark: SparkSession, points_path: str, lines_path: str, eps: float = 150.0, min_pts: int = 5, tolerance: float = 0, folder: str = ".",
-    heat: bool = True, plot: bool = True, tolerance_mode: str = "compat", on_invalid: str = "fail",
+    heat: bool = True, plot: bool = True, tolerance_mode: str = "compat", on_invalid: str = "fail", layer_format: str = "geopackage",
 ) -> Result:
-    """Cluster the points of one shapefile on the roads of another and write all results to ``folder``."""
+    """Cluster the points of one shapefile on the roads of another and write all results to ``folder``.
+
+    Layers are GeoPackages, one file each, or with ``layer_format="columnar"`` folders that all executors write (:mod:`roadloom.sources.columnar`).
+    """
+    if layer_format not in ("geopackage", "columnar"):
+        raise ValueError("layer_format is 'geopackage' or 'columnar'")
     check_arguments(points_path, lines_path, eps, min_pts, tolerance)
     os.makedirs(folder, exist_ok=True)
     files = output_names(folder, eps, min_pts, tolerance)
@@ -107,9 +112,18 @@ def analyze(
     raw_lines, lines_crs = read_layer(spark, lines_path)
     points, lines = prepare(raw_points, crs, raw_lines, lines_crs, on_invalid)
     geopackage.register(spark)
-    srid = {"crs": f"EPSG:{crs.srid}"} if crs.srid else {}
+    if layer_format == "columnar":
+        files |= {k: f"{os.path.abspath(files[k]).removesuffix('.gpkg')}.layer" for k in ("roads", "points")}
+
+    def save(rows: DataFrame, path: str) -> None:
+        if layer_format == "columnar":
+            columnar.write(rows, path, crs)
+        else:
+            srid = {"crs": f"EPSG:{crs.srid}"} if crs.srid else {}
+            rows.write.format("geopackage").options(**srid).mode("overwrite").save(path)
+
     try:
-        lines.drop("kind", "record_no").write.format("geopackage").options(**srid).mode("overwrite").save(files["roads"])
+        save(lines.drop("kind", "record_no"), files["roads"])
     except Exception as e:  # a missing road layer doesn't change the analysis
         LOG.warning("roads could not be saved: %s", e)
     pairs, crossings = observed(roads.intersections(lines, tolerance, tolerance_mode), "intersections", pairs=F.count(F.lit(1)))
@@ -120,7 +134,7 @@ def analyze(
     LOG.info("associated %s", told)
     attributes = [c for c in raw_points.columns if c not in ("record_no", "kind", "x", "y")]
     saved = found.where(geometry.valid_point(F.col("x"), F.col("y"))).select("x", "y", *attributes, "road_uid", "dist_to_road")
-    saved.write.format("geopackage").options(**srid).mode("overwrite").save(files["points"])
+    save(saved, files["points"])
     labelled, counts = observed(dbscan.cluster(found, adjacent, eps, min_pts), "labels", **summarize.observed_counts())
     LOG.info("labelled %s", counts)
     if counts["unclassified"]:

@@ -23,6 +23,7 @@ from roadloom.plans import analysis
 from roadloom.render import html, layers
 from roadloom.session import cut, ensure_checkpoint_dir, ship
 from roadloom.sources import columnar, geopackage, shapefile
+from roadloom.streaming.clusters import ClusterState
 
 EPS, MIN_PTS, TOLERANCE, BUFFER = 60.0, 5, 25.0, 80.0
 Query = Callable[[SparkSession, str], DataFrame]
@@ -495,6 +496,15 @@ def observed_counts(spark, sf_dir):
     return spark.createDataFrame([(k, v) for k, v in (pairs | counts).items()], "what string, rows long")
 
 
+def incremental_dbscan(spark, sf_dir):
+    """Points that arrive in three batches; each computes again what it touches only."""
+    points, adjacent = _associated(spark, sf_dir)
+    state = ClusterState(spark, _folder(spark), adjacent, EPS, MIN_PTS)
+    for n in range(3):
+        state.update(points.where(F.col("point_idx") % 3 == n), n)
+    return state.labels().select("point_idx", "core", "cluster")
+
+
 def map_cells(spark, sf_dir):
     """Cells of one zoom level of the map."""
     rows = layers.pyramid(_degrees(labelled(spark, sf_dir))).where("zoom = 10")
@@ -553,7 +563,7 @@ QUERIES: dict[str, Query] = {
         shapefile_points, shapefile_lines, geopackage_roads, geopackage_points, summary_csv, summary_ordered, legend_ordered, failed_join, merged_uid,
         unassociated_counts, road_tooltips, palette_listed, centroid_popups, hull_tooltips, hull_tooltips_text, map_centre_degrees, crs_tests,
         utm_known_places, argument_checks, output_files, clustering_guards, point_distance_checked, sql_scalars, nearest_road_sql, columnar_points,
-        columnar_roads_in_a_box, reprojected_points, observed_counts, map_cells, map_levels, heat_points, map_guards, palette_rainbow, palette_fallback,
+        columnar_roads_in_a_box, reprojected_points, observed_counts, incremental_dbscan, map_cells, map_levels, heat_points, map_guards, palette_rainbow, palette_fallback,
     )
 }
 
@@ -730,6 +740,7 @@ SQL: dict[str, str] = {
     "reprojected_points": _utm_sql(),
     "observed_counts": f"""{_labels_sql()} SELECT 'pairs' AS what, count(*) AS rows FROM pairs UNION ALL SELECT 'points', count(*) FROM lab UNION ALL SELECT 'clusters', count(DISTINCT cluster) FILTER (cluster > 0) FROM lab
         UNION ALL SELECT 'noise', count(*) FILTER (cluster = -1) FROM lab UNION ALL SELECT 'clustered', count(*) FILTER (cluster > 0) FROM lab UNION ALL SELECT 'unclassified', 0""",
+    "incremental_dbscan": f"{_labels_sql()} SELECT point_idx, core, cluster FROM lab",
     "map_cells": f"""{_labels_sql()}, m AS (SELECT floor((x / 100 + 180) / 360 * 8192) AS cx, floor((0.5 - asinh(tan(radians(y / 100))) / (2 * pi())) * 8192) AS cy, x / 100 AS lon, y / 100 AS lat, cluster FROM lab)
         SELECT CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, CASE WHEN cluster = -1 THEN 'noise' ELSE 'cluster' END AS kind, count(*) AS points, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, min(cluster) AS first, max(cluster) AS last FROM m GROUP BY 1, 2, 3""",
     "map_levels": f"""WITH {_points_sql()}, m AS (SELECT (x / 100 + 180) / 360 AS u, 0.5 - asinh(tan(radians(y / 100))) / (2 * pi()) AS v FROM pts), z AS (SELECT CAST(range AS BIGINT) AS zoom, power(2, range) * 8 AS side FROM range(2, 17))

@@ -104,6 +104,15 @@ def test_whole_analysis(spark, layers_on_disk, tmp_path):
     assert saved.columns == ["fid", "kind", "parts", "name", "road_uid", "dist_to_road"] and saved.count() == 150
 
 
+def test_analysis_with_columnar_layers(spark, layers_on_disk, tmp_path):
+    result = analysis.analyze(spark, f"{layers_on_disk}/points.shp", f"{layers_on_disk}/roads.shp", 150.0, 5, 0, str(tmp_path), heat=False, plot=False, layer_format="columnar")
+    points, system = columnar.read(spark, result.files["points"])
+    assert points.count() == 150 and {"name", "road_uid", "dist_to_road", "wkb"} <= set(points.columns) and system == crs.utm(45)
+    assert columnar.read(spark, result.files["roads"])[0].count() == 10
+    with pytest.raises(ValueError):
+        analysis.analyze(spark, "a", "b", layer_format="other")
+
+
 def test_stops_and_arguments(spark, layers_on_disk, tmp_path):
     points, lines = f"{layers_on_disk}/points.shp", f"{layers_on_disk}/roads.shp"
     for bad in ((1, lines, 1.0, 5, 0), (points, None, 1.0, 5, 0)):
