@@ -1,15 +1,20 @@
 """Personal data: fixed patterns, and identifiers that bootstrapped contexts discover. DataFrame functions only.
 
-Fixed patterns give the base spans. They are the seeds: the words around a seed are a lexical pattern, and
-patterns and instances (normalised tokens with digits) form a bipartite graph. In each of ``ROUNDS`` rounds a
+Fixed patterns give the base spans. Each is a seed: the words around the whole span are lexical patterns (the two before
+it; the one before and the one after). Words are runs of letters and digits, digits count as 0, and ``NEAR`` characters to either side are seen.
+Candidates are the tokens between blanks that hold a digit and that no base span touches. Patterns and instances form a bipartite graph. A
+seed's instance is its kind and value; a candidate's is its token, or, if that has under ``LONG`` characters or ``DIGITS`` digits and so
+names nothing by itself, the token with the word before it. In each of ``ROUNDS`` rounds a
 pattern's confidence becomes the mean score of its distinct instances (smoothed by one bad one) if at least
-``SUPPORT`` of them score, and an unseen instance's score becomes 1 - product(1 - confidence) over its confident patterns. Tokens that
-no base span touches and whose score reaches ``ACCEPT`` are spans of kind ``identifier``.
+``SUPPORT`` of them score, and an unseen instance's score becomes 1 - product(1 - confidence) over its confident patterns. Candidates
+whose instance's score reaches ``ACCEPT`` are spans of kind ``identifier``, wherever they stand.
 
 A text's matches are placed without positions from the engine: ``split`` by a pattern gives what stands between
 the matches that ``regexp_extract_all`` gives, so running sums of lengths are the code point offsets. The
 patterns use possessive repeats and look-behinds, which match the same spans as the plain ones but neither
-backtrack quadratically nor recurse on very long runs.
+backtrack quadratically nor recurse on very long runs. Long texts are read whole: arrays of n spans are worked on in
+about sqrt(n) runs, each with its own stretch of the text, so that time grows with the length times sqrt(n) at most; a row holds a few copies
+of its text and some 100 bytes a span.
 
 Defined cases: null text is empty (no spans); repeated rows have their own spans and count as one instance in the
 graph; null ids are kept; an empty table gives an empty result; other columns are ignored by ``find`` and kept
@@ -33,6 +38,9 @@ PATTERNS = {
 }
 TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 ROUNDS, SUPPORT, CONFIDENT, ACCEPT, NEAR = 3, 3, 0.6, 0.8, 64
+LONG, DIGITS = 6, 3
+#: Parts into which the edges of one pattern are dealt when they meet its confidence.
+SALTS = 16
 #: Up to this many documents with discovered spans are sent to all tasks when redacting; more are shuffled.
 BROADCAST_ROWS = 20_000
 _SPAN = "array<struct<start:bigint,end:bigint,hit:string>>"
@@ -125,42 +133,68 @@ def with_base(df: DataFrame, text: str = "body") -> DataFrame:
 
 
 def _candidates(text: str = "body") -> Column:
-    """Tokens with digits, their offsets and the words around them."""
-    body = F.col(text)
-    spans = _spans(body, TOKEN)
-    word = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    """Tokens with digits and their offsets, without what is no letter or digit at their ends."""
 
-    def context(s: Column, around: Column) -> Column:
-        before, after = around["before"], around["after"]
+    def trimmed(s: Column) -> Column:
         lead, tail = F.length(F.regexp_extract(s["hit"], r"^[^\p{L}\p{N}+]*+", 0)), F.length(F.regexp_extract(F.substring(s["hit"], -NEAR, NEAR), r"[^\p{L}\p{N}]*$", 0))
-        return F.struct(
-            (s["start"] + lead).alias("start"),
-            F.greatest(s["start"] + lead, s["end"] - tail).alias("end"),
-            F.lower(F.regexp_replace(s["hit"], r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")).alias("token"),
-            word(F.regexp_extract(before, r"(\S+)\s+\S+\s*$", 1)).alias("left2"),
-            word(F.regexp_extract(before, r"(\S+)\s*$", 1)).alias("left1"),
-            word(F.regexp_extract(after, r"^\s*(\S+)", 1)).alias("right1"),
-        )
+        token = F.lower(F.regexp_replace(s["hit"], r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", ""))
+        return F.struct((s["start"] + lead).alias("start"), F.greatest(s["start"] + lead, s["end"] - tail).alias("end"), token.alias("token"))
 
-    def around(gaps: Column) -> Column:
-        n = F.size(gaps) - 1
-        ends = lambda a, b: F.struct(F.substring(a, -NEAR, NEAR).alias("before"), F.substring(b, 1, NEAR).alias("after"))
-        return F.when(n > 0, F.zip_with(F.slice(gaps, F.lit(1), n), F.slice(gaps, F.lit(2), n), ends)).otherwise(F.array().cast("array<struct<before:string,after:string>>"))
+    kind = "array<struct<start:bigint,end:bigint,token:string>>"
+    return F.when(F.col(text).rlike("[0-9]"), F.transform(_spans(F.col(text), TOKEN), trimmed)).otherwise(F.array().cast(kind)).cast(kind)
 
-    kind = "array<struct<start:bigint,end:bigint,token:string,left2:string,left1:string,right1:string>>"
-    found = F.zip_with(spans, _let(F.split(body, TOKEN, -1), around), context)
-    return F.when(body.rlike("[0-9]"), found).otherwise(F.array().cast(kind)).cast(kind)
 
+def _runs(items: Column, of_run) -> Column:
+    """``of_run`` of the runs that ``_chunks`` cuts, put together again."""
+    return F.flatten(F.transform(_chunks(items), of_run))
 
-def _with_seed(cands: Column, base: Column) -> Column:
-    """Candidates with ``seed``: whether a base span touches them. Each run of candidates meets the spans around it only."""
+
+def _untouched(cands: Column, base: Column) -> Column:
+    """Candidates that no base span touches. Each run of candidates meets the spans around it only."""
 
     def of_run(run: Column) -> Column:
         low, high = F.element_at(run, 1)["start"], F.array_max(F.transform(run, lambda c: c["end"]))
         near = F.filter(base, lambda b: (b["start"] < high) & (b["end"] > low))
-        return _let(near, lambda spans: F.transform(run, lambda c: c.withField("seed", F.exists(spans, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))))
+        return _let(near, lambda spans: F.filter(run, lambda c: ~F.exists(spans, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))))
+
+    return _runs(cands, of_run)
+
+
+def _named(kind: str):
+    """A base span as a seed. Cards and phones are the same whatever stands between their digits."""
+    value = (lambda hit: _digits(hit)) if kind in ("card", "phone") else F.lower
+    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), value(s["hit"]).alias("token"), F.lit(kind).alias("kind"))
+
+
+def _slots(body: Column) -> Column:
+    """Seeds and candidates in their order: offsets, instance, and the patterns they stand in (null if no word stands before)."""
+    cands = _untouched(F.col("cands"), F.col("base"))
+    unseen = F.transform(cands, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["token"].alias("token"), F.lit("").alias("kind")))
+    word = r"([\p{L}\p{N}]+)"
+
+    def slot(s: Column, before: Column, after: Column) -> Column:
+        left2, left1 = F.regexp_extract(before, word + r"[^\p{L}\p{N}]+[\p{L}\p{N}]+[^\p{L}\p{N}]*$", 1), F.regexp_extract(before, word + r"[^\p{L}\p{N}]*$", 1)
+        right1 = F.regexp_extract(after, r"^[^\p{L}\p{N}]*" + word, 1)
+        vague = (s["kind"] == "") & ((F.length(s["token"]) < LONG) | (F.length(_digits(s["token"])) < DIGITS))
+        return F.struct(
+            s["start"].alias("start"),
+            s["end"].alias("end"),
+            (s["kind"] != "").alias("seed"),
+            F.xxhash64(s["kind"], s["token"], F.when(vague, left1)).alias("instance"),
+            F.when(left1 != "", F.array(F.xxhash64(F.lit(1), left2, left1), F.xxhash64(F.lit(2), left1, right1))).alias("patterns"),
+        )
+
+    def of_run(run: Column) -> Column:
+        first = F.greatest(F.element_at(run, 1)["start"] - NEAR, F.lit(0))
+        last = F.array_max(F.transform(run, lambda s: s["end"])) + NEAR
+
+        def within(stretch: Column) -> Column:
+            part = lambda a, b: F.lower(F.regexp_replace(stretch.substr((a - first + 1).cast("int"), (b - a).cast("int")), "[0-9]", "0"))
+            return F.transform(run, lambda s: slot(s, part(F.greatest(s["start"] - NEAR, F.lit(0)), s["start"]), part(s["end"], s["end"] + NEAR)))
+
+        return _let(body.substr((first + 1).cast("int"), (last - first).cast("int")), within)
 
-    return F.flatten(F.transform(_chunks(cands), of_run))
+    return _let(F.array_sort(F.concat(*(F.transform(k, _named(k)) for k in KINDS), unseen)), lambda slots: _runs(slots, of_run))
 
 
 def _base_list() -> Column:
@@ -168,32 +202,33 @@ def _base_list() -> Column:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """One narrow row per document: base spans and candidate tokens, no text."""
+    """One narrow row per document: base spans and slots (seeds and candidates), no text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("body"))
-    rows = with_base(rows).withColumn("cands", _candidates())
-    rows = rows.withColumn("cands", F.filter("cands", lambda c: (F.length(c["token"]) >= 6) & (F.length(_digits(c["token"])) >= 3)))
-    rows = rows.select("doc_id", F.xxhash64("body").alias("text_hash"), _base_list().alias("base"), "cands")
-    return cut(rows.withColumn("cands", _with_seed(F.col("cands"), F.col("base"))).withColumn("row", F.monotonically_increasing_id()))
+    rows = with_base(rows).withColumn("cands", _candidates()).withColumn("base", _base_list())
+    none = F.array().cast("array<struct<start:bigint,end:bigint,seed:boolean,instance:bigint,patterns:array<bigint>>>")
+    slots = F.when((F.size("cands") > 0) | (F.size("base") > 0), _slots(F.col("body"))).otherwise(none)
+    return cut(rows.select("doc_id", F.xxhash64("body").alias("text_hash"), "base", slots.alias("slots")).withColumn("row", F.monotonically_increasing_id()))
 
 
 def discover(rows: DataFrame) -> DataFrame:
     """Spans of unseen identifiers: ``row, doc_id, text_hash, start, end`` of candidates that reach ``ACCEPT``."""
-    each = rows.select("row", "doc_id", "text_hash", F.explode("cands").alias("c")).select("row", "doc_id", "text_hash", "c.*")
-    instance = F.xxhash64("token")
-    shapes = F.array(F.xxhash64(F.lit(1), "left2", "left1"), F.xxhash64(F.lit(2), "left1", "right1"))
-    # contexts need a word before the token; accepted instances are found wherever they stand
-    uses = each.where("left1 <> ''").withColumn("instance", instance).withColumn("pattern", F.explode(shapes))
+    each = rows.select("row", "doc_id", "text_hash", F.explode("slots").alias("s")).select("row", "doc_id", "text_hash", "s.*")
     # the graph: distinct edges, so a copied page or one frequent line counts once
-    edges = cut(uses.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    score = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seed"))
+    uses = each.select("instance", "seed", F.explode("patterns").alias("pattern"))
+    edges = cut(uses.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).withColumn("salt", F.pmod("instance", F.lit(SALTS)).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    # a pattern of too few instances never speaks
+    enough = edges.groupBy("pattern").count().where(F.col("count") >= SUPPORT).select("pattern", every)
+    edges = cut(edges.join(enough, ["pattern", "salt"], "left_semi"))
+    score = edges.groupBy("instance").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed").cast("double"))
     for _ in range(ROUNDS):
         scored = edges.select("pattern", "instance").join(score, "instance")
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count_if(F.col("score") >= ACCEPT).alias("support"))
-        patterns = patterns.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern", "confidence")
-        drawn = edges.join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("drawn"))
+        patterns = patterns.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern", "confidence", every)
+        drawn = edges.join(patterns, ["pattern", "salt"]).groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("drawn"))
         score = cut(score.join(drawn, "instance", "left").select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("drawn", F.lit(0.0))).alias("score")))
     accepted = score.where(~F.col("seed") & (F.col("score") >= ACCEPT)).select("instance")
-    return each.where("not seed").withColumn("instance", instance).join(accepted, "instance").select("row", "doc_id", "text_hash", "start", "end")
+    return each.where("not seed").join(accepted, "instance", "left_semi").select("row", "doc_id", "text_hash", "start", "end")
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 import hashlib
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
+import pytest
+import regex
 from corpus_tables import table
 from roadloom.llm import pii
 
@@ -103,3 +106,91 @@ def test_accepted_identifiers_are_found_wherever_they_stand(shipped):
     for k, text in rows[30:]:
         assert found[k] == f"identifier:{text.index(token)}:{text.index(token) + len(token)}"
     assert not any(token in r["text"] for r in pii.redact(docs).collect())
+
+
+def words(text):
+    return regex.findall(r"[\p{L}\p{N}]+", text)
+
+
+def graph(texts):
+    """The discovered spans of each text, with dictionaries of sets."""
+    slots, held, uses = [], defaultdict(set), []
+    for k, text in enumerate(texts):
+        spans = base(text)
+        for kind, a, b in spans:
+            value = re.sub("[^0-9]", "", text[a:b]) if kind in ("card", "phone") else text[a:b].lower()
+            slots.append((k, a, b, kind, value))
+        touched = bytearray(len(text))
+        for _, a, b in spans:
+            touched[a:b] = b"x" * (b - a)
+        for m in re.finditer(r"(?<!\S)[^\s0-9]*[0-9]\S*", text, re.A):
+            a, b = m.start() + len(regex.match(r"[^\p{L}\p{N}+]*", m[0])[0]), m.end() - len(regex.search(r"[^\p{L}\p{N}]*$", m[0])[0])
+            if not any(touched[a:b]):
+                slots.append((k, a, b, "", text[a:b].lower()))
+    seeds = set()
+    for k, a, b, kind, value in slots:
+        before, after = (re.sub("[0-9]", "0", s).lower() for s in (texts[k][max(0, a - pii.NEAR) : a], texts[k][b : b + pii.NEAR]))
+        left, right1 = ["", "", *words(before)], [*words(after), ""][0]
+        vague = not kind and (len(value) < pii.LONG or len(re.sub("[^0-9]", "", value)) < pii.DIGITS)
+        instance = kind, value, left[-1] if vague else None
+        if kind:
+            seeds.add(instance)
+        else:
+            uses.append((k, a, b, instance))
+        if left[-1]:
+            held[1, left[-2], left[-1]].add(instance)
+            held[2, left[-1], right1].add(instance)
+    score = dict.fromkeys(seeds, 1.0)
+    for _ in range(pii.ROUNDS):
+        drawn = defaultdict(lambda: 1.0)
+        for instances in held.values():
+            confidence = sum(score.get(i, 0.0) for i in instances) / (len(instances) + 1)
+            if confidence >= pii.CONFIDENT and sum(score.get(i, 0.0) >= pii.ACCEPT for i in instances) >= pii.SUPPORT:
+                for i in instances:
+                    drawn[i] *= 1 - confidence
+        score = dict.fromkeys(seeds, 1.0) | {i: 1 - p for i, p in drawn.items() if i not in seeds}
+    return [sorted((a, b) for j, a, b, i in uses if j == k and score.get(i, 0.0) >= pii.ACCEPT) for k in range(len(texts))]
+
+
+def found(shipped, texts):
+    rows = pii.find(table(shipped, list(enumerate(texts)))).collect()
+    return [sorted(tuple(map(int, s.split(":")[1:])) for s in spans.split(",") if s.startswith("identifier")) for _, spans in sorted((r["doc_id"], r["spans"]) for r in rows)]
+
+
+def test_every_kind_of_seed_discovers(shipped):
+    ring = [f"Please ring +1 (7{k:02}) 555-3{k:03} now" for k in range(40)] + [f"please ring 555000{k} now" for k in range(5)]
+    mail = [f"my email is {'abcdefgh'[k % 8]}{'xyz'[k // 8 % 3]}{'pqrst'[k % 5]}@mail.example.com ok" for k in range(40)] + [f"my email is nick000{k}7 ok" for k in range(5)]
+    host = [f"host 10.0.{k}.{k + 1} answered" for k in range(9)] + ["(host 7)", "a host 7 answered, host 8 did", "page 7 answered"]
+    got = found(shipped, ring + mail + host)
+    assert got == graph(ring + mail + host)
+    for first, n in ((40, 5), (85, 5)):
+        assert all(len(got[k]) == 1 for k in range(first, first + n))
+    text = host[10]
+    assert got[-2] == [(7, 8)] and text[7:8] == "7" and got[-1] == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_graph_equals_brute_force(shipped, seed):
+    rng = random.Random(seed)
+    entity = [
+        lambda: f"u{rng.randint(0, 30)}@m{rng.randint(0, 3)}.example.org", lambda: f"+1 (5{rng.randint(10, 40)}) 555-{rng.randint(1000, 1020)}", lambda: "4111-1111 1111 1111",
+        lambda: f"10.0.{rng.randint(0, 9)}.{rng.randint(0, 300)}", lambda: f"ID-{rng.randint(100, 130)}-{rng.randint(100, 101)}", lambda: str(rng.randint(1, 12)), lambda: f"«n{rng.randint(1000, 1020)}»,",
+    ]
+    lead = ["please ring", "Mail:", "the card <", "host", "no.", "", "w" * 70, "Éa 12", "x y", "\U0001f600 z3\n"]
+    texts = [" ".join(f"{rng.choice(lead)} {rng.choice(entity)()}{rng.choice([' now', '> ok', '', ' and 7'])}" for _ in range(rng.choice([0, 1, 3, 60]))) for _ in range(150)]
+    want = graph(texts)
+    assert sum(map(len, want)) > 20
+    assert found(shipped, texts) == want
+
+
+def test_long_text_of_many_spans(shipped):
+    text = " ".join(f"customer contact user{k}@mail.example about {k} é" for k in range(20_000))
+    texts = [text, "customer contact AB-77-1234 about"]
+    got = found(shipped, texts)
+    assert got == graph(texts) and got[1] == [(17, 27)]
+
+
+def test_one_pattern_may_hold_most_edges(shipped):
+    """Plain numbers in one context far outnumber seeds: it isn't confident, and nothing is found."""
+    texts = [f"see page {k} of it" for k in range(3_000)] + [f"see page 10.1.1.{k} of it" for k in range(30)]
+    assert not any(found(shipped, texts))
