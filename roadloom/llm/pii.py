@@ -170,11 +170,11 @@ def _slots(body: Column) -> Column:
     """Seeds and candidates in their order: offsets, instance, and the patterns they stand in (null if no word stands before)."""
     cands = _untouched(F.col("cands"), F.col("base"))
     unseen = F.transform(cands, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["token"].alias("token"), F.lit("").alias("kind")))
-    word = r"([\p{L}\p{N}]+)"
+    words = lambda part: F.filter(F.split(F.lower(F.translate(part, "123456789", "0" * 9)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    nth = lambda around, k: F.coalesce(F.try_element_at(around, F.lit(k)), F.lit(""))
 
-    def slot(s: Column, before: Column, after: Column) -> Column:
-        left2, left1 = F.regexp_extract(before, word + r"[^\p{L}\p{N}]+[\p{L}\p{N}]+[^\p{L}\p{N}]*$", 1), F.regexp_extract(before, word + r"[^\p{L}\p{N}]*$", 1)
-        right1 = F.regexp_extract(after, r"^[^\p{L}\p{N}]*" + word, 1)
+    def slot(s: Column, around: Column) -> Column:
+        left2, left1, right1 = nth(around["before"], -2), nth(around["before"], -1), nth(around["after"], 1)
         vague = (s["kind"] == "") & ((F.length(s["token"]) < LONG) | (F.length(_digits(s["token"])) < DIGITS))
         return F.struct(
             s["start"].alias("start"),
@@ -189,8 +189,12 @@ def _slots(body: Column) -> Column:
         last = F.array_max(F.transform(run, lambda s: s["end"])) + NEAR
 
         def within(stretch: Column) -> Column:
-            part = lambda a, b: F.lower(F.regexp_replace(stretch.substr((a - first + 1).cast("int"), (b - a).cast("int")), "[0-9]", "0"))
-            return F.transform(run, lambda s: slot(s, part(F.greatest(s["start"] - NEAR, F.lit(0)), s["start"]), part(s["end"], s["end"] + NEAR)))
+            part = lambda a, b: words(stretch.substr((a - first + 1).cast("int"), (b - a).cast("int")))
+
+            def around(s: Column) -> Column:
+                return F.struct(part(F.greatest(s["start"] - NEAR, F.lit(0)), s["start"]).alias("before"), part(s["end"], s["end"] + NEAR).alias("after"))
+
+            return F.transform(run, lambda s: _let(around(s), lambda held: slot(s, held)))
 
         return _let(body.substr((first + 1).cast("int"), (last - first).cast("int")), within)
 

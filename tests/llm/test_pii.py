@@ -184,7 +184,7 @@ def test_graph_equals_brute_force(shipped, seed):
 
 
 def test_long_text_of_many_spans(shipped):
-    text = " ".join(f"customer contact user{k}@mail.example about {k} é" for k in range(20_000))
+    text = " ".join(f"customer contact user{k}@mail.example about {k} é" for k in range(5_000))
     texts = [text, "customer contact AB-77-1234 about"]
     got = found(shipped, texts)
     assert got == graph(texts) and got[1] == [(17, 27)]
