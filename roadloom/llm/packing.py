@@ -1,12 +1,13 @@
 """Packing token sequences by best-fit decreasing.
 
-A document longer than the window is first cut into full windows. All pieces are then dealt by a hash into bins
-of about ``PIECES_PER_BIN``; each bin is packed on its own, longest piece first, and a segment tree indexed by
+A document longer than the window is first cut into full windows. All pieces are then dealt by a hash (of their place in the table
+too, so that copies of a row are dealt like other rows) into bins of about ``PIECES_PER_BIN``; each bin is packed on its own, longest piece first, and a segment tree indexed by
 remaining capacity finds the tightest open window that holds a piece. Bins are many enough at any size that no
 task grows, and large enough that the padding stays near that of packing all at once.
 
 Defined cases: a null text is empty and has the end id only; repeated rows are packed as rows of their own; null
-ids are kept; an empty table gives an empty result; other columns are ignored.
+ids are kept; an empty table gives an empty result; other columns are ignored. A text of any length is tokenized whole, in
+one task, with its ids in memory (a list of some 40 bytes an id, besides the text).
 """
 
 from __future__ import annotations
@@ -104,9 +105,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int =
 
 def pack(table: DataFrame, size: int = 2048) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to the rows that ``pieces`` made."""
-    table = cut(table)
+    table = cut(table.withColumn("place", F.monotonically_increasing_id()))  # equal rows differ in it
     bins = max(1, -(-table.count() // PIECES_PER_BIN))
-    table = table.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins)))
+    table = table.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "place"), F.lit(bins))).drop("place")
 
     def one(t: pa.Table) -> pa.Table:
         column = lambda name: t.column(name).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)

@@ -167,9 +167,9 @@ def reshard(docs: DataFrame, shards_old: int = 32, shards_new: int = 40, old: Co
     """
     held = F.pmod(F.xxhash64("doc_id"), F.lit(shards_old)) if old is None else old
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = cut(docs.select("doc_id", row_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), held.cast("int").alias("old"), F.struct(*carry).alias("carried") if carry else F.lit(None).alias("carried")))
+    rows = cut(docs.select("doc_id", row_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), held.cast("int").alias("old"), F.struct(*carry).alias("carried") if carry else F.lit(None).alias("carried"), F.monotonically_increasing_id().alias("place")))
     flow = plan_transfers(rows, shards_old, shards_new)
-    placed = assign(rows, flow, shards_old, ["doc_id", "text_crc32"])
+    placed = assign(rows, flow, shards_old, ["doc_id", "text_crc32", "place"]).drop("place")  # equal rows differ in their place
     return placed.select("*", "carried.*").drop("carried") if carry else placed.drop("carried")
 
 

@@ -46,6 +46,16 @@ def test_edges(edge, nothing):
     assert packing.pack(packing.pieces(nothing, PATH)).collect() == []
 
 
+def test_equal_rows_spread_over_the_bins(shipped):
+    """A copied row may be most of the table; its pieces are dealt like any others."""
+    from pyspark.sql import functions as F
+
+    row = [F.lit(v).cast("long").alias(c) for c, v in zip(["doc_id", "start", "length", "ids_crc32", "doc_tokens"], [7, 0, 1500, 99, 1500])]
+    packed = packing.pack(shipped.range(100_000, numPartitions=8).select(*row))
+    held = [r["count"] for r in packed.groupBy(F.shiftright("sequence_id", 32).alias("bin")).count().collect()]
+    assert len(held) == 13 and sum(held) == 100_000 and max(held) < 1.1 * packing.PIECES_PER_BIN
+
+
 def brute(lengths, size):
     """Best fit by looking at every open window."""
     left, out = [], []

@@ -92,3 +92,21 @@ def test_rewrite_leaves_balanced_shards_alone(shipped, tmp_path):
     assert manifest == {0: f"{old}/shard=0", 1: f"{new}/shard=1", 2: f"{new}/shard=2"}
     held = {k: sorted(r["doc_id"] for r in shipped.read.parquet(path).collect()) for k, path in manifest.items()}
     assert held[0] == [0, 1] and len(held[1]) == len(held[2]) == 2 and 5 in held[2] and sorted(sum(held.values(), [])) == list(range(6))
+
+
+def test_equal_rows_spread_over_the_blocks(shipped, monkeypatch):
+    """Copies of one row are dealt over all blocks of their size, and no column is added."""
+    monkeypatch.setattr(sharding, "ROWS_PER_BLOCK", 100)
+    docs = shipped.createDataFrame([(7, "the same text")] * 3_000, "doc_id long, text string").repartition(4)
+    blocks, hashed = [], sharding.F.xxhash64
+
+    def watched(*columns):
+        blocks.append(columns)
+        return hashed(*columns)
+
+    monkeypatch.setattr(sharding.F, "xxhash64", watched)
+    out = sharding.reshard(docs, 3, 4)
+    rows = out.collect()
+    held = check(rows, docs)
+    assert set(out.columns) == {"doc_id", "size", "text_crc32", "old", "shard", "slot"}
+    assert ("doc_id", "text_crc32", "place") in blocks and max(held.values()) - min(held.values()) <= 2 * rows[0]["size"]
