@@ -8,12 +8,13 @@
    of them above.
 4. Stars: for ``STARS`` rounds each bucket has one pivot (another in each round), and each node that isn't in its component goes on with
    the nearest of its buckets' pivots to an exact test. So groups of copies, however large, are connected by about as many pairs as they
-   have nodes.
+   have nodes. Their sketches have to allow the similarity (each member of a set flips one of ``SKETCH`` bits, so differing bits
+   never exceed differing members).
 5. Rest: in buckets that still hold several components, all fingerprints of different ones are compared bit-sliced, in
-   pairs of tiles of at most ``TILE`` members. Of those within the radius the sketches have to allow the similarity (each
-   member of a set flips one of ``SKETCH`` bits, so differing bits never exceed differing members); a pair is told in the
-   first bucket that it shares only, and what is left is tested exactly.
+   pairs of tiles of at most ``TILE`` members, and those within the radius by their sketches; a pair is told in the
+   first bucket that it shares only. Of these pairs one for each node is tested exactly first, then those that still lie between components.
 
+Exact tests send a set once for each pair, and the set of the pair's hub once for up to ``TILE`` pairs; sets in no pair aren't sent.
 Buckets are joined with their pivots and dealt into tiles by Spark, so no bucket stands in one task.
 
 Defined cases: words stand between white space, lower-cased; a text with fewer words than a shingle is one shingle; null
@@ -144,15 +145,25 @@ def _by_run(use):
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, set of a, set of b): the pairs whose similarity reaches ``SIMILAR``."""
+    """Rows (hub, node, set), a hub's own row before those that are held against it: the pairs whose similarity reaches ``SIMILAR``."""
+    held = np.zeros(0, np.uint64)
     for batch in batches:
-        x, y = batch.column(2), batch.column(3)
+        hub, node, sets = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
         near = np.zeros(batch.num_rows, bool)
         for k in range(batch.num_rows):
-            one, other = (np.frombuffer(s[k].as_buffer(), np.uint64) for s in (x, y))
-            both = len(np.intersect1d(one, other, assume_unique=True))
-            near[k] = 5 * both >= 4 * (len(one) + len(other) - both)
-        yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
+            members = np.frombuffer(sets[k].as_buffer(), np.uint64)
+            if hub[k] == node[k]:
+                held = members.copy()
+            else:
+                both = len(np.intersect1d(held, members, assume_unique=True))
+                near[k] = 5 * both >= 4 * (len(held) + len(members) - both)
+        yield pa.record_batch([pa.array(np.minimum(hub, node)), pa.array(np.maximum(hub, node))], ["a", "b"]).filter(pa.array(near))
+
+
+def _sent(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """``rows``, sent to all tasks in a join if there are at most ``most`` (``BROADCAST_ROWS``)."""
+    most = BROADCAST_ROWS if most is None else most
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def _sizes_allow(a: Column, b: Column) -> Column:
@@ -241,40 +252,72 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 row, value = shingle_sets(Words(data, offsets))
                 ends = np.searchsorted(row, np.arange(len(offsets)))
                 held = [value[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.record_batch([batch.column(0).slice(first, len(held)), pa.array(held, pa.binary())], ["node", "members"])
+                yield pa.record_batch([batch.column(0).slice(first, len(held)), pa.array(held, pa.binary()), batch.column(2).slice(first, len(held))], ["node", "members", "many"])
 
-    chosen = rows.select("node", F.struct("doc_id", "text_hash").alias("of")).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("of").alias("of"))
-    chosen = cut(chosen.select("node", F.col("of.doc_id").alias("key_id"), F.col("of.text_hash").alias("key_hash")))
-    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    chosen = rows.select("node", F.struct("doc_id", "text_hash").alias("of")).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("of").alias("of"), (F.count(F.lit(1)) > 1).alias("many"))
+    chosen = cut(chosen.select("node", "many", F.col("of.doc_id").alias("key_id"), F.col("of.text_hash").alias("key_hash")))
     same = docs["doc_id"].cast("long").eqNullSafe(chosen["key_id"]) & (text_hash(docs) == chosen["key_hash"])
-    texts = docs.join(F.broadcast(chosen) if few else chosen, same).select(chosen["node"], docs["text"])
-    return cut(texts.mapInArrow(run, "node long, members binary").dropDuplicates(["node"]))
+    texts = docs.join(_sent(chosen), same).select(chosen["node"], docs["text"], chosen["many"])
+    sets = cut(texts.mapInArrow(run, "node long, members binary, many boolean"))
+    repeated = cut(sets.where("many").dropDuplicates(["node"]))  # rows of one id and text may be repeated
+    return sets.where("not many").union(repeated).select("node", "members")
+
+
+def _allowed(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """The pairs whose sketches allow the similarity."""
+    for end in ("a", "b"):
+        pairs = pairs.join(about.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in _SKETCH]), end)
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH), F.lit(0))
+    return cut(pairs.where(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b"))
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, turn: int) -> DataFrame:
+    """The pairs whose similarity reaches ``SIMILAR``. A pair's hub is the end that is a pivot in this turn rather than the other."""
+    first = F.xxhash64("a", F.lit(turn)) < F.xxhash64("b", F.lit(turn))
+    pairs = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("node"))
+    tiles = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    spokes = cut(pairs.join(tiles, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile"), "node"))
+    ends = cut(spokes.union(spokes.select("hub", "tile", F.col("hub").alias("node")).distinct()))
+    rows = sets.join(_sent(ends), "node").repartition("hub", "tile").sortWithinPartitions("hub", "tile", F.col("hub") != F.col("node"))
+    return cut(rows.select("hub", "node", "members").mapInArrow(_similar, "a long, b long"))
+
+
+def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose similarity reaches ``SIMILAR``."""
+def _between(pairs: DataFrame, reached: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
     for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("members").alias(f"_{end}")), end)
-    return cut(pairs.select("a", "b", "_a", "_b").mapInArrow(_similar, "a long, b long"))
+        pairs = pairs.join(reached.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
+    return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
 def components(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``node`` and ``component`` of every node that is linked to another; ``rows`` are the ``prints`` of ``docs``."""
-    entries = rows.select("node", "n", "fp", "keys").dropDuplicates(["node"]).select(F.posexplode("keys").alias("band", "key"), "node", "n", "fp")
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    entries = cut(entries.join(shared, "key"))
+    nodes = cut(rows.drop("doc_id", "text_hash").dropDuplicates(["node"]))
+    entries = nodes.select(F.posexplode("keys").alias("band", "key"), "node")
+    shared = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key"))
+    entries = cut(entries.join(_sent(shared, 10 * BROADCAST_ROWS), "key").join(nodes.select("node", "n", "fp"), "node"))
     wanted = cut(entries.select("node").distinct())
     sets = _sets(docs, rows, wanted)
     half = lambda k: F.get("keys", F.lit(k)).bitwiseAND(0xFFFFFFFF)
     keys = [F.shiftleft(half(2 * k + 1), 32).bitwiseOR(half(2 * k)).alias(c) for k, c in enumerate(_KEYS)]
-    nodes = rows.select("node", *_SKETCH, *keys).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    about = cut(nodes.join(_sent(wanted), "node", "left_semi").select("node", "n", *_SKETCH, *keys))
+    sketches = _sent(about.select("node", "n", *_SKETCH))
     edges, tested, reached = None, None, None
-    for turn in range(STARS + 1):
-        open_ = _with_component(entries, reached)
-        pairs = _star(open_, turn) if turn < STARS else _rest(open_, nodes)
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.union(pairs)
-        fresh = _verified(sets, pairs)
+    for turn in range(STARS + 2):
+        if turn < STARS:
+            pairs = cut(_untested(_star(_with_component(entries, reached), turn), tested))
+            tested = pairs if tested is None else tested.union(pairs)
+            pairs = _allowed(pairs, sketches)
+        elif turn == STARS:
+            rest = cut(_untested(_rest(_with_component(entries, reached), about.drop("n")), tested))
+            least = F.min_by("b", F.xxhash64("b", F.lit(turn)))
+            pairs = cut(rest.groupBy("a").agg(least.alias("b")))
+        else:
+            pairs = cut(_between(_untested(rest, pairs), reached))
+        fresh = _verified(sets, pairs, turn)
         edges = fresh if edges is None else edges.union(fresh)
         reached = cut(connected_components(edges)) if reached is None or not fresh.isEmpty() else reached
     return reached

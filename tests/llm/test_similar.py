@@ -59,6 +59,17 @@ def test_edited_copies_and_common_lines(shipped, monkeypatch, stars, tile, sent)
     assert 12 <= len(got) < len(rows)
 
 
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_repeated_rows_and_pairs_that_stars_leave(shipped, monkeypatch, sent):
+    monkeypatch.setattr(similar, "BROADCAST_ROWS", sent)
+    monkeypatch.setattr(similar, "STARS", 1)
+    words = [f"w{k}" for k in range(64)]
+    chain = [words[k : k + 44] for k in range(0, 20, 2)]  # neighbours are similar, the ends aren't
+    rows = [(k, " ".join(w)) for k, w in enumerate(chain)] + [(20, "another text of more than five words"), (21, None), (22, "")]
+    rows = rows * 3 + [(30, rows[4][1])]
+    assert sorted(r["doc_id"] for r in similar.deduplicate(table(shipped, rows)).collect()) == stay(rows) == [0, 20, 21]
+
+
 @pytest.mark.parametrize("small", [1, 100])  # of 75 members: tiles, or all at once
 def test_pairs_within_the_radius(monkeypatch, small):
     monkeypatch.setattr(similar, "SMALL", small)
