@@ -24,19 +24,21 @@ _OUT = "point_idx bigint, road_uid bigint, d2 double"
 
 
 def edge_index(edge_rows: DataFrame, side: float, levels: int) -> DataFrame:
-    """Edges with ``level, cx, cy`` of each cell that they cross or that lies next to one they cross, once for each level."""
-    ring = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    """Edges with ``level, cx, cy`` of each cell within a side of them, so of all they cross and those next to these, once for each level."""
     rows = edge_rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    rows = rows.repartition(4 * edge_rows.sparkSession.sparkContext.defaultParallelism, "x1", "y1", "x2", "y2", "level")  # few edges make many rows
     rows = rows.withColumn("_side", side * F.pow(F.lit(2.0), F.col("level")))
-    near = F.flatten(F.transform(cells_of_edge(F.col("_side")), lambda c: F.transform(ring, lambda r: F.struct((c["cx"] + r["i"]).alias("cx"), (c["cy"] + r["j"]).alias("cy")))))
-    return rows.withColumn("cell", F.explode(F.array_distinct(near))).select("road_uid", "x1", "y1", "x2", "y2", "level", "cell.cx", "cell.cy")
+    near = cells_of_edge(F.col("_side"), F.col("_side"))
+    return rows.withColumn("cell", F.explode(near)).select("road_uid", "x1", "y1", "x2", "y2", "level", "cell.cx", "cell.cy")
 
 
-def _first_side(state, box) -> float:
-    """A cell's side: a few times the mean gap between roads, but no more than twice the usual edge and not under an eighth of it."""
+def _first_side(state, places: int, box) -> float:
+    """A cell's side: so that the index and the candidates of the points' places are about equally many, but not under the mean gap between roads, nor over
+    twice the usual edge or under a 256th of it."""
     usual = 2 * state["median"] if state["median"] else 1.0
-    gap = (box[1] - box[0]) * (box[3] - box[2]) / state["length"] if state["length"] else usual
-    return min(usual, max(4 * gap, usual / 16))
+    area = (box[1] - box[0]) * (box[3] - box[2])
+    gap = area / state["length"] if state["length"] else usual
+    return min(usual, max(math.sqrt(2 * area / places), gap, usual / 256))
 
 
 def nearest(points: DataFrame, roads: DataFrame, side: float | None = None) -> DataFrame:
@@ -44,15 +46,16 @@ def nearest(points: DataFrame, roads: DataFrame, side: float | None = None) -> D
 
     No roads give no rows.
     """
-    rows = cut(edges(roads))
-    todo = points.where(g.valid_point(F.col("x"), F.col("y"))).select("point_idx", "x", "y")
+    rows = cut(edges(roads).groupBy("x1", "y1", "x2", "y2").agg(F.min("road_uid").alias("road_uid")))  # equal edges are equally near
+    asked = points.where(g.valid_point(F.col("x"), F.col("y"))).select("point_idx", "x", "y")
+    todo = cut(asked.select("x", "y").distinct())  # a place is looked up once
     low, high = (lambda *cs: F.min(F.least(*cs))), (lambda *cs: F.max(F.greatest(*cs)))
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     of_edges = rows.agg(low("x1", "x2"), high("x1", "x2"), low("y1", "y2"), high("y1", "y2"), F.sum(length).alias("length"), F.percentile_approx(length, 0.5).alias("median")).first()
-    of_points = todo.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    of_points = todo.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1)).alias("places")).first()
     if of_edges[0] is None or of_points[0] is None:
         return points.sparkSession.createDataFrame([], _OUT)
-    side = side or _first_side(of_edges, of_edges)
+    side = side or _first_side(of_edges, of_points["places"], of_edges)
     extent = max(max(of_edges[k + 1], of_points[k + 1]) - min(of_edges[k], of_points[k]) for k in (0, 2))
     last = max(0, math.ceil(math.log2(max(extent / side, 1.0)) + 1e-9))  # there no cell is more than one off another
     index = cut(edge_index(rows, side, last + 1))
@@ -67,16 +70,16 @@ def nearest(points: DataFrame, roads: DataFrame, side: float | None = None) -> D
     def best(rows: DataFrame) -> DataFrame:
         placed = rows.withColumns({"cx": at("x"), "cy": at("y")})
         met = placed.join(index, ["level", "cx", "cy"]).withColumn("d2", g.point_edge_squared(F.col("x"), F.col("y"), {k: F.col(k) for k in ("x1", "y1", "x2", "y2")}))
-        found = met.groupBy("point_idx").agg(F.min(F.struct("d2", "road_uid")).alias("best"), F.first("x").alias("x"), F.first("y").alias("y"), F.first("level").alias("level"))
-        return found.select("point_idx", "x", "y", "level", F.col("best.road_uid").alias("road_uid"), F.col("best.d2").alias("d2"))
+        found = met.groupBy("x", "y", "level").agg(F.min(F.struct("d2", "road_uid")).alias("best"))
+        return found.select("x", "y", "level", F.col("best.road_uid").alias("road_uid"), F.col("best.d2").alias("d2"))
 
     seen = cut(best(todo.withColumns(cell).join(first, ["px", "py"]).drop("px", "py")))
     final = (F.col("level") == last) | (F.col("d2") < size(F.col("level")) * size(F.col("level")))
     wanted = F.floor(F.log2(F.sqrt("d2") / side)).cast("int") + 1
     wanted = F.when(size(wanted) * size(wanted) > F.col("d2"), wanted).otherwise(wanted + 1)
-    again = best(seen.where(~final).select("point_idx", "x", "y", F.least(wanted, F.lit(last)).alias("level")))
-    out = ["point_idx", "road_uid", "d2"]
-    return seen.where(final).select(*out).union(again.select(*out))
+    again = best(seen.where(~final).select("x", "y", F.least(wanted, F.lit(last)).alias("level")))
+    out = ["x", "y", "road_uid", "d2"]
+    return asked.join(seen.where(final).select(*out).union(again.select(*out)), ["x", "y"]).select("point_idx", "road_uid", "d2")
 
 
 def associate(points: DataFrame, roads: DataFrame, side: float | None = None) -> DataFrame:

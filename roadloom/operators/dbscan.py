@@ -9,9 +9,11 @@ Equal points on one road are one *site* with a weight. Sites of one road in one
 *clump*: all of them are neighbours, so
 
 * no pairs inside a clump are made: a clump of ``min_pts`` points has cores only, and its cores are connected;
-* neighbours are counted for the sites of small clumps only, which are fewer than ``min_pts`` each;
-* two large clumps are linked if their outermost cores are; pairs of clumps that this leaves in different
-  components, and whose boxes are within ``eps``, are cut into ever smaller cells (:mod:`roadloom.operators.closest`).
+* a clump that has ``min_pts`` points together with the clumps all of whose points are within ``eps`` of all of its own (by their boxes) has cores
+  only, too: it is *sure*. Neighbours are counted for the sites of other clumps only;
+* two sure clumps are linked if they are that near as a whole, or else if their outermost cores are; pairs of clumps that this leaves in different
+  components, and whose boxes are within ``eps``, are cut into ever smaller cells (:mod:`roadloom.operators.closest`). Each step looks only at what
+  the one before left in different components.
 
 So the work follows the number of points, also where a third of them stand within ``eps`` of each other.
 """
@@ -64,14 +66,24 @@ def _clumps(rows: DataFrame) -> DataFrame:
 
 
 def _clump_pairs(clumps: DataFrame, adjacent: DataFrame | None, eps: float) -> DataFrame:
-    """Pairs ``a < b`` of clumps with allowed roads whose boxes are at most ``eps`` apart. Without a graph all roads pair."""
+    """Pairs ``a < b`` of clumps with allowed roads whose boxes are at most ``eps`` apart, ``whole`` if all of their points are. Without a graph all roads pair."""
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)))
     around = clumps.drop("points", "outer").withColumn("step", F.explode(steps)).withColumns({"cx": F.col("cx") + F.col("step.i"), "cy": F.col("cy") + F.col("step.j")})
     p, q = around.alias("p"), clumps.drop("points", "outer").alias("q")
     gap = lambda k: F.greatest(F.lit(0.0), F.col(f"p.{k}1") - F.col(f"q.{k}2"), F.col(f"q.{k}1") - F.col(f"p.{k}2"))
     near = (F.col("p.cx") == F.col("q.cx")) & (F.col("p.cy") == F.col("q.cy")) & (F.col("p.clump") < F.col("q.clump")) & (gap("x") * gap("x") + gap("y") * gap("y") <= eps * eps)
-    pairs = p.join(q, near).select(F.col("p.clump").alias("a"), F.col("q.clump").alias("b"), F.col("p.road_uid").alias("uid_a"), F.col("q.road_uid").alias("uid_b"))
-    return (pairs if adjacent is None else allowed_pairs(pairs, adjacent, "uid_a", "uid_b")).select("a", "b")
+    span = lambda k: F.greatest(F.abs(F.col(f"p.{k}2") - F.col(f"q.{k}1")), F.abs(F.col(f"q.{k}2") - F.col(f"p.{k}1")))
+    whole = span("x") * span("x") + span("y") * span("y") <= eps * eps
+    pairs = p.join(q, near).select(F.col("p.clump").alias("a"), F.col("q.clump").alias("b"), F.col("p.road_uid").alias("uid_a"), F.col("q.road_uid").alias("uid_b"), whole.alias("whole"))
+    return (pairs if adjacent is None else allowed_pairs(pairs, adjacent, "uid_a", "uid_b")).select("a", "b", "whole")
+
+
+def _joined(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """Components ``parts`` after links ``more`` (``a, b``) between components, and between nodes that are in none."""
+    up = cut(connected_components(more))
+    root = up.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    moved = parts.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return cut(moved.union(up.join(parts.select("node"), "node", "left_anti").select("node", "component")))
 
 
 def site_labels(held: DataFrame, adjacent: DataFrame | None, eps: float, min_pts: int) -> DataFrame:
@@ -80,34 +92,46 @@ def site_labels(held: DataFrame, adjacent: DataFrame | None, eps: float, min_pts
     cell = lambda c: F.floor(F.col(c) / side).cast("long")
     rows = held.withColumns({"cx": cell("x"), "cy": cell("y")})
     clumps = cut(_clumps(rows))
-    rows = cut(rows.join(clumps.select("cx", "cy", "road_uid", "clump", "points"), ["cx", "cy", "road_uid"]).drop("cx", "cy", "road_uid"))
-    pairs = cut(_clump_pairs(clumps, adjacent, eps))
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(clumps.select(F.col("clump").alias("a"), F.col("clump").alias("b")))
-    # neighbours of the sites of small clumps: fewer than min_pts sites each
-    few = rows.where(F.col("points") < min_pts).select("site", "clump", "weight", "x", "y")
+    pairs = cut(_clump_pairs(clumps.drop("outer"), adjacent, eps))
+    turned = lambda held: held.select("a", "b").union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    around = turned(pairs.where("whole")).join(clumps.select(F.col("clump").alias("b"), "points"), "b").groupBy(F.col("a").alias("clump")).agg(F.sum("points").alias("around"))
+    clumps = cut(clumps.join(around, "clump", "left").withColumn("sure", F.col("points") + F.coalesce("around", F.lit(0)) >= min_pts).drop("points", "around"))
+    rows = cut(rows.join(clumps.select("cx", "cy", "road_uid", "clump", "sure"), ["cx", "cy", "road_uid"]).drop("cx", "cy", "road_uid"))
+    unsure = cut(clumps.where("not sure").select("clump"))
+    # neighbours of the sites of clumps that aren't sure
+    few = rows.where("not sure").select("site", "clump", "weight", "x", "y")
+    both = turned(pairs).union(unsure.select(F.col("clump").alias("a"), F.col("clump").alias("b"))).join(unsure.select(F.col("clump").alias("a")), "a", "left_semi")
     other = rows.select(F.col("clump").alias("b"), F.col("site").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("weight").alias("weight2"))
     near = (F.col("site") != F.col("other")) & (g.squared(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")) <= eps * eps)
     met = cut(few.join(both, few["clump"] == both["a"]).join(other, "b").where(near).select("site", "clump", "other", F.col("b").alias("other_clump"), "weight2"))
     degree = met.groupBy("site").agg(F.sum("weight2").alias("degree"))
-    is_core = (F.col("points") >= min_pts) | (F.coalesce("degree", F.lit(0)) + F.col("weight") - 1 >= min_pts - 1)
+    is_core = F.col("sure") | (F.coalesce("degree", F.lit(0)) + F.col("weight") - 1 >= min_pts - 1)
     rows = cut(rows.join(degree, "site", "left").withColumn("core", is_core).drop("degree", "weight"))
     cores = rows.where("core")
     core_sites = cores.select(F.col("site").alias("other"))
-    touching = met.join(core_sites, "other", "left_semi")
-    links = touching.join(cores.select("site"), "site", "left_semi").select(F.col("clump").alias("a"), F.col("other_clump").alias("b"))
-    # large clumps: their outermost cores first, then what is still apart
-    large = clumps.where(F.col("points") >= min_pts)
-    ends = lambda k: large.select(F.col("clump").alias(k), F.col("outer").alias(f"outer_{k}"))
-    wide = pairs.join(ends("a"), "a").join(ends("b"), "b")
-    close = lambda p, q: g.squared(p["x"], p["y"], q["x"], q["y"]) <= eps * eps
-    wide = cut(wide.select("a", "b", F.exists("outer_a", lambda p: F.exists("outer_b", lambda q: close(p, q))).alias("linked")))
-    links = links.union(wide.where("linked").select("a", "b")).where("a <> b")
-    parts = connected_components(links)
-    of = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"component_{k}"))
-    apart = wide.where("not linked").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = cut(apart.where(F.coalesce("component_a", F.col("a")) != F.coalesce("component_b", F.col("b"))).select("a", "b"))
-    if not apart.isEmpty():
-        parts = connected_components(links.union(touching(apart, cores.select(F.col("clump").alias("group"), "x", "y"), eps, side)))
+    linked_sites = met.join(core_sites, "other", "left_semi").join(cores.select("site"), "site", "left_semi")
+    links = linked_sites.select(F.col("clump").alias("a"), F.col("other_clump").alias("b")).where("a <> b")
+    # sure clumps: those near as a whole first, then by their outermost cores, then what is still apart
+    sure = pairs.join(unsure.select(F.col("clump").alias("a")), "a", "left_anti").join(unsure.select(F.col("clump").alias("b")), "b", "left_anti")
+    parts = cut(connected_components(links.union(sure.where("whole").select("a", "b"))))
+
+    def apart(held: DataFrame) -> DataFrame:
+        """Pairs of clumps in different components, and these."""
+        of = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"part_{k}"))
+        named = held.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return cut(named.select("a", "b", F.coalesce("part_a", "a").alias("part_a"), F.coalesce("part_b", "b").alias("part_b")).where("part_a <> part_b"))
+
+    left = apart(sure.where("not whole"))
+    if not left.isEmpty():
+        ends = lambda k: clumps.where("sure").select(F.col("clump").alias(k), F.col("outer").alias(f"outer_{k}"))
+        close = lambda p, q: g.squared(p["x"], p["y"], q["x"], q["y"]) <= eps * eps
+        linked = F.exists("outer_a", lambda p: F.exists("outer_b", lambda q: close(p, q)))
+        wide = cut(left.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "part_a", "part_b", linked.alias("linked")))
+        parts = _joined(parts, wide.where("linked").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
+        left = apart(wide.where("not linked"))
+        if not left.isEmpty():
+            found = touching(left, cores.select(F.col("clump").alias("group"), "x", "y"), eps, side)
+            parts = _joined(parts, left.join(found, ["a", "b"], "left_semi").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
     cores = cores.join(parts.withColumnRenamed("node", "clump"), "clump", "left").withColumn("component", F.coalesce("component", F.col("clump"))).select("site", "component")
     first = cores.groupBy("component").agg(F.min("site").alias("least"))
     numbered = dense_index(first, ["least"], "cluster", 1).select("component", "cluster")

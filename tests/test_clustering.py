@@ -379,3 +379,37 @@ def test_hulls_of_large_and_odd_clusters(spark):
     assert set(found) == {1, 2, 3} and abs(found[1]["area"] / (3.14159265 * 1e6) - 1) < 0.002
     assert len(found[2]["ring"]) == len(found[3]["ring"]) == 5001 and abs(found[2]["area"] - 1.5708) < 1e-3
     assert summarize.outermost(every.select("cluster", "x", "y")).where("cluster = 1").count() < 30_000
+
+
+def test_roads_of_one_geometry_are_compared_once(spark, monkeypatch):
+    lines = [[[(0.0, 0.0), (10.0, 0.0)]], [[(5.0, -5.0), (5.0, 5.0)]], [[(0.0, 9.0), (10.0, 9.0)]]]
+    many = [(3 * n + k, line) for n in range(700) for k, line in enumerate(lines)]
+    table = spark.createDataFrame(many, f"road_uid long, parts {PARTS}")
+    seen = []
+    monkeypatch.setattr(roads, "leaves", lambda rows, *a, f=roads.leaves: (seen.append(rows.count()), f(rows, *a))[1])
+    want = {(a, b) for a in range(2100) for b in range(a + 1, 2100) if a % 3 == b % 3 or {a % 3, b % 3} == {0, 1}}
+    pairs = roads.intersections(table)
+    assert pairs.count() == len(want) and {tuple(r) for r in pairs.collect()} == want
+    assert roads.adjacency(pairs, distinct=False).count() == 2 * len(want)
+    assert seen == [3]
+
+
+def test_nearest_looks_at_equal_edges_and_places_once(spark, monkeypatch):
+    many = spark.createDataFrame([(n, [[(0.0, 0.0), (10.0, 0.0)]]) for n in range(50, 0, -1)], f"road_uid long, parts {PARTS}")
+    points = spark.createDataFrame([(n, float(n % 4), 2.0) for n in range(100)], "point_idx long, x double, y double")
+    seen = []
+    monkeypatch.setattr(associate, "edge_index", lambda rows, *a, f=associate.edge_index: (seen.append(rows.count()), f(rows, *a))[1])
+    assert {tuple(r) for r in associate.nearest(points, many).collect()} == {(n, 1, 4.0) for n in range(100)}
+    assert seen == [1]
+
+
+def test_thin_clumps_in_a_crowd_are_not_compared_point_by_point(spark, monkeypatch):
+    rng = random.Random(5)
+    placed = [(n, rng.uniform(0, 300), rng.uniform(0, 300), rng.randrange(60)) for n in range(1500)]  # about one point of a road in a cell
+    adjacent = spark.createDataFrame([(a, b) for a in range(60) for b in range(60) if a != b], "uid_a long, uid_b long")
+    points = spark.createDataFrame(placed, "point_idx long, x double, y double, road_uid long")
+    sizes = []
+    monkeypatch.setattr(dbscan, "cut", lambda rows, f=dbscan.cut: (held := f(rows), sizes.append(held.count() if "other_clump" in held.columns else 0))[0])
+    got = {r["point_idx"]: r["cluster"] for r in dbscan.cluster(points, adjacent, 60.0, 5).collect()}
+    assert set(got.values()) == {1} and len(got) == 1500
+    assert max(sizes) < 1500
