@@ -9,7 +9,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from roadloom import demo
+from roadloom import demo, queries
 from roadloom.functions import crs
 from roadloom.functions.geometry import PARTS, from_wkb
 from roadloom.functions import sql as sql_functions
@@ -253,6 +253,12 @@ def test_map_of_more_points_than_a_page_holds(spark, monkeypatch):
     assert {r["n"] for r in levels} == {3000} and len(levels) == layers.HIGHEST - layers.LOWEST + 1
 
 
+def test_guards_count_points_in_cells_too(spark, monkeypatch):
+    monkeypatch.setattr(html, "LIMIT", 50)
+    got = {r["guard"]: (r["points"], r["heat"]) for r in queries.map_guards(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {"no labels": (0, 0), "no points": (0, 0), "not a number": (0, 0), "all": (112, 150)}
+
+
 def test_ring_cells_and_functions_in_text(spark):
     sql_functions.register(spark)
     for r in range(4):
