@@ -7,7 +7,7 @@ either direction; attention weighs the states, and a text's score is that of its
 ``STRIDE`` words, and one ends with the text, so neighbours share all words but ``STRIDE`` and every run of up to
 ``WINDOW - STRIDE + 1`` words stands whole in a window, wherever it is in the text.
 
-Training is plain numpy on the driver, on a bounded sample of labelled rows: ``SAMPLE`` rows of each label, the
+Training is plain numpy in one task, on a bounded sample of labelled rows: ``SAMPLE`` rows of each label, the
 least by a hash of the id among texts of at most ``SAMPLE_BYTES``, ``SAMPLE_TOTAL`` bytes in all. Only the fit has these bounds; scoring covers all rows
 and whole texts. As a label marks a text and not a window, each epoch trains on the window of each text that the
 network scores highest (of those that start every ``FIT_STRIDE`` words). One dimension of either table starts as the smoothed log-odds of a word or 4-gram.
@@ -21,6 +21,7 @@ an empty result; other columns are ignored by ``score`` and kept by ``reject``.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from roadloom.llm.columnar import ALNUM, Words, blocks
-from roadloom.session import cut
+from roadloom.session import cut, ship
 
 WINDOW, STRIDE, FIT_STRIDE = 32, 8, 16
 SAMPLE, SAMPLE_BYTES, SAMPLE_TOTAL = 2500, 60_000, 32_000_000
@@ -351,14 +352,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model of the sample, trained in one task: the driver holds neither the texts nor their words."""
+    ship(docs.sparkSession)
     sample, share = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE, SAMPLE_BYTES, SAMPLE_TOTAL)
-    held = sample.toArrow()  # SAMPLE_TOTAL bytes of text at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # one partition, as it is limited: SAMPLE_TOTAL bytes of text at most
+        if held:
+            yield pa.record_batch([pa.array([pickle.dumps(_fitted(pa.Table.from_batches(held), share))], pa.binary())], ["model"])
+
+    rows = sample.mapInArrow(run, "model binary").collect()
+    return pickle.loads(rows[0]["model"]) if rows else Model(share)
+
+
+def _fitted(held: pa.Table, share: float) -> Model:
     y = held.column("y").to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return Model(share)
-    block = Block.joined(held.column("text"))
-    del held
-    net, slope, intercept, lowest = train(block, y)
+    net, slope, intercept, lowest = train(Block.joined(held.column("text")), y)
     return Model(share, net, slope, intercept + prior_shift(share, y), lowest)
 
 

@@ -163,3 +163,15 @@ def test_slabs_change_no_logit(monkeypatch):
     monkeypatch.setattr(toxicity, "SLAB", 7)
     monkeypatch.setattr(toxicity, "CHUNK", 3)
     assert np.allclose(whole, net.logits(block, start, row), atol=1e-6)
+
+
+def test_the_driver_trains_nothing(shipped, monkeypatch):
+    docs, labels = (shipped.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    sample, share = toxicity.labelled_sample(docs, labels, "toxic", toxicity.FOLDS, toxicity.HELD_OUT, toxicity.SAMPLE, toxicity.SAMPLE_BYTES, toxicity.SAMPLE_TOTAL)
+    want = toxicity._fitted(sample.toArrow(), share)
+    here = []
+    monkeypatch.setattr(toxicity, "train", lambda *a, **k: here.append(1))
+    monkeypatch.setattr(toxicity.Block, "joined", lambda *a: here.append(1))
+    model = toxicity.fit(docs, labels)
+    assert not here and (model.slope, model.intercept, model.lowest) == pytest.approx((want.slope, want.intercept, want.lowest), rel=1e-3)
+    assert all(np.allclose(model.net.p[k], want.net.p[k], atol=1e-3) for k in want.net.p)
