@@ -413,3 +413,29 @@ def test_thin_clumps_in_a_crowd_are_not_compared_point_by_point(spark, monkeypat
     got = {r["point_idx"]: r["cluster"] for r in dbscan.cluster(points, adjacent, 60.0, 5).collect()}
     assert set(got.values()) == {1} and len(got) == 1500
     assert max(sizes) < 1500
+
+
+def test_dense_clumps_on_meeting_roads_need_no_pairs(spark, monkeypatch):
+    """Twenty roads each way cross in every cell; all clumps are joined by the roads that meet, so no pairs of others are looked at."""
+    lines = [(2 * k, [[(0.0, 2.0 * k), (100.0, 2.0 * k)]]) for k in range(20)] + [(2 * k + 1, [[(2.0 * k, 0.0), (2.0 * k, 100.0)]]) for k in range(20)]
+    table = spark.createDataFrame(lines, "road_uid long, parts array<array<struct<x: double, y: double>>>")
+    adjacent = roads.adjacency(roads.intersections(table)).localCheckpoint()
+    rows = [(100 * uid + 10 * k + j, x + (5.0 * k if uid % 2 == 0 else 0.0), y + (5.0 * k if uid % 2 else 0.0), uid) for uid, [[(x, y), _]] in lines for k in range(8) for j in range(5)]
+    points = spark.createDataFrame(rows, "point_idx long, x double, y double, road_uid long")
+    seen, real = [], dbscan.allowed_pairs
+    monkeypatch.setattr(dbscan, "allowed_pairs", lambda pairs, *rest: (seen.append(pairs.count()), real(pairs, *rest))[1])
+    got = dbscan.cluster(points, adjacent, 30.0, 5).groupBy("cluster", "core").count().collect()
+    assert [tuple(r) for r in got] == [(1, True, len(rows))]
+    assert sum(seen) == 0
+
+
+def test_places_that_are_not_sent_find_the_same_roads(spark, monkeypatch):
+    table = spark.createDataFrame([(k, [[(10.0 * k, 0.0), (10.0 * k, 5.0)]]) for k in range(9)], "road_uid long, parts array<array<struct<x: double, y: double>>>")
+    points = spark.createDataFrame([(k, float(k * k), float(k % 7 * 40)) for k in range(60)], "point_idx long, x double, y double")
+    answers = []
+    for most in (associate.SENT, 0):
+        monkeypatch.setattr(associate, "SENT", most)
+        answers.append({r["point_idx"]: (r["road_uid"], r["dist_to_road"]) for r in associate.associate(points, table, 4.0).collect()})
+    want = {r["point_idx"]: min((((r["x"] - 10 * k) ** 2 + max(0.0, r["y"] - 5) ** 2) ** 0.5, k) for k in range(9)) for r in points.collect()}
+    assert answers[0] == answers[1] and {k: v[0] for k, v in answers[0].items()} == {k: v[1] for k, v in want.items()}
+    assert {k: v[1] for k, v in answers[0].items()} == pytest.approx({k: v[0] for k, v in want.items()})
