@@ -11,16 +11,17 @@ Equal points on one road are one *site* with a weight. Sites of one road in one
 * no pairs inside a clump are made: a clump of ``min_pts`` points has cores only, and its cores are connected;
 * a clump that has ``min_pts`` points together with the clumps all of whose points are within ``eps`` of all of its own (by their boxes) has cores
   only, too: it is *sure*. Neighbours are counted for the sites of other clumps only;
+* clumps of one cell whose roads meet are compared first, and only those that this doesn't make sure look at all clumps around them;
 * two sure clumps are linked if they are that near as a whole, or else if their outermost cores are; pairs of clumps that this leaves in different
   components, and whose boxes are within ``eps``, are cut into ever smaller cells (:mod:`roadloom.operators.closest`). Each step looks only at what
-  the one before left in different components.
+  the one before left in different components: clumps of one cell whose roads meet and of one road go first, and elsewhere pairs are made only of clumps in different ones.
 
 So the work follows the number of points, also where a third of them stand within ``eps`` of each other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions import geometry as g
@@ -65,19 +66,37 @@ def _clumps(rows: DataFrame) -> DataFrame:
     return held.withColumn("outer", F.array_distinct("outer"))
 
 
-def _clump_pairs(clumps: DataFrame, adjacent: DataFrame | None, eps: float) -> DataFrame:
-    """Pairs ``a < b`` of clumps with allowed roads whose boxes are at most ``eps`` apart, ``whole`` if all of their points are. Without a graph all roads pair."""
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)))
-    around = clumps.drop("points", "outer").withColumn("step", F.explode(steps)).withColumns({"cx": F.col("cx") + F.col("step.i"), "cy": F.col("cy") + F.col("step.j")})
-    p, q = around.alias("p"), clumps.drop("points", "outer").alias("q")
+#: Offsets of the cells that hold clumps within ``eps``; ``HALF`` has one of each two opposite ones.
+AROUND = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
+HALF = [s for s in AROUND if s > (0, 0)]
+
+
+def _near(clumps: DataFrame, others: DataFrame, eps: float, steps: list[tuple[int, int]], when: Column) -> DataFrame:
+    """``a < b`` of a row ``p`` of ``clumps`` and ``q`` of ``others``, ``steps`` away, whose boxes are at most ``eps`` apart, their roads, and ``whole`` if all of their points are."""
+    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps))
+    around = clumps.withColumn("step", F.explode(offsets)).withColumns({"cx": F.col("cx") + F.col("step.i"), "cy": F.col("cy") + F.col("step.j")})
+    p, q = around.alias("p"), others.alias("q")
     gap = lambda k: F.greatest(F.lit(0.0), F.col(f"p.{k}1") - F.col(f"q.{k}2"), F.col(f"q.{k}1") - F.col(f"p.{k}2"))
-    near = (F.col("p.cx") == F.col("q.cx")) & (F.col("p.cy") == F.col("q.cy")) & (F.col("p.clump") < F.col("q.clump")) & (gap("x") * gap("x") + gap("y") * gap("y") <= eps * eps)
+    near = (F.col("p.cx") == F.col("q.cx")) & (F.col("p.cy") == F.col("q.cy")) & when & (gap("x") * gap("x") + gap("y") * gap("y") <= eps * eps)
     span = lambda k: F.greatest(F.abs(F.col(f"p.{k}2") - F.col(f"q.{k}1")), F.abs(F.col(f"q.{k}2") - F.col(f"p.{k}1")))
     whole = span("x") * span("x") + span("y") * span("y") <= eps * eps
-    pairs = p.join(q, near).select(F.col("p.clump").alias("a"), F.col("q.clump").alias("b"), F.col("p.road_uid").alias("uid_a"), F.col("q.road_uid").alias("uid_b"), whole.alias("whole"))
+    ordered = lambda k, a, b: (F.least(f"p.{k}", f"q.{k}").alias(a), F.greatest(f"p.{k}", f"q.{k}").alias(b))
+    return p.join(q, near).select(*ordered("clump", "a", "b"), *ordered("road_uid", "uid_a", "uid_b"), whole.alias("whole"))
+
+
+def _allowed(pairs: DataFrame, adjacent: DataFrame | None) -> DataFrame:
+    """The pairs whose roads may hold neighbours, without these. Without a graph all roads pair."""
     return (pairs if adjacent is None else allowed_pairs(pairs, adjacent, "uid_a", "uid_b")).select("a", "b", "whole")
 
 
+def _facing(clumps: DataFrame) -> DataFrame:
+    """The ``clumps`` (with their ``part``) around whose cells there are several parts."""
+    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in AROUND))
+    seen = clumps.groupBy("cx", "cy").agg(F.min("part").alias("low"), F.max("part").alias("high")).withColumn("step", F.explode(offsets))
+    seen = seen.groupBy((F.col("cx") + F.col("step.i")).alias("cx"), (F.col("cy") + F.col("step.j")).alias("cy")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return clumps.join(seen.where("low < high").select("cx", "cy"), ["cx", "cy"], "left_semi")
+
+
 def _joined(parts: DataFrame, more: DataFrame) -> DataFrame:
     """Components ``parts`` after links ``more`` (``a, b``) between components, and between nodes that are in none."""
     up = cut(connected_components(more))
@@ -92,10 +111,24 @@ def site_labels(held: DataFrame, adjacent: DataFrame | None, eps: float, min_pts
     cell = lambda c: F.floor(F.col(c) / side).cast("long")
     rows = held.withColumns({"cx": cell("x"), "cy": cell("y")})
     clumps = cut(_clumps(rows))
-    pairs = cut(_clump_pairs(clumps.drop("outer"), adjacent, eps))
+    boxes = ["clump", "cx", "cy", "road_uid", "x1", "x2", "y1", "y2"]
+    first = F.col("p.clump") < F.col("q.clump")
     turned = lambda held: held.select("a", "b").union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = turned(pairs.where("whole")).join(clumps.select(F.col("clump").alias("b"), "points"), "b").groupBy(F.col("a").alias("clump")).agg(F.sum("points").alias("around"))
-    clumps = cut(clumps.join(around, "clump", "left").withColumn("sure", F.col("points") + F.coalesce("around", F.lit(0)) >= min_pts).drop("points", "around"))
+    points_of = clumps.select(F.col("clump").alias("b"), "points")
+
+    def counted(held: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Whether clumps are ``sure`` by their own points and those of the clumps that ``pairs`` have near as a whole."""
+        around = turned(pairs.where("whole")).join(points_of, "b").groupBy(F.col("a").alias("clump")).agg(F.sum("points").alias("around"))
+        return cut(held.join(around, "clump", "left").withColumn("sure", F.col("points") + F.coalesce("around", F.lit(0)) >= min_pts).drop("around"))
+
+    # clumps of one cell whose roads meet first; what these don't make sure looks at all clumps around it
+    direct = _near(clumps.select(boxes), clumps.select(boxes), eps, [(0, 0)], first)
+    direct = direct if adjacent is None else direct.join(adjacent.select("uid_a", "uid_b"), ["uid_a", "uid_b"], "left_semi")
+    direct = cut(direct.select("a", "b", "whole"))
+    clumps = counted(clumps, direct)
+    once = F.col("q.sure") | first
+    pairs = cut(_allowed(_near(clumps.where("not sure").select(boxes), clumps.select(*boxes, "sure"), eps, AROUND, once), adjacent))
+    clumps = counted(clumps.withColumnRenamed("sure", "_sure"), pairs).withColumn("sure", F.col("_sure") | F.col("sure")).drop("_sure")
     rows = cut(rows.join(clumps.select("cx", "cy", "road_uid", "clump", "sure"), ["cx", "cy", "road_uid"]).drop("cx", "cy", "road_uid"))
     unsure = cut(clumps.where("not sure").select("clump"))
     # neighbours of the sites of clumps that aren't sure
@@ -111,27 +144,34 @@ def site_labels(held: DataFrame, adjacent: DataFrame | None, eps: float, min_pts
     core_sites = cores.select(F.col("site").alias("other"))
     linked_sites = met.join(core_sites, "other", "left_semi").join(cores.select("site"), "site", "left_semi")
     links = linked_sites.select(F.col("clump").alias("a"), F.col("other_clump").alias("b")).where("a <> b")
-    # sure clumps: those near as a whole first, then by their outermost cores, then what is still apart
-    sure = pairs.join(unsure.select(F.col("clump").alias("a")), "a", "left_anti").join(unsure.select(F.col("clump").alias("b")), "b", "left_anti")
-    parts = cut(connected_components(links.union(sure.where("whole").select("a", "b"))))
+    # sure clumps: those near as a whole in one cell, or on one road, first; then the others that are still apart, then by their outermost cores
+    sure = direct.union(pairs).where("whole").join(unsure.select(F.col("clump").alias("a")), "a", "left_anti").join(unsure.select(F.col("clump").alias("b")), "b", "left_anti").select("a", "b")
+    steady = clumps.where("sure").select(boxes)
+    along = _near(steady, steady, eps, HALF, F.col("p.road_uid") == F.col("q.road_uid")).where("whole").select("a", "b")
+    parts = cut(connected_components(links.union(sure).union(along)))
 
     def apart(held: DataFrame) -> DataFrame:
         """Pairs of clumps in different components, and these."""
         of = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"part_{k}"))
-        named = held.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return cut(named.select("a", "b", F.coalesce("part_a", "a").alias("part_a"), F.coalesce("part_b", "b").alias("part_b")).where("part_a <> part_b"))
-
-    left = apart(sure.where("not whole"))
-    if not left.isEmpty():
-        ends = lambda k: clumps.where("sure").select(F.col("clump").alias(k), F.col("outer").alias(f"outer_{k}"))
-        close = lambda p, q: g.squared(p["x"], p["y"], q["x"], q["y"]) <= eps * eps
-        linked = F.exists("outer_a", lambda p: F.exists("outer_b", lambda q: close(p, q)))
-        wide = cut(left.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "part_a", "part_b", linked.alias("linked")))
-        parts = _joined(parts, wide.where("linked").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
-        left = apart(wide.where("not linked"))
+        named = held.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"part_a": F.coalesce("part_a", "a"), "part_b": F.coalesce("part_b", "b")})
+        return cut(named.where("part_a <> part_b"))
+
+    part = F.coalesce("component", "clump").alias("part")
+    facing = cut(_facing(steady.join(parts.withColumnRenamed("node", "clump"), "clump", "left").select(*boxes, part)))
+    if not facing.isEmpty():
+        left = apart(_allowed(_near(facing, facing, eps, [(0, 0), *HALF], F.col("p.part") != F.col("q.part")), adjacent).distinct())
+        parts = _joined(parts, left.where("whole").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
+        left = apart(left.where("not whole").select("a", "b"))
         if not left.isEmpty():
-            found = touching(left, cores.select(F.col("clump").alias("group"), "x", "y"), eps, side)
-            parts = _joined(parts, left.join(found, ["a", "b"], "left_semi").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
+            ends = lambda k: clumps.where("sure").select(F.col("clump").alias(k), F.col("outer").alias(f"outer_{k}"))
+            close = lambda p, q: g.squared(p["x"], p["y"], q["x"], q["y"]) <= eps * eps
+            linked = F.exists("outer_a", lambda p: F.exists("outer_b", lambda q: close(p, q)))
+            wide = cut(left.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "part_a", "part_b", linked.alias("linked")))
+            parts = _joined(parts, wide.where("linked").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
+            left = apart(wide.where("not linked").select("a", "b"))
+            if not left.isEmpty():
+                found = touching(left, cores.select(F.col("clump").alias("group"), "x", "y"), eps, side)
+                parts = _joined(parts, left.join(found, ["a", "b"], "left_semi").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
     cores = cores.join(parts.withColumnRenamed("node", "clump"), "clump", "left").withColumn("component", F.coalesce("component", F.col("clump"))).select("site", "component")
     first = cores.groupBy("component").agg(F.min("site").alias("least"))
     numbered = dense_index(first, ["least"], "cluster", 1).select("component", "cluster")

@@ -253,6 +253,7 @@ def linked_pairs(both: DataFrame, adjacent: DataFrame, heavy_from: int = HEAVY)
 
 def allowed_pairs(pairs: DataFrame, adjacent: DataFrame, a: str, b: str) -> DataFrame:
     """Rows of ``pairs`` whose roads ``a`` and ``b`` may hold neighbours: each distinct pair of roads is tested once (:func:`linked_pairs`)."""
-    apart = pairs.where(F.col(a) != F.col(b))
-    linked = linked_pairs(apart.select(F.col(a).alias("uid_p"), F.col(b).alias("uid_q")).distinct(), adjacent)
-    return pairs.where(F.col(a) == F.col(b)).union(apart.join(linked, (F.col(a) == F.col("uid_p")) & (F.col(b) == F.col("uid_q")), "left_semi"))
+    both = cut(pairs.where(F.col(a) != F.col(b)).select(F.col(a).alias("uid_p"), F.col(b).alias("uid_q")).distinct())
+    linked = linked_pairs(both, adjacent).withColumn("_linked", F.lit(True))
+    named = pairs.join(linked, (F.col(a) == F.col("uid_p")) & (F.col(b) == F.col("uid_q")), "left")
+    return named.where((F.col(a) == F.col(b)) | F.col("_linked")).select(pairs.columns)
