@@ -66,32 +66,55 @@ def register(spark: SparkSession) -> None:
 def nearest_text(points: str, edges: str, side: float, levels: int) -> str:
     """The statement that finds the nearest road of each row of ``points`` (``point_idx, x, y``) in ``edges`` (``road_uid, x1, y1, x2, y2``).
 
-    Cells of ``side``, doubled at each level, as in :mod:`roadloom.operators.associate`: what lies in the cells around a point at the first
-    level that has anything there is under three sides away, so the cells around it two levels up hold all that can be nearer.
+    Cells of ``side``, doubled at each level, as in :mod:`roadloom.operators.associate`: what lies in the cells around a place at the first
+    level that has anything there is under three sides away, so the cells around it two levels up hold all that can be nearer. Equal edges and
+    equal places are looked at once; an edge stands in the cells that its line crosses, not in those of its box.
     """
     size, last = f"({float(side)!r}D * pow(2D, level))", levels - 1
     cell = lambda c: f"CAST(floor({c} / {size}) AS BIGINT)"
-    return f"""WITH reg AS (SELECT *, explode(sequence({cell("least(y1, y2)")}, {cell("greatest(y1, y2)")})) AS cy FROM (
+    # an edge's part in the column ``cx`` of cells, a little more
+    bound = lambda c: f"least(greatest({c}, least(x1, x2)), greatest(x1, x2))"
+    on = lambda c: f"(CASE WHEN x1 = x2 THEN y1 ELSE y1 + ({bound(c)} - x1) * (y2 - y1) / (x2 - x1) END)"
+    left, right = on(f"(cx * {size} - {size} * 1e-9D)"), on(f"((cx + 1) * {size} + {size} * 1e-9D)")
+    low = f"CASE WHEN x1 = x2 THEN least(y1, y2) ELSE greatest(least(y1, y2), least({left}, {right}) - {size} * 1e-9D) END"
+    high = f"CASE WHEN x1 = x2 THEN greatest(y1, y2) ELSE least(greatest(y1, y2), greatest({left}, {right}) + {size} * 1e-9D) END"
+    return f"""WITH lines AS (SELECT x1, y1, x2, y2, min(road_uid) AS road_uid FROM {edges} GROUP BY x1, y1, x2, y2),
+        places AS (SELECT DISTINCT x, y FROM {points}),
+        reg AS (SELECT *, explode(sequence({cell(low)}, {cell(high)})) AS cy FROM (
             SELECT *, explode(sequence({cell("least(x1, x2)")}, {cell("greatest(x1, x2)")})) AS cx FROM (
-                SELECT road_uid, x1, y1, x2, y2, explode(sequence(0, {last})) AS level FROM {edges}))),
+                SELECT road_uid, x1, y1, x2, y2, explode(sequence(0, {last})) AS level FROM lines))),
+        held AS (SELECT DISTINCT level, cx, cy FROM reg),
         own AS (SELECT px, py, level, CAST(floor(px / pow(2D, level)) AS BIGINT) AS ux, CAST(floor(py / pow(2D, level)) AS BIGINT) AS uy FROM (
-            SELECT px, py, explode(sequence(0, {last})) AS level FROM (SELECT DISTINCT CAST(floor(x / {float(side)!r}D) AS BIGINT) AS px, CAST(floor(y / {float(side)!r}D) AS BIGINT) AS py FROM {points}))),
-        cells AS (SELECT DISTINCT level, ux, uy FROM own),
-        around AS (SELECT c.level, c.ux, c.uy, r.cx, r.cy FROM cells c, LATERAL ring_cells(c.ux, c.uy, 0) r UNION ALL SELECT c.level, c.ux, c.uy, r.cx, r.cy FROM cells c, LATERAL ring_cells(c.ux, c.uy, 1) r),
-        taken AS (SELECT DISTINCT a.level, a.ux, a.uy FROM around a LEFT SEMI JOIN reg ON a.level = reg.level AND a.cx = reg.cx AND a.cy = reg.cy),
+            SELECT px, py, explode(sequence(0, {last})) AS level FROM (SELECT DISTINCT CAST(floor(x / {float(side)!r}D) AS BIGINT) AS px, CAST(floor(y / {float(side)!r}D) AS BIGINT) AS py FROM places))),
+        ring AS (SELECT r.cx AS i, r.cy AS j FROM (SELECT explode(array(0, 1)) AS r) o, LATERAL ring_cells(0, 0, o.r) r),
+        taken AS (SELECT DISTINCT level, cx + i AS ux, cy + j AS uy FROM held CROSS JOIN ring),
         first AS (SELECT px, py, least(min(level) + 2, {last}) AS level FROM own JOIN taken USING (level, ux, uy) GROUP BY px, py),
-        asked AS (SELECT p.point_idx, p.x, p.y, f.level, CAST(floor(px / pow(2D, f.level)) AS BIGINT) AS ux, CAST(floor(py / pow(2D, f.level)) AS BIGINT) AS uy
-            FROM {points} p JOIN first f ON CAST(floor(p.x / {float(side)!r}D) AS BIGINT) = f.px AND CAST(floor(p.y / {float(side)!r}D) AS BIGINT) = f.py),
-        met AS (SELECT a.point_idx, reg.road_uid, road_point_edge(a.x, a.y, reg.x1, reg.y1, reg.x2, reg.y2) AS far
-            FROM asked a JOIN around r ON a.level = r.level AND a.ux = r.ux AND a.uy = r.uy JOIN reg ON r.level = reg.level AND r.cx = reg.cx AND r.cy = reg.cy)
-        SELECT point_idx, best.road_uid AS road_uid, best.far AS dist_to_road FROM (SELECT point_idx, min(struct(far, road_uid)) AS best FROM met GROUP BY point_idx)"""
+        asked AS (SELECT p.x, p.y, f.level, CAST(floor(px / pow(2D, f.level)) AS BIGINT) AS ux, CAST(floor(py / pow(2D, f.level)) AS BIGINT) AS uy
+            FROM places p JOIN first f ON CAST(floor(p.x / {float(side)!r}D) AS BIGINT) = f.px AND CAST(floor(p.y / {float(side)!r}D) AS BIGINT) = f.py),
+        wanted AS (SELECT DISTINCT level, ux, uy FROM asked),
+        near AS (SELECT DISTINCT w.level, w.ux, w.uy, reg.road_uid, reg.x1, reg.y1, reg.x2, reg.y2 FROM (SELECT level, ux, uy, ux + i AS cx, uy + j AS cy FROM wanted CROSS JOIN ring) w JOIN reg USING (level, cx, cy)),
+        met AS (SELECT a.x, a.y, min(struct(road_point_edge(a.x, a.y, n.x1, n.y1, n.x2, n.y2) AS far, n.road_uid AS road_uid)) AS best FROM asked a JOIN near n USING (level, ux, uy) GROUP BY a.x, a.y)
+        SELECT p.point_idx, met.best.road_uid AS road_uid, met.best.far AS dist_to_road FROM {points} p JOIN met ON p.x = met.x AND p.y = met.y"""
+
+
+def _side(points: DataFrame, edges: DataFrame, side: float) -> float:
+    """``side``, halved while it is wider than the places and the lines are apart: as many cells as places, of the mean gap between lines or more."""
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    low, high = (lambda *cs: F.min(F.least(*cs))), (lambda *cs: F.max(F.greatest(*cs)))
+    lines = edges.groupBy("x1", "y1", "x2", "y2").agg(F.lit(1))
+    total, area = lines.agg(F.sum(length), (high("x1", "x2") - low("x1", "x2")) * (high("y1", "y2") - low("y1", "y2"))).first()
+    places = points.select("x", "y").distinct().count()
+    least = max((2 * area / places) ** 0.5, area / total) if places and total and area else side
+    while side > 2 * least:
+        side /= 2
+    return side
 
 
 def nearest(points: DataFrame, edges: DataFrame, side: float, extent: float) -> DataFrame:
     """:func:`nearest_text` over two DataFrames; ``extent`` is the longer side of the box around both."""
     spark = points.sparkSession
     register(spark)
-    levels = 1
+    side, levels = _side(points, edges, side), 1
     while side * 2 ** (levels - 1) < extent:
         levels += 1
     points.createOrReplaceTempView("roadloom_points")
