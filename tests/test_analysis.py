@@ -308,5 +308,5 @@ def test_sql_nearest_takes_finer_cells_where_lines_and_places_are_dense(spark):
     points = spark.createDataFrame([(k, float(k % 50) * 8, float(k // 50) * 8) for k in range(2500)], "point_idx long, x double, y double")
     lines = spark.createDataFrame([(k, 0.0, 10.0 * (k % 40), 400.0, 10.0 * (k % 40)) for k in range(120)], "road_uid long, x1 double, y1 double, x2 double, y2 double")
     assert sql_functions._side(points, lines, 50.0) < 50 and sql_functions._side(points, lines.where("false"), 50.0) == 50.0
-    got = {r["point_idx"]: (r["road_uid"], r[round(r["dist_to_road"], 9)) for r in sql_functions.nearest(points, lines, 50.0, 800.0).collect()}
+    got = {r["point_idx"]: (r["road_uid"], round(r["dist_to_road"], 9)) for r in sql_functions.nearest(points, lines, 50.0, 800.0).collect()}
     assert got == {k: min((abs(k // 50 * 8.0 - 10 * j), j) for j in range(40))[::-1] for k in range(2500)}
