@@ -93,31 +93,32 @@ def shrunk(now: DataFrame) -> tuple[DataFrame, DataFrame]:
     return least, cut(other.union(both).distinct())
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, few: int | None = None) -> DataFrame:
     """Return ``(node, component)`` for every node that has an edge; ``component`` is the smallest node reachable.
 
     Nulls and self-loops are ignored; repeated and reversed edges change nothing; no edges give an empty
     table. ``max_rounds`` is a guard for the rounds of stars: they take O(log^2 n), and the guard raises rather than return labels that
-    are not final.
+    are not final. ``few``: edges that are joined up in one task (``FEW`` if not given).
     """
+    few = FEW if few is None else few
     pairs = edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).where("x <> y")
     now = cut(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     ship(edges.sparkSession)
     passed: list[DataFrame] = []
-    count = now.limit(FEW + 1).count()
-    if count > FEW:
+    count = now.limit(few + 1).count()
+    if count > few:
         before = now.count()
-        while before > FEW:
+        while before > few:
             least, left = shrunk(now)
             after = left.count()
             if 2 * after > before:
                 break
             passed.append(least)
             now, before = left, after
-        count = min(before, FEW + 1)
-    found = now.repartition(1).mapInArrow(_one_pass, "node long, component long") if count <= FEW else _by_stars(now, max_rounds)
+        count = min(before, few + 1)
+    found = now.repartition(1).mapInArrow(_one_pass, "node long, component long") if count <= few else _by_stars(now, max_rounds)
     for least in reversed(passed):  # a node goes where its centre goes; centres that nothing joined are their own
         found = cut(found)
         centre = least.join(found.select(F.col("node").alias("centre"), "component"), "centre", "left").select("node", F.coalesce("component", "centre").alias("component"))

@@ -29,7 +29,7 @@ from roadloom.operators import dbscan
 from roadloom.operators.associate import NONE
 from roadloom.operators.components import connected_components
 from roadloom.operators.keys import dense_index
-from roadloom.operators.roads import allowed_pairs
+from roadloom.operators.roads import allowed_pairs, neighbours
 from roadloom.session import cut
 
 _TABLES = {
@@ -46,6 +46,7 @@ class ClusterState:
     def __init__(self, spark: SparkSession, path: str, adjacent: DataFrame, eps: float, min_pts: int):
         dbscan.check_arguments(eps, min_pts)
         self.spark, self.path, self.adjacent, self.eps, self.min_pts = spark, path.rstrip("/"), adjacent, float(eps), min_pts
+        self.known = neighbours(adjacent)
         for name, schema in _TABLES.items():  # a partition without rows, so that there is something to read
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.path}/{name}/batch=-1")
 
@@ -76,7 +77,7 @@ class ClusterState:
         every = self._held("points").where(F.col("batch") <= number).drop("batch")
         region = cut(every.join(self._around(cells, 3), ["cx", "cy"], "left_semi"))
         inner = region.join(self._around(cells, 2), ["cx", "cy"], "left_semi").select("point_idx")
-        local = cut(dbscan.cluster(region, self.adjacent, self.eps, self.min_pts).select("point_idx", F.col("core").alias("now"), "cluster"))
+        local = cut(dbscan.cluster(region, self.adjacent, self.eps, self.min_pts, self.known).select("point_idx", F.col("core").alias("now"), "cluster"))
         before = self._newest(number).join(region.select("point_idx"), "point_idx", "left_semi")
         known = cut(region.join(local, "point_idx").join(before, "point_idx", "left").withColumn("was", F.coalesce("core", F.lit(False))).drop("core", "near"))
         inner_cores = known.where("now").join(inner, "point_idx", "left_semi")
@@ -107,7 +108,7 @@ class ClusterState:
         q, close = cores.alias("q"), g.squared(F.col("p.x"), F.col("p.y"), F.col("q.x"), F.col("q.y")) <= self.eps * self.eps
         met = p.join(q, (F.col("p.cx") == F.col("q.cx")) & (F.col("p.cy") == F.col("q.cy")) & close)
         met = met.select(F.col("p.point_idx").alias("point_idx"), F.col("q.component").alias("component"), F.col("p.road_uid").alias("a"), F.col("q.road_uid").alias("b")).distinct()
-        return allowed_pairs(met, self.adjacent, "a", "b").groupBy("point_idx").agg(F.array_sort(F.collect_set("component")).alias("near"))
+        return allowed_pairs(met, self.adjacent, "a", "b", self.known).groupBy("point_idx").agg(F.array_sort(F.collect_set("component")).alias("near"))
 
     def labels(self) -> DataFrame:
         """``point_idx, x, y, road_uid, core, cluster`` of all points so far."""

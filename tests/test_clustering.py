@@ -439,3 +439,14 @@ def test_places_that_are_not_sent_find_the_same_roads(spark, monkeypatch):
     want = {r["point_idx"]: min((((r["x"] - 10 * k) ** 2 + max(0.0, r["y"] - 5) ** 2) ** 0.5, k) for k in range(9)) for r in points.collect()}
     assert answers[0] == answers[1] and {k: v[0] for k, v in answers[0].items()} == {k: v[1] for k, v in want.items()}
     assert {k: v[1] for k, v in answers[0].items()} == pytest.approx({k: v[0] for k, v in want.items()})
+
+
+def test_points_in_dense_clumps_are_gathered_by_clumps_only(spark, monkeypatch):
+    """Where every clump is sure, no sites are made and no table on the way has a row for each place."""
+    points = spark.createDataFrame([(n, n % 40 / 2, n // 40 % 20 / 10, n % 3) for n in range(2400)], "point_idx long, x double, y double, road_uid long")
+    adjacent = spark.createDataFrame([(0, 1), (1, 0)], "uid_a long, uid_b long")
+    sizes = []
+    monkeypatch.setattr(dbscan, "cut", lambda rows, f=dbscan.cut: (held := f(rows), sizes.append(held.count()))[0])
+    got = {r["point_idx"]: (r["core"], r["cluster"]) for r in dbscan.cluster(points, adjacent, 20.0, 5).collect()}
+    assert got == {n: (True, 2 if n % 3 == 2 else 1) for n in range(2400)}
+    assert max(sizes) <= 6  # 2 cells, 3 roads
