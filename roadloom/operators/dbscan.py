@@ -99,10 +99,9 @@ def _facing(clumps: DataFrame) -> DataFrame:
 
 def _joined(parts: DataFrame, more: DataFrame) -> DataFrame:
     """Components ``parts`` after links ``more`` (``a, b``) between components, and between nodes that are in none."""
-    more = cut(more.distinct())
-    if more.isEmpty():
-        return parts
     up = cut(connected_components(more))
+    if up.isEmpty():
+        return parts
     root = up.select(F.col("node").alias("component"), F.col("component").alias("root"))
     moved = parts.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
     return cut(moved.union(up.join(parts.select("node"), "node", "left_anti").select("node", "component")))
@@ -155,7 +154,7 @@ def _labels(points: DataFrame, adjacent: DataFrame | None, eps: float, min_pts:
         once = F.col("q.sure") | first
         pairs = cut(allowed(_near(clumps.where("not sure").select(boxes), clumps.select(*boxes, "sure"), eps, AROUND, once)))
         clumps = counted(clumps.withColumnRenamed("sure", "_sure"), pairs).withColumn("sure", F.col("_sure") | F.col("sure")).drop("_sure")
-    unsure = cut(clumps.where("not sure").select("clump"))
+    unsure = clumps.where("not sure").select("clump")
     whole = direct if pairs is None else direct.union(pairs.where("whole"))
     steady = clumps.where("sure").select(boxes)
     heads = steady.select("clump", F.col("clump").alias("least"))  # clumps with cores, and the least core of each

@@ -30,11 +30,17 @@ def edges(roads: DataFrame) -> DataFrame:
     return roads.select("road_uid", F.explode(F.flatten(F.filter(runs, lambda r: r.isNotNull()))).alias("e")).select("road_uid", "e.*")
 
 
-def cell_size(edge_rows: DataFrame) -> float:
-    """Twice the median edge length; 1 if there are none."""
+def cell_size(edge_rows: DataFrame, slack: float = 0.0, dense: int = DENSE) -> float:
+    """Twice the median edge length, or less (down to a 32nd) where cells of that side would hold over half of ``dense`` edges on average; 1 if there are none."""
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    median = edge_rows.agg(F.percentile_approx(length, 0.5)).first()[0]
-    return 2 * median if median else 1.0
+    low, high = (lambda a, b: F.min(F.least(a, b))), (lambda a, b: F.max(F.greatest(a, b)))
+    n, median, total, x1, x2, y1, y2 = edge_rows.agg(F.count(F.lit(1)), F.percentile_approx(length, 0.5), F.sum(length), low("x1", "x2"), high("x1", "x2"), low("y1", "y2"), high("y1", "y2")).first()
+    if not median:
+        return 1.0
+    side, area = 2 * median, (x2 - x1) * (y2 - y1)
+    while side > median / 16 and area * dense < 2 * (side + 2 * slack) * (total + n * (side + 2 * slack)):
+        side /= 2
+    return side
 
 
 def _whole(c: Column) -> Column:
@@ -137,9 +143,10 @@ def intersections_unlike(alike: DataFrame, tolerance: float = 0.0, tolerance_mod
         raise ValueError("tolerance_mode is 'compat', 'effective' or 'buffer'")
     slack = 0.0 if tolerance_mode == "compat" else tolerance
     rows = cut(edges(alike))
-    rows = dealt(leaves(rows, side or cell_size(rows), slack / 2, dense), dense)
+    count = rows.count()
+    rows = dealt(leaves(rows, side or cell_size(rows, slack / 2, dense), slack / 2, dense), dense)
     keys = ["level", "cx", "cy", "low", "high"]
-    rows = rows.repartition(spread(alike.sparkSession), *keys)
+    rows = rows.repartition(spread(alike.sparkSession, count), *keys)
     same = F.lit(True)
     for k in keys:
         same &= F.col(f"p.{k}") == F.col(f"q.{k}")
@@ -223,7 +230,7 @@ def _meeting_heavy(pairs: DataFrame, adjacent: DataFrame, heavy: DataFrame) -> D
 def neighbours(adjacent: DataFrame) -> DataFrame:
     """``uid, degree, list``: how many neighbours every road has that has any, and which, if these are up to ``LISTED``."""
     edges_ = adjacent.select(F.col("uid_a").alias("uid"), "uid_b")
-    degree = cut(edges_.groupBy("uid").agg(F.count(F.lit(1)).alias("degree")))
+    degree = edges_.groupBy("uid").agg(F.count(F.lit(1)).alias("degree"))
     lists = edges_.join(degree.where(F.col("degree") <= LISTED).select("uid"), "uid", "left_semi").groupBy("uid").agg(F.collect_list("uid_b").alias("list"))
     return cut(degree.join(lists, "uid", "left"))
 
@@ -263,7 +270,8 @@ def linked_pairs(both: DataFrame, adjacent: DataFrame, heavy_from: int = HEAVY,
 
 def allowed_pairs(pairs: DataFrame, adjacent: DataFrame, a: str, b: str, known: DataFrame | None = None) -> DataFrame:
     """Rows of ``pairs`` whose roads ``a`` and ``b`` may hold neighbours: each distinct pair of roads is tested once (:func:`linked_pairs`)."""
-    both = cut(pairs.where(F.col(a) != F.col(b)).select(F.col(a).alias("uid_p"), F.col(b).alias("uid_q")).distinct())
+    pairs = cut(pairs)
+    both = pairs.where(F.col(a) != F.col(b)).select(F.col(a).alias("uid_p"), F.col(b).alias("uid_q")).distinct()
     linked = linked_pairs(both, adjacent, known=known).withColumn("_linked", F.lit(True))
     named = pairs.join(linked, (F.col(a) == F.col("uid_p")) & (F.col(b) == F.col("uid_q")), "left")
     return named.where((F.col(a) == F.col(b)) | F.col("_linked")).select(pairs.columns)

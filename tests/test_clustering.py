@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.geometry import PARTS
 from roadloom.operators import associate, clean, closest, components, dbscan, keys, roads, summarize
+from roadloom.session import spread
 
 
 def sequential(points, adjacent, eps, min_pts):
@@ -450,3 +451,32 @@ def test_points_in_dense_clumps_are_gathered_by_clumps_only(spark, monkeypatch):
     got = {r["point_idx"]: (r["core"], r["cluster"]) for r in dbscan.cluster(points, adjacent, 20.0, 5).collect()}
     assert got == {n: (True, 2 if n % 3 == 2 else 1) for n in range(2400)}
     assert max(sizes) <= 6  # 2 cells, 3 roads
+
+
+def test_cells_of_high_levels_are_looked_up_once(spark, monkeypatch):
+    """Places without a road near them ask which cells hold any, not for each road in these."""
+    table = spark.createDataFrame([(k, [[(float(k), 0.0), (k + 1.0, 0.0)]]) for k in range(300)], f"road_uid long, parts {PARTS}")
+    points = spark.createDataFrame([(k, 40.0 * (k % 20), 500.0 + 40 * (k // 20)) for k in range(200)], "point_idx long, x double, y double")
+    seen, real = [], associate.sent
+    monkeypatch.setattr(associate, "sent", lambda rows: (seen.append(sorted(rows.columns)), real(rows))[1])
+    met, join = [], type(points).join
+    monkeypatch.setattr(type(points), "join", lambda self, other, *a, **k: (met.append(self.count()) if sorted(self.columns) == ["cx", "cy", "level"] else None, join(self, other, *a, **k))[1])
+    got = {r["point_idx"]: r["road_uid"] for r in associate.nearest(points, table, 2.0).collect()}
+    assert got == {k: min(max(40 * (k % 20) - 1, 0), 299) for k in range(200)}
+    assert seen and met and max(met) <= 500  # 300 roads at five levels or more are over 2,000 rows
+
+
+def test_few_rows_are_spread_over_the_cores_only(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        cores = 4 * spark.sparkContext.defaultParallelism
+        assert (spread(spark), spread(spark, 8000), spread(spark, 10**6)) == (max(200, cores), cores, max(200, cores))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_the_first_cells_of_dense_edges_are_small_enough(spark):
+    lines = line_table(spark, [(k, [[(float(7 * k % 200), float(11 * k % 200)), (7 * k % 200 + 100.0, float(11 * k % 200))]]) for k in range(2000)])
+    held = roads.edges(lines)
+    side = roads.cell_size(held)
+    assert 100 / 16 <= side < 200 and roads.cell_size(held.limit(20)) == 200.0
