@@ -27,3 +27,15 @@ def test_equals_sql(spark, engine, name):
     names = [d[0] for d in held.description]
     assert sorted(names) == columns
     assert got == sorted((tuple(r[names.index(c)] for c in columns) for r in held.fetchall()), key=repr)
+
+
+def test_the_heat_layer_holds_the_points_of_the_labelled_table(spark):
+    """Nothing is clustered for it: no job runs before its rows are asked for, and these are those of all labelled points."""
+    folder = SF
+    spark.sparkContext.setJobGroup("heat", "")
+    heat = queries.heat_points(spark, folder)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("heat"))
+    spark.sparkContext.setJobGroup("other", "")
+    want = queries.labelled(spark, folder).groupBy("y", "x").count().collect()
+    assert {tuple(r) for r in heat.collect()} == {(round(r["y"] / 100, 6), round(r["x"] / 100, 6), r["count"]) for r in want}
+    assert jobs <= 2  # reading the schema
