@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from roadloom.functions import geometry as g
 from roadloom.operators import dbscan
-from roadloom.operators.associate import NONE
+from roadloom.operators.associate import NONE, sent
 from roadloom.operators.components import connected_components
 from roadloom.operators.keys import dense_index
 from roadloom.operators.roads import allowed_pairs, neighbours
@@ -57,13 +57,14 @@ class ClusterState:
     def _keep(self, name: str, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
 
-    def _newest(self, before: int | None = None) -> DataFrame:
-        rows = self._held("rows", before).groupBy("point_idx").agg(F.max_by(F.struct("core", "component", "near"), "batch").alias("r"))
+    def _newest(self) -> DataFrame:
+        rows = self._held("rows").groupBy("point_idx").agg(F.max_by(F.struct("core", "component", "near"), "batch").alias("r"))
         return rows.select("point_idx", "r.*")
 
     def _around(self, cells: DataFrame, reach: int) -> DataFrame:
-        steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
-        return cells.withColumn("s", F.explode(steps)).select((F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy")).distinct()
+        """The cells that are at most ``reach`` from one of ``cells``, and how far the nearest one is (``away``)."""
+        steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(max(abs(i), abs(j))).alias("far")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
+        return cells.withColumn("s", F.explode(steps)).groupBy((F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy")).agg(F.min("s.far").alias("away"))
 
     def update(self, batch: DataFrame, number: int) -> DataFrame:
         """Take in a batch (``point_idx, x, y, road_uid``); returns the points whose rows were computed again."""
@@ -75,26 +76,23 @@ class ClusterState:
         self._keep("points", fresh, number)
         cells = cut(fresh.where(ok).select("cx", "cy").distinct())
         every = self._held("points").where(F.col("batch") <= number).drop("batch")
-        region = cut(every.join(self._around(cells, 3), ["cx", "cy"], "left_semi"))
-        inner = region.join(self._around(cells, 2), ["cx", "cy"], "left_semi").select("point_idx")
-        local = cut(dbscan.cluster(region, self.adjacent, self.eps, self.min_pts, self.known).select("point_idx", F.col("core").alias("now"), "cluster"))
-        before = self._newest(number).join(region.select("point_idx"), "point_idx", "left_semi")
-        known = cut(region.join(local, "point_idx").join(before, "point_idx", "left").withColumn("was", F.coalesce("core", F.lit(False))).drop("core", "near"))
-        inner_cores = known.where("now").join(inner, "point_idx", "left_semi")
-        # components of this batch: what a local cluster's old components and new cores have in common is the cluster
-        nodes = inner_cores.select("cluster", F.when(F.col("was"), F.col("component")).otherwise(F.col("point_idx")).alias("node")).distinct()
-        least = nodes.groupBy("cluster").agg(F.min("node").alias("least"))
-        tied = cut(nodes.join(least, "cluster"))
-        joined = connected_components(tied, "node", "least")
-        named = tied.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("into"))
-        named = cut(named)
+        region = cut(every.join(sent(self._around(cells, 3)), ["cx", "cy"]).select("point_idx", "x", "y", "road_uid", "cx", "cy", (F.col("away") <= 2).alias("inner")))
+        local = dbscan.cluster(region, self.adjacent, self.eps, self.min_pts, self.known).withColumnRenamed("core", "now")
+        before = self._held("rows", number).groupBy("point_idx").agg(F.max_by("component", "batch").alias("component")).join(region.select("point_idx"), "point_idx", "left_semi")
+        known = cut(local.join(before, "point_idx", "left").withColumn("was", F.col("component").isNotNull()))
+        # components of this batch: what a local cluster's old components and new cores have in common is the cluster, named by the least of them
+        inner_cores = known.where("now and inner")
+        least = cut(inner_cores.groupBy("cluster").agg(F.min(F.when(F.col("was"), F.col("component")).otherwise(F.col("point_idx"))).alias("least")))
+        tied = cut(inner_cores.where("was").select("cluster", F.col("component").alias("node")).distinct().join(least, "cluster"))
+        joined = cut(connected_components(tied, "node", "least")).withColumnRenamed("component", "into")
+        named = cut(least.join(joined.withColumnRenamed("node", "least"), "least", "left").select("cluster", F.coalesce("into", "least").alias("into")))
+        merged = tied.select("node").distinct().join(joined, "node").where("node <> into")
         old = self._held("components", number).select(F.col("component").alias("node"))
-        self._keep("merges", named.join(old, "node", "left_semi").where("node <> into").select(F.col("node").alias("old"), "into"), number)
+        self._keep("merges", merged.join(old, "node", "left_semi").select(F.col("node").alias("old"), "into"), number)
         self._keep("components", named.select(F.col("into").alias("component")).distinct().join(old.withColumnRenamed("node", "component"), "component", "left_anti"), number)
-        fresh_cores = inner_cores.where("not was").join(named, F.col("point_idx") == F.col("node")).select("point_idx", F.col("into").alias("named"))
-        cores = known.join(fresh_cores, "point_idx", "left").withColumn("component", F.when(F.col("was"), F.col("component")).otherwise(F.col("named")))
-        cores = cut(cores.select("point_idx", "x", "y", "road_uid", "cx", "cy", "component"))
-        inside = cores.join(inner, "point_idx", "left_semi")
+        fresh_core = F.col("now") & F.col("inner")
+        cores = known.join(sent(named), "cluster", "left").withColumn("component", F.when(F.col("was"), F.col("component")).when(fresh_core, F.col("into")))
+        inside = cores.where("inner")
         near = self._next_to(inside.where("component is null"), cores.where("component is not null"))
         rows = inside.select("point_idx", F.col("component").isNotNull().alias("core"), "component").join(near, "point_idx", "left")
         lost = fresh.where(~ok).select("point_idx", F.lit(False).alias("core"), F.lit(None).cast("long").alias("component"), F.lit(None).cast("array<bigint>").alias("near"))
@@ -104,7 +102,8 @@ class ClusterState:
     def _next_to(self, border: DataFrame, cores: DataFrame) -> DataFrame:
         """``point_idx, near``: the components of the cores that are neighbours of points that are none."""
         steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-        p = border.withColumn("s", F.explode(steps)).withColumns({"cx": F.col("cx") + F.col("s.i"), "cy": F.col("cy") + F.col("s.j")}).alias("p")
+        p = border.withColumn("s", F.explode(steps)).select("point_idx", "x", "y", "road_uid", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+        p = sent(cut(p)).alias("p")
         q, close = cores.alias("q"), g.squared(F.col("p.x"), F.col("p.y"), F.col("q.x"), F.col("q.y")) <= self.eps * self.eps
         met = p.join(q, (F.col("p.cx") == F.col("q.cx")) & (F.col("p.cy") == F.col("q.cy")) & close)
         met = met.select(F.col("p.point_idx").alias("point_idx"), F.col("q.component").alias("component"), F.col("p.road_uid").alias("a"), F.col("q.road_uid").alias("b")).distinct()

@@ -310,3 +310,16 @@ def test_sql_nearest_takes_finer_cells_where_lines_and_places_are_dense(spark):
     assert sql_functions._side(points, lines, 50.0) < 50 and sql_functions._side(points, lines.where("false"), 50.0) == 50.0
     got = {r["point_idx"]: (r["road_uid"], round(r["dist_to_road"], 9)) for r in sql_functions.nearest(points, lines, 50.0, 800.0).collect()}
     assert got == {k: min((abs(k // 50 * 8.0 - 10 * j), j) for j in range(40))[::-1] for k in range(2500)}
+
+
+def test_new_cores_of_a_batch_are_named_by_their_cluster(spark, tmp_path, monkeypatch):
+    """Only clusters and old components are joined up, not every new core."""
+    from roadloom.streaming import clusters
+
+    state = ClusterState(spark, str(tmp_path / "state"), roads.adjacency(spark.createDataFrame([], "uid_a long, uid_b long")), 2.0, 5)
+    seen, real = [], clusters.connected_components
+    monkeypatch.setattr(clusters, "connected_components", lambda rows, *a, **k: (seen.append(rows.count()), real(rows, *a, **k))[1])
+    for n in range(2):
+        state.update(spark.createDataFrame([(2 * k + n, k % 40 / 10 + 50 * (k // 200), k % 7 / 10, 1) for k in range(400)], "point_idx long, x double, y double, road_uid long"), n)
+    assert {(r["cluster"], r["count"]) for r in state.labels().groupBy("cluster").count().collect()} == {(1, 400), (2, 400)}
+    assert max(seen[:2]) <= 2
