@@ -20,6 +20,8 @@ DENSE, FINER, DEEPEST = 256, 4, 8
 HEAVY = 4096
 #: Numbers of equal roads that stand in one array; crossings that a road may have for these to stand in one.
 DEAL, LISTED = 512, 512
+#: Up to this many roads, the numbers of equal ones are sent to all tasks that make pairs of them.
+SENT = 500_000
 _EDGE = ["road_uid", "x1", "y1", "x2", "y2"]
 
 
@@ -176,8 +178,13 @@ def intersections(roads: DataFrame, tolerance: float = 0.0, tolerance_mode: str
     # within a deal each two come once, by their order; numbers of two deals differ
     two = inside.select("nth_a", "nth_b", "own_a", F.explode("own_b").alias("b")).select("nth_a", "nth_b", F.explode("own_a").alias("a"), "b").where("nth_a < nth_b or a < b").select("a", "b")
     out = one.union(two).select(F.least("a", "b").alias("uid_a"), F.greatest("a", "b").alias("uid_b"))
-    repeated = roads.where("parts is not null").groupBy("road_uid").agg(F.countDistinct("parts").alias("n")).where("n > 1 and road_uid is not null")
-    return out if repeated.isEmpty() else out.distinct()
+    return out.distinct() if _repeated(roads) else out
+
+
+def _repeated(roads: DataFrame) -> bool:
+    """Whether a number stands for several geometries."""
+    many = roads.where("parts is not null").groupBy("road_uid").agg(F.countDistinct("parts").alias("n")).where("n > 1 and road_uid is not null")
+    return not many.isEmpty()
 
 
 def _itself(alike: DataFrame, tolerance: float, mode: str) -> DataFrame:
@@ -210,12 +217,52 @@ def neighbour_lists(roads: DataFrame, adjacent: DataFrame) -> DataFrame:
     return roads.select("road_uid").join(lists, "road_uid", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<bigint>")))
 
 
+def _reached(adjacent: DataFrame) -> DataFrame:
+    """``uid_p < uid_q`` of different roads that are adjacent or have a common neighbour, each once.
+
+    Roads ``uid_p`` are dealt into blocks. A road sends its neighbours, in arrays, to the blocks of these; pairs are made, and freed of
+    repeats, where they arrive, so that pairs are never shuffled.
+    """
+    known = adjacent.select(F.col("uid_a").alias("via"), F.col("uid_b").alias("uid"))
+    blocks = spread(adjacent.sparkSession, adjacent.select("uid_a").distinct().count())
+    block = lambda uid: F.pmod(F.xxhash64(uid), F.lit(blocks)).cast("int").alias("block")
+    dealt_out = known.join(known.groupBy("via").agg(F.count(F.lit(1)).alias("n")), "via")
+    deal = lambda size: F.pmod(F.xxhash64(F.lit(1), F.col("uid")), F.ceil(F.col("n") / size)).alias("nth")
+    own = dealt_out.groupBy("via", block("uid"), deal(DEAL * blocks)).agg(F.collect_list("uid").alias("own"))
+    lists = dealt_out.groupBy("via", deal(DEAL)).agg(F.collect_list("uid").alias("others"))
+    met = own.join(lists, "via").select("block", "own", "others").union(lists.select(block("via"), F.array("via"), "others"))
+    pairs = met.repartitionById(blocks, "block").select("block", F.explode("own").alias("uid_p"), "others")
+    pairs = pairs.select("block", "uid_p", F.explode("others").alias("uid_q")).where("uid_p < uid_q")
+    return pairs.distinct().select("uid_p", "uid_q")  # of one block each, so where they are
+
+
 def reach(roads: DataFrame, adjacent: DataFrame) -> DataFrame:
     """Pairs (``uid_p``, ``uid_q``) of the same road, of adjacent ones, and of roads with a common neighbour."""
-    same = roads.select(F.col("road_uid").alias("uid_p"), F.col("road_uid").alias("uid_q"))
-    direct = adjacent.select(F.col("uid_a").alias("uid_p"), F.col("uid_b").alias("uid_q"))
-    first, second = adjacent.select(F.col("uid_a").alias("uid_p"), F.col("uid_b").alias("via")), adjacent.select(F.col("uid_a").alias("via"), F.col("uid_b").alias("uid_q"))
-    return same.union(direct).union(first.join(second, "via").select("uid_p", "uid_q")).distinct()
+    same = roads.select("road_uid").union(adjacent.select("uid_a")).distinct().select(F.col("road_uid").alias("uid_p"), F.col("road_uid").alias("uid_q"))
+    ways = F.array(F.struct("uid_p", "uid_q"), F.struct(F.col("uid_q").alias("uid_p"), F.col("uid_p").alias("uid_q")))
+    return same.union(_reached(adjacent).select(F.inline(ways)))
+
+
+def reach_of(roads: DataFrame) -> DataFrame:
+    """:func:`reach` of ``roads`` by where they intersect.
+
+    What roads of one geometry reach is found once. The pairs of their numbers are made from arrays of these at the very end, where nothing is
+    shuffled or gathered any more; the arrays of up to ``SENT`` roads are sent to all tasks.
+    """
+    if _repeated(roads):
+        return reach(roads, cut(adjacency(intersections(roads))))
+    alike = cut(unlike(roads))
+    adjacent = cut(adjacency(intersections_unlike(alike), distinct=False))
+    held = cut(members(roads.where("road_uid is not null"), alike))
+    few = (held.agg(F.sum(F.size("own"))).first()[0] or 0) <= SENT
+    of = lambda s: (F.broadcast if few else lambda rows: rows)(held.select(F.col("like").alias(f"uid_{s}"), F.col("own").alias(f"own_{s}")))
+    # roads that meet their equals reach these, as do those that meet any other
+    meeting = _itself(alike, 0.0, "compat").union(adjacent.select("uid_a")).distinct().select(F.col("road_uid").alias("uid_p"), F.col("road_uid").alias("uid_q"))
+    across = _reached(adjacent).join(of("p"), "uid_p").join(of("q"), "uid_q")
+    both = F.array(F.struct(F.col("own_p").alias("own"), F.col("own_q").alias("others")), F.struct(F.col("own_q").alias("own"), F.col("own_p").alias("others")))
+    pairs = across.select(F.inline(both)).union(meeting.join(of("p"), "uid_p").join(of("q"), "uid_q").select("own_p", "own_q"))
+    pairs = pairs.select(F.explode("own").alias("uid_p"), "others").select("uid_p", F.explode("others").alias("uid_q")).where("uid_p <> uid_q")
+    return roads.select(F.col("road_uid").alias("uid_p"), F.col("road_uid").alias("uid_q")).distinct().union(pairs)
 
 
 def _meeting_heavy(pairs: DataFrame, adjacent: DataFrame, heavy: DataFrame) -> DataFrame:

@@ -480,3 +480,40 @@ def test_the_first_cells_of_dense_edges_are_small_enough(spark):
     held = roads.edges(lines)
     side = roads.cell_size(held)
     assert 100 / 16 <= side < 200 and roads.cell_size(held.limit(20)) == 200.0
+
+
+def shuffled(spark):
+    """Bytes that the session's tasks have written for shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    held = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(held.apply(k).totalShuffleWrite() for k in range(held.size()))
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_reach_equals_brute_force(spark, monkeypatch, odd):
+    """Equal roads, one without a length or parts, a hub; with ``odd`` also a number of two geometries."""
+    rng = random.Random(7)
+    lines = [[[(float(x), float(y)), (x + 6.0 * (k % 2), y + 6.0 * (1 - k % 2))]] for k in range(40) for x, y in [(rng.randrange(30), rng.randrange(30))]]
+    rows = [(3 * n + 1, lines[n % 40]) for n in range(90)] + [(500, [[(0.0, 0.0), (30.0, 30.0)]]), (501, [[(90.0, 9.0), (90.0, 9.0)]]), (502, [[(90.0, 9.0), (90.0, 9.0)]]), (503, []), (504, []), (505, [])]
+    rows += [(1, lines[25]), (4, [[(200.0, 0.0), (201.0, 0.0)]]), (506, [[(200.5, -1.0), (200.5, 1.0)]])] if odd else [(1, lines[0])]
+    table = line_table(spark, rows).withColumn("parts", F.when(F.col("road_uid") != 503, F.col("parts")))
+    near = {}
+    for a, b in roads.intersections(table).collect():
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    numbers = {n for n, _ in rows}
+    want = sorted((a, b) for a in numbers for b in numbers if a == b or b in near.get(a, ()) or near.get(a, set()) & near.get(b, set()))
+    adjacent = roads.adjacency(roads.intersections(table))
+    for deal, most in ((roads.DEAL, roads.SENT), (3, 0)):  # arrays of three, none of them sent
+        monkeypatch.setattr(roads, "DEAL", deal)
+        monkeypatch.setattr(roads, "SENT", most)
+        assert sorted(tuple(r) for r in roads.reach_of(table).collect()) == want
+        assert sorted(tuple(r) for r in roads.reach(table, adjacent).collect()) == want
+
+
+def test_reach_shuffles_no_pairs(spark):
+    """Two geometries of 300 roads: 360,000 pairs by 600 ways each."""
+    table = line_table(spark, [(n, [[(0.0, 0.0), (9.0, 0.0)]] if n % 2 else [[(5.0, -5.0), (5.0, 5.0)]]) for n in range(600)])
+    before = shuffled(spark)
+    assert roads.reach_of(table).count() == 600 * 600
+    assert shuffled(spark) - before < 200_000
