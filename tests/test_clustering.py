@@ -517,3 +517,45 @@ def test_reach_shuffles_no_pairs(spark):
     before = shuffled(spark)
     assert roads.reach_of(table).count() == 600 * 600
     assert shuffled(spark) - before < 200_000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_constrained_pairs_equal_brute_force(spark, monkeypatch, seed):
+    """Crowded places, roads that cross, points without a road or place; arrays and groups of a few points in the last run."""
+    rng = random.Random(seed)
+    places = [(rng.uniform(-20, 20), rng.uniform(-20, 20), rng.choice([0, 1, 2, 3, 4, 80, 90, -999, None])) for _ in range(90)] + [(5.0, 5.0, 1)] * 9 + [(5.0, -5.0, 2), (12.0, -5.0, 2), (10.0, 5.0, 1)]
+    placed = [(2 * k + 7, *p) for k, p in enumerate(places)] + [(1, None, 0.0, 1), (2, float("nan"), 0.0, 1), (None, 0.0, 0.0, 1), (7, 1.0, 1.0, 1)]  # a number that comes twice
+    adjacent = [(a, b) for a, b in [(0, 1), (1, 2), (3, 4), (4, 80), (2, 90)] if rng.random() < 0.9]
+    links = {}
+    for a, b in adjacent:
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+    eps, uid = 7.0, lambda u: -999 if u is None else u
+    held = [(n, x, y, uid(u)) for n, x, y, u in placed if n is not None and x is not None and x == x]
+    allowed = lambda a, b: a == b or b in links.get(a, ()) or bool(links.get(a, set()) & links.get(b, set()))
+    want = sorted((p[0], q[0], p[3], q[3]) for p in held for q in held if p[0] < q[0] and (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= eps * eps and allowed(p[3], q[3]))
+    table = spark.createDataFrame(placed, "point_idx long, x double, y double, road_uid long").repartition(3)
+    graph = roads.adjacency(spark.createDataFrame(adjacent, "uid_a long, uid_b long"))
+    for sizes in ((dbscan.HELD, dbscan.PLACED, dbscan.GROUP), (2, 4, 5)):
+        for name, size in zip(("HELD", "PLACED", "GROUP"), sizes):
+            monkeypatch.setattr(dbscan, name, size)
+        assert sorted(tuple(r) for r in dbscan.constrained_pairs(table, graph, eps).select("i", "j", "uid_i", "uid_j").collect()) == want
+
+
+def test_roads_of_a_crowded_cell_pair_by_their_places_there(spark):
+    """Over 64 roads in a cell: their places don't fit one word."""
+    points = spark.createDataFrame([(k, k % 10 / 10, k // 10 / 100, k) for k in range(300)], "point_idx long, x double, y double, road_uid long")
+    adjacent = roads.adjacency(spark.createDataFrame([(k, k + 150) for k in range(150)], "uid_a long, uid_b long"))
+    assert sorted(tuple(r) for r in dbscan.constrained_pairs(points, adjacent, 9.0).select("i", "j").collect()) == [(k, k + 150) for k in range(150)]
+
+
+def test_pairs_of_points_are_neither_kept_nor_shuffled(spark, monkeypatch):
+    """Two million pairs of 2,000 points."""
+    points = spark.createDataFrame([(n, n % 50 / 2, n // 50 / 2, n % 2) for n in range(2000)], "point_idx long, x double, y double, road_uid long")
+    adjacent = spark.createDataFrame([(0, 1), (1, 0)], "uid_a long, uid_b long")
+    sizes = []
+    for place in (dbscan, roads):
+        monkeypatch.setattr(place, "cut", lambda rows, f=place.cut: (held := f(rows), sizes.append(held.count()))[0])
+    before = shuffled(spark)
+    assert dbscan.constrained_pairs(points, adjacent, 60.0).count() == 2000 * 1999 // 2
+    assert max(sizes) < 2000 and shuffled(spark) - before < 500_000
