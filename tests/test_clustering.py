@@ -559,3 +559,11 @@ def test_pairs_of_points_are_neither_kept_nor_shuffled(spark, monkeypatch):
     before = shuffled(spark)
     assert dbscan.constrained_pairs(points, adjacent, 60.0).count() == 2000 * 1999 // 2
     assert max(sizes) < 2000 and shuffled(spark) - before < 500_000
+
+
+def test_unassociated_pairs_are_the_constrained_pairs_without_a_road(spark):
+    rng = random.Random(3)
+    points = spark.createDataFrame([(n, rng.uniform(0, 40), rng.uniform(0, 40), rng.choice([None, -999, 1, 2])) for n in range(300)] + [(300, None, 1.0, None)], "point_idx long, x double, y double, road_uid long")
+    adjacent = spark.createDataFrame([(1, 2), (2, 1)], "uid_a long, uid_b long")
+    got = sorted(tuple(r) for r in dbscan.unassociated_pairs(points, 6.0).collect())
+    assert got == sorted(tuple(r) for r in dbscan.constrained_pairs(points, adjacent, 6.0).where("uid_i = -999").collect()) and len(got) > 100

@@ -39,3 +39,11 @@ def test_the_heat_layer_holds_the_points_of_the_labelled_table(spark):
     want = queries.labelled(spark, folder).groupBy("y", "x").count().collect()
     assert {tuple(r) for r in heat.collect()} == {(round(r["y"] / 100, 6), round(r["x"] / 100, 6), r["count"]) for r in want}
     assert jobs <= 2  # reading the schema
+
+
+def test_pairs_without_a_road_are_made_of_these_points_only(spark, monkeypatch):
+    far = {r["point_idx"] for r in queries.nearest_road(spark, SF).where("dist_to_road > 100").collect()}
+    seen, real = [], queries.dbscan.eps_pairs
+    monkeypatch.setattr(queries.dbscan, "eps_pairs", lambda points, eps: (seen.append({r["point_idx"] for r in points.collect()}), real(points, eps))[1])
+    pairs = queries.unassociated_pairs(spark, SF).collect()
+    assert seen == [far] and 0 < len(far) < 150 and {k for r in pairs for k in r} <= far
